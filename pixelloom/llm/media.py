@@ -222,54 +222,64 @@ def payload_of(data: bytes, stream: Stream) -> bytes:
     return b"".join(parts)
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as an MPEG stream, parsed again: one row per row of docs.
+#: The columns that media_columns can give, beside the id: name, Spark type, Arrow type.
+COLUMNS = {
+    "n_bytes": ("long", pa.int64()),
+    "media": ("binary", pa.binary()),
+    "payload": ("binary", pa.binary()),
+    "frames": ("int", pa.int32()),
+    "seconds_num": ("long", pa.int64()),
+    "seconds_den": ("long", pa.int64()),
+    "seek_offsets": ("array<long>", pa.list_(pa.int64())),
+    "vbr_table": ("string", pa.string()),
+    "checksums_ok": ("int", pa.int32()),
+    "feature": ("string", pa.string()),
+    "payload_bytes": ("long", pa.int64()),
+    "payload_sha256": ("string", pa.string()),
+    "tail_crc32": ("long", pa.int64()),
+    "media_bytes": ("long", pa.int64()),
+    "media_sha256": ("string", pa.string()),
+}
+
 
-    Null and empty texts give one frame of spaces. Other columns of docs are ignored. Columns: the id, n_bytes (of
-    the UTF-8 text), media (binary), payload (binary, as read back), frames, seconds_num / seconds_den (the exact
-    duration), seek_offsets (each frame's first byte), vbr_table, checksums_ok, feature.
+def media_columns(docs: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text as an MPEG stream, parsed again: one row per row of docs, with the id and the chosen columns.
+
+    Null and empty texts give one frame of spaces. Other columns of docs are ignored; repeated rows give repeated rows.
+    n_bytes: of the UTF-8 text. media: the stored stream. payload: as read back from it, a positive multiple of 192
+    bytes. frames, seconds_num / seconds_den (exact duration), seek_offsets (each audio frame's first byte), vbr_table,
+    checksums_ok (frames whose checksum holds), feature (these in one text), and lengths and digests of media and payload.
     """
     kind = docs.schema[id_col].dataType
-    schema = pa.schema([("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("frames", pa.int32()), ("seconds_num", pa.int64()), ("seconds_den", pa.int64()), ("seek_offsets", pa.list_(pa.int64())), ("vbr_table", pa.string()), ("checksums_ok", pa.int32()), ("feature", pa.string())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
-            out = []
-            for raw in b.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist():
-                payload = raw + b" " * (UNIT - len(raw) % UNIT if len(raw) % UNIT or not raw else 0)
-                media = store(payload, len(raw))
+            out: dict[str, list] = {c: [] for c in columns}
+            for raw in b.column(1).cast(pa.large_binary()).fill_null(b""):
+                raw = raw.as_py()
+                media = store(raw + b" " * (UNIT - len(raw) % UNIT if len(raw) % UNIT or not raw else 0), len(raw))
                 s = parse(media)
                 back = payload_of(media, s)
                 feature = f"frames={len(s.offsets)};seconds={s.seconds};table={s.table}:{s.table_frames}:{s.table_bytes};crc={s.checked - s.bad}/{s.checked};skipped={s.skipped};toc50={s.toc[50]};n_bytes={s.tags.get('n_bytes')}"
-                out.append((len(raw), media, back, len(s.offsets), s.seconds.numerator, s.seconds.denominator, s.offsets, s.table, s.checked - s.bad, feature))
-            cols = [pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[id_col, *schema.names])
-
-    spark_schema = f"`{id_col}` {kind.simpleString()}, n_bytes long, media binary, payload binary, frames int, seconds_num long, seconds_den long, seek_offsets array<long>, vbr_table string, checksums_ok int, feature string"
-    return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(rows, spark_schema)
-
-
-def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The digest columns of the media columns."""
-    schema = f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            payloads, medias = ([x.as_buffer() for x in b.column(i)] for i in (2, 3))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    pa.array([p.size for p in payloads], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                    pa.array([zlib.crc32(p.slice(p.size - 16)) for p in payloads], pa.int64()),
-                    pa.array([m.size for m in medias], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in medias]),
-                    b.column(4),
-                ],
-                names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return media.select(id_col, "n_bytes", "payload", "media", "feature").mapInArrow(rows, schema)
+                made = {
+                    "n_bytes": len(raw),
+                    "media": media,
+                    "payload": back,
+                    "frames": len(s.offsets),
+                    "seconds_num": s.seconds.numerator,
+                    "seconds_den": s.seconds.denominator,
+                    "seek_offsets": s.offsets,
+                    "vbr_table": s.table,
+                    "checksums_ok": s.checked - s.bad,
+                    "feature": feature,
+                    "payload_bytes": len(back),
+                    "payload_sha256": hashlib.sha256(back).hexdigest(),
+                    "tail_crc32": zlib.crc32(back[-16:]),
+                    "media_bytes": len(media),
+                    "media_sha256": hashlib.sha256(media).hexdigest(),
+                }
+                for c in columns:
+                    out[c].append(made[c])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[c], COLUMNS[c][1]) for c in columns)], names=[id_col, *columns])
+
+    return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(rows, ", ".join([f"`{id_col}` {kind.simpleString()}", *(f"{c} {COLUMNS[c][0]}" for c in columns)]))

@@ -73,7 +73,7 @@ mx_rate AS (SELECT source, sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM m
 mx_cdf AS (SELECT source, sum(exp(-lam + k * ln(lam) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf, k FROM mx_rate, range(0, 161) r(k)),
 mx_list AS (SELECT source, list(cdf ORDER BY k) AS cdfs FROM mx_cdf GROUP BY source),
 mx_u AS (SELECT *, ('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM {docs}),
-mx_c AS (SELECT d.*, len(list_filter(l.cdfs, c -> c <= d.u)) AS n FROM mx_u d JOIN mx_list l ON d.source IS NOT DISTINCT FROM l.source)
+mx_c AS (SELECT d.*, len(list_filter(l.cdfs, lambda c: c <= d.u)) AS n FROM mx_u d JOIN mx_list l ON d.source IS NOT DISTINCT FROM l.source)
 SELECT doc_id, text, lang, source, n_chars, k::INTEGER AS copy_no, md5('mix:order:' || doc_id || ':' || k) AS shuffle_key
 FROM mx_c, unnest(range(1, n + 1)) t(k)
 """
