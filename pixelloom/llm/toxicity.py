@@ -21,6 +21,8 @@ TERMS = 3000
 BLOCK, NEIGHBOURS = 64, 12
 #: Weight of a constant term that every vector has, so that texts without terms are near one another.
 CONSTANT = 1.5
+#: A term counts as significant from this likelihood ratio, lift of label 1, and odds for it.
+MIN_G, MIN_LIFT, MIN_ODDS = 22.0, 2.0, 8.0
 FOLDS, HELD_OUT = 5, 0
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in ".,;:!?\"'()[]"]] = True
@@ -215,12 +217,15 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(toxic), pa.array(n.astype(np.int64))], names=["term", "toxic", "n"])
 
     n1, n0 = sample.agg(F.coalesce(F.sum("_px_label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_px_label")), F.lit(0))).first()
-    a, b = F.col("toxic") + F.lit(0.5), F.col("n") - F.col("toxic") + F.lit(0.5)
-    odds = F.log(a / F.lit(n1 + 1.0)) - F.log(b / F.lit(n0 + 1.0))
+    # signed likelihood ratio of the term's rows against the share of label 1
+    p, k, n = F.lit(n1 / max(1, n1 + n0)), F.col("toxic"), F.col("n")
+    part = lambda x, mean: F.when(x > 0, x * F.log(x / mean)).otherwise(0.0)
     chosen = (
         sample.mapInArrow(tally, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-        .where(F.col("toxic") >= 4).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b))
-        .where("odds > 2.5 AND z > 5").orderBy(F.desc("z"), "term").limit(TERMS).select("term", "n").collect()
+        .where((k >= 4) & (k > MIN_LIFT * p * n) & (k * (1 - p) > MIN_ODDS * (n - k) * p))
+        .withColumn("g", 2 * (part(k, n * p) + part(n - k, n * (1 - p))))
+        .where(F.col("g") > MIN_G).orderBy(F.desc("g"), "term").limit(TERMS).select("term", "n").collect()
+        if n1 and n0 else []
     )
     found = sorted((np.int64(r.term).astype(np.uint64), r.n) for r in chosen)
     keys = np.array([k for k, _ in found], np.uint64)
