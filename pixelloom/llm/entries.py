@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import chat, decontaminate, media, mixing, quality, toxicity
+from pixelloom.llm import chat, decontaminate, media, mixing, neardup, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -38,7 +42,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_chat_formatting, op5_decontamination, op6_quality, op8_media_columns, op9_source_mixing)}
+    return {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_chat_formatting, op5_decontamination, op6_quality, op8_media_columns, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
