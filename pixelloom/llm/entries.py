@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import chat, decontaminate, media, mixing, neardup, quality, toxicity
+from pixelloom.llm import chat, decontaminate, linededup, media, mixing, neardup, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_chat_formatting, op5_decontamination, op6_quality, op8_media_columns, op9_source_mixing)}
+    return {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_chat_formatting, op5_decontamination, op6_quality, op8_media_columns, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
