@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import chat, decontaminate, linededup, media, mixing, neardup, quality, toxicity
+from pixelloom.llm import chat, decontaminate, linededup, media, mixing, neardup, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), ("n_words", "n_removed", "kept_sha256"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
 
@@ -46,7 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_chat_formatting, op5_decontamination, op6_quality, op8_media_columns, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_chat_formatting, op5_decontamination, op6_quality, op7_substring_dedup, op8_media_columns, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
