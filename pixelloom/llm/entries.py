@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import chat, decontaminate, linededup, media, mixing, neardup, quality, substrings, toxicity
+from pixelloom.llm import chat, decontaminate, linededup, lm, media, mixing, neardup, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_chat_formatting, op5_decontamination, op6_quality, op7_substring_dedup, op8_media_columns, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_minhash_near_dedup, op4_chat_formatting, op5_decontamination, op6_quality, op7_substring_dedup, op8_media_columns, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
