@@ -20,8 +20,8 @@ BITS = 2
 K = BANDS * ROWS
 #: Candidates are dropped where the estimate is so far below the threshold (4.5 standard errors at 0.8).
 SLACK = 0.14
-#: Rows of a tile in which a bucket's members are compared.
-TILE = 2048
+#: About so many nodes, and shingles of theirs, make a part; a tile holds two parts of a route.
+TILE, TILE_WORDS = 2048, 1 << 20
 #: A table of ids to remove is broadcast up to this size on disk, else joined by shuffle.
 BROADCAST_BYTES = 24 << 20
 _U = np.uint64
@@ -134,12 +134,20 @@ def _estimated(pairs: DataFrame, floor: float) -> DataFrame:
     return pairs.mapInArrow(rows, "a long, b long")
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the wanted nodes (a kept table, column x)."""
+    if size_of(wanted) <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    ids = keep(nodes.join(wanted, F.col("node") == F.col("x"), "left_semi").select("node", "rep"), "ids")
+    small = F.broadcast(ids) if size_of(ids) <= BROADCAST_BYTES else ids
+    return docs.select(F.col(id_col).alias("_px_id"), F.col(text_col).alias("text")).join(small, F.col("rep") == F.col("_px_id")).select("node", "text")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets are as similar as asked."""
     pairs = keep(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
-    ids = nodes.join(wanted, F.col("node") == F.col("x"), "left_semi").select("node", "rep")
-    texts = ids.join(docs.select(F.col(id_col).alias("_px_id"), F.col(text_col).alias("text")), F.col("rep") == F.col("_px_id")).select("node", "text")
+    wanted = keep(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct(), "wanted")
+    texts = _texts(wanted, nodes, docs, id_col, text_col)
     one, two = texts.select(F.col("node").alias("na"), F.col("text").alias("ta")), texts.select(F.col("node").alias("nb"), F.col("text").alias("tb"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,66 +166,114 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return keep(joined.mapInArrow(rows, "a long, b long").distinct(), "confirmed")
 
 
-def _tiles(members: DataFrame, floor: float, percent: int, all_pairs: bool) -> DataFrame:
-    """Candidate pairs of different components within a bucket.
-
-    members: key, node, comp, n, sig, and parts, the tiles that the bucket is cut into. Every pair of tiles is compared
-    in a place of its own. all_pairs: else only the best partner of each node in each other component of the tile.
-    """
+def _tiled(members: DataFrame, column: str) -> DataFrame:
+    """members (route, node, comp, n, column, parts) dealt out so that every two parts of a route meet in one tile."""
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    dealt = members.withColumn("part", part).withColumn("o", other).select(F.xxhash64("key", F.least("part", "o"), F.greatest("part", "o")).alias("tile"), "part", "node", "comp", "n", "sig")
-
-    def group(part, node, comp, n, sig) -> tuple[np.ndarray, np.ndarray]:
-        left, right = (np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max()))
-        a_out, b_out = [], []
-        for at in range(0, len(left), 128):
-            rows = left[at : at + 128]
-            ok = comp[rows][:, None] != comp[right][None, :]
-            small = np.minimum(n[rows][:, None], n[right][None, :]) * 100 >= np.maximum(n[rows][:, None], n[right][None, :]) * percent
-            i, j = np.nonzero(ok & small)
-            if not len(i):
-                continue
-            sim = np.concatenate([similarity(sig[rows[i[k : k + 65536]]], sig[right[j[k : k + 65536]]]) for k in range(0, len(i), 65536)])
-            good = sim >= floor
-            i, j, sim = rows[i[good]], right[j[good]], sim[good]
-            if not all_pairs and len(i):
-                order = np.lexsort((node[j], -sim, comp[j], i))
-                i, j = i[order], j[order]
-                new = np.ones(len(i), bool)
-                new[1:] = (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])
-                i, j = i[new], j[new]
-            a_out.append(node[i]), b_out.append(node[j])
-        if not a_out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(a_out), np.concatenate(b_out)
+    dealt = members.withColumn("part", part).withColumn("o", other).select(F.xxhash64("route", F.least("part", "o"), F.greatest("part", "o")).alias("tile"), "route", "node", "comp", "n", column)
+    return dealt.repartition("tile").sortWithinPartitions("tile")
+
+
+def _per_tile(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """work on the rows of each tile; the rows come sorted by tile."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            b = pa.concat_batches(held)
+            if b.num_rows > 1:
+                yield from work(b)
+            held.clear()
+
+    owner = None
+    for b in batches:
+        tile = np.asarray(b.column(0))
+        edges = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+        for s, e in zip(edges, edges[1:], strict=False):
+            if e > s:
+                if owner != tile[s]:
+                    yield from flush()
+                    owner = tile[s]
+                held.append(b.slice(s, e - s))
+    yield from flush()
+
+
+def _with_partner(members: DataFrame, floor: float, percent: int) -> DataFrame:
+    """(route, node) of nodes that have a node of another component in their tile whose estimate reaches floor."""
+
+    def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, comp, n = (np.asarray(b.column(k)) for k in (2, 3, 4))
+        sig = np.frombuffer(b"".join(b.column(5).to_pylist()), _U).reshape(len(node), -1)
+        has = np.zeros(len(node), bool)
+        main = np.unique(comp, return_inverse=True)[1]
+        main = main == np.bincount(main).argmax()
+        loose = np.flatnonzero(~main)  # of two nodes of different components one at least is not in the largest
+        for at in range(0, len(loose), 64):
+            i = loose[at : at + 64]
+            ok = comp[i][:, None] != comp[None, :]
+            ok &= np.minimum(n[i][:, None], n[None, :]) * 100 >= np.maximum(n[i][:, None], n[None, :]) * percent
+            p, q = np.nonzero(ok)
+            for k in range(0, len(p), 1 << 15):
+                good = similarity(sig[i[p[k : k + (1 << 15)]]], sig[q[k : k + (1 << 15)]]) >= floor
+                has[i[p[k : k + (1 << 15)][good]]] = True
+                has[q[k : k + (1 << 15)][good]] = True
+        yield b.select([1, 2]).filter(pa.array(has))
+
+    return _tiled(members, "sig").mapInArrow(lambda batches: _per_tile(batches, work), "route long, node long").distinct()
+
+
+def _linked(members: DataFrame, percent: int) -> DataFrame:
+    """Links between components within a tile, exact on full sets; those that join what is joined already are left out."""
+
+    def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, n = np.asarray(b.column(2)), np.asarray(b.column(4)).astype(np.int64)
+        _, comp = np.unique(np.asarray(b.column(3)), return_inverse=True)
+        main = np.bincount(comp).argmax()
+        h = np.frombuffer(b"".join(b.column(5).to_pylist()), _U)
+        owner = np.repeat(np.arange(len(node)), n)
+        at = np.concatenate([[0], np.cumsum(n)])
+        order = np.argsort(h, kind="stable")
+        posting = owner[order]
+        word = np.unique(h, return_inverse=True)[1]
+        edge = np.concatenate([[0], np.cumsum(np.bincount(word))])
+        root = np.arange(int(comp.max()) + 1)
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = int(root[x])
+            return x
+
+        out = []
+        for i in np.flatnonzero(comp != main):
+            w = word[at[i] : at[i + 1]]
+            size = edge[w + 1] - edge[w]
+            where = np.repeat(edge[w] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+            both = np.bincount(posting[where], minlength=len(node))
+            near = np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (comp != comp[i]))
+            for j in near:
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((node[i], node[j]))
+        if out:
+            a, c = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+
+    return _tiled(members, "words").mapInArrow(lambda batches: _per_tile(batches, work), "a long, b long").distinct()
+
+
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(node, words): each node's full set of shingle hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in _and_none(batches):
-            if b is not None:
-                rest = b if rest is None else pa.concat_batches([rest, b])
-            if rest is None or not rest.num_rows:
-                continue
-            tile = np.asarray(rest.column(0))
-            cuts = np.flatnonzero(np.diff(tile)) + 1
-            end = len(tile) if b is None else (int(cuts[-1]) if len(cuts) else 0)
-            if end:
-                part, node, comp, n = (np.asarray(rest.column(k))[:end] for k in (1, 2, 3, 4))
-                sig = np.frombuffer(b"".join(rest.column(5).slice(0, end).to_pylist()), _U).reshape(end, -1)
-                edges = [0, *[int(c) for c in cuts if c < end], end]
-                found = [group(*(x[s:e] for x in (part, node, comp, n, sig))) for s, e in zip(edges, edges[1:], strict=False) if e - s > 1]
-                if found:
-                    a, b2 = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b2)), pa.array(np.maximum(a, b2))], names=["a", "b"])
-                rest = rest.slice(end)
-
-    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(rows, "a long, b long").distinct()
-
-
-def _and_none(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+        for b in slices(batches, "text"):
+            h, at = sets_of(Words(b.column(1), lower=True), n)
+            right = set_hash(h, at) == np.asarray(b.column(0)).view(_U)
+            words = pa.array([h[s:e].tobytes() for s, e in zip(at, at[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), words], names=["node", "words"]).filter(pa.array(right))
+
+    return texts.mapInArrow(rows, "node long, words binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,9 +285,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     id, n_shingles, component_id (least id in the group) and kept (id = component_id; repeated rows are all kept). A
     null id belongs to no group: component_id is null, kept true. Other columns are ignored.
 
-    Equal sets are one node. In each bucket every node is first held against the bucket's least node; buckets whose
-    nodes then still lie in several components are compared in tiles of bounded size, first each node's best
-    partners, then all pairs left between components.
+    Equal sets are one node. Every node is first held against the leader (least node) with which it shares most bands.
+    Nodes of buckets that then still lie in several components are compared in tiles of bounded size, by estimate and
+    then exactly; what leaves a tile is a forest of links, never its pairs.
     """
     floor = percent / 100 - SLACK
     signed = keep(_signatures(docs, id_col, text_col, n), "signatures")
@@ -252,19 +308,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     )
     links = _confirmed(_estimated(pairs, floor), nodes, docs, id_col, text_col, n, percent)
     roots = keep(components(links), "roots")
-    for last in (False, True):
-        named = members.join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("key").alias("k"))
-        open_ = named.join(mixed, F.col("key") == F.col("k"), "left_semi").join(sigs.withColumnRenamed("node", "y"), F.col("node") == F.col("y"))
-        parts = F.ceil(F.col("size") / TILE)
-        cand = keep(_tiles(open_.select("key", "node", "comp", "n", "sig", parts.alias("parts")), floor, percent, last), "tiles")
-        if cand.isEmpty():
-            break
-        more = _confirmed(cand, nodes, docs, id_col, text_col, n, percent)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        roots = keep(components(links), "roots")
+    named = members.join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    # buckets of several components; all those with the same least component are one route, in which a node is once
+    mixed = named.groupBy("key").agg(F.min("comp").alias("route"), F.max("comp").alias("c1")).where("route <> c1").select(F.col("key").alias("k"), "route")
+    open_ = keep(named.join(mixed, F.col("key") == F.col("k")).select("route", "node", "comp").distinct(), "open")
+    parts = F.greatest(F.ceil(F.col("many") / TILE), F.ceil(F.col("words") / TILE_WORDS))
+    sized = open_.join(sigs.withColumnRenamed("node", "y"), F.col("node") == F.col("y")).select("route", "node", "comp", "n", "sig")
+    cut = sized.groupBy("route").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("words")).select(F.col("route").alias("r"), parts.alias("parts"))
+    paired = keep(_with_partner(sized.join(cut, F.col("route") == F.col("r")), floor, percent), "partners")
+    if not paired.isEmpty():
+        wanted = keep(paired.select(F.col("node").alias("x")).distinct(), "wanted")
+        sets = keep(_sets(_texts(wanted, nodes, docs, id_col, text_col), n), "sets")
+        both = paired.join(open_.select(F.col("route").alias("r2"), F.col("node").alias("n2"), "comp"), F.expr("route = r2 AND node = n2")).select("route", "node", "comp")
+        full = both.join(sets.withColumnRenamed("node", "y"), F.col("node") == F.col("y")).select("route", "node", "comp", "words").withColumn("n", (F.length("words") / 8).cast("long"))
+        cut = full.groupBy("route").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("words")).select(F.col("route").alias("r"), parts.alias("parts"))
+        more = keep(_linked(full.join(cut, F.col("route") == F.col("r")), percent), "more-links")
+        if not more.isEmpty():
+            roots = keep(components(links.unionByName(more)), "roots")
     first = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = first.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "r")
     of = keep(first.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("x"), "least").distinct(), "groups")
