@@ -99,7 +99,7 @@ def fit(x: Sparse, n: int, y: np.ndarray, weight: np.ndarray, steps: int = 120,
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     scale = weight / weight.sum()
     for k in range(1, steps + 1):
-        err = (1 / (1 + np.exp(-margin(x, n, theta))) - y) * scale
+        err = (1 / (1 + np.exp(-np.clip(margin(x, n, theta), -30, 30))) - y) * scale
         grad = np.concatenate([np.bincount(x[1], weights=err[x[0]] * x[2], minlength=1 << BITS), [err.sum()]]) + decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
@@ -149,7 +149,7 @@ class Model:
                 self.weights.append(fit(_take(v, rows, n), len(rows), target, balance))
             z = [margin(v, n, w) for v, w in zip(x, self.weights, strict=True)]
             self.scale = [platt(m[aside], y[aside]) for m in z]
-            p = [1 / (1 + np.exp(-(a * m + c))) for m, (a, c) in zip(z, self.scale, strict=True)]
+            p = [1 / (1 + np.exp(-np.clip(a * m + c, -30, 30))) for m, (a, c) in zip(z, self.scale, strict=True)]
             if turn == ROUNDS or not len(pool):
                 break
             for view in (0, 1):  # what one view is sure of teaches the other
