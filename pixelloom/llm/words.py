@@ -90,6 +90,12 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def pick(self, which) -> list[bytes]:
+        """The words of these numbers."""
+        raw = memoryview(self.data)
+        start, end = self.start[which].tolist(), self.end[which].tolist()
+        return [bytes(raw[a:e]) for a, e in zip(start, end, strict=True)]
+
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in runs of about `most` bytes of text; one text is never split."""
