@@ -17,6 +17,7 @@ from pixelloom.operators import regions as C
 from pixelloom.operators import sequences as S
 from pixelloom.operators import strings as W
 from pixelloom.sources import derived as D
+from pixelloom.sources import images as I
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -336,3 +337,8 @@ _add(
     "small",
 )
 _add("jb_leader_classes", lambda s, d: R.leader_classes(sm(s, d), 128, 0.8))
+
+# formats: encoded and decoded again
+for _k in ("pnm", "bmp", "png", "spix", "tiff"):
+    _add(f"roundtrip_{_k}", lambda s, d, k=_k: I.pixels(I.encode(sm(s, d), k)), "SELECT image_id, y, x, v FROM small", "small")
+_add("box_lines", lambda s, d: I.box_lines(bx(s, d)), "SELECT set_id, i, '  Box[' || i || ']: x = ' || x || ', y = ' || y || ', w = ' || w || ', h = ' || h AS line FROM box UNION ALL SELECT set_id, -1, chr(10) || 'Boxa Version 2' || chr(10) || 'Number of boxes = ' || count(*) FROM box GROUP BY 1", "box")
