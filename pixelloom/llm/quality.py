@@ -106,13 +106,13 @@ def fit(x: Sparse, n: int, y: np.ndarray, weight: np.ndarray, steps: int = 120,
     return theta
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that calibrate margins z to labels y."""
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that calibrate margins z to labels y, each of its weight."""
     a, c = 1.0, 0.0
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-        g, w = p - t, np.maximum(p * (1 - p), 1e-9)
+        g, w = weight * (p - t), weight * np.maximum(p * (1 - p), 1e-9)
         hess = np.array([[w @ (z * z) + 1e-6, w @ z], [w @ z, w.sum() + 1e-6]])
         da, dc = np.linalg.solve(hess, [g @ z, g.sum()])
         a, c = a - da, c - dc
@@ -134,12 +134,16 @@ def _join(parts: list[Sparse], sizes: list[int]) -> Sparse:
 class Model:
     """Both views' weights, their calibration and the weights of the calibrated views in the sum."""
 
-    def __init__(self, x: tuple[Sparse, Sparse], n: int, y: np.ndarray):
-        """x: both views of n rows; y: label, or -1 for none. A fifth of the labelled rows calibrates and does not teach."""
+    def __init__(self, x: tuple[Sparse, Sparse], n: int, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)):
+        """x: both views of n rows; y: label, or -1 for none. A fifth of the labelled rows calibrates and does not teach.
+
+        weights: what a labelled row of class 0 and of class 1 stands for when calibrating.
+        """
         labelled = np.flatnonzero(y >= 0)
         aside = labelled[np.arange(len(labelled)) % 5 == 0]
         base = np.setdiff1d(labelled, aside)
         pool = np.flatnonzero(y < 0)
+        stands = np.array(weights)[y[aside]]
         self.handed = []
         train = [(base, y[base].astype(float)) for _ in x]
         for turn in range(ROUNDS + 1):
@@ -148,7 +152,7 @@ class Model:
                 balance = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
                 self.weights.append(fit(_take(v, rows, n), len(rows), target, balance))
             z = [margin(v, n, w) for v, w in zip(x, self.weights, strict=True)]
-            self.scale = [platt(m[aside], y[aside]) for m in z]
+            self.scale = [platt(m[aside], y[aside], stands) for m in z]
             p = [1 / (1 + np.exp(-np.clip(a * m + c, -30, 30))) for m, (a, c) in zip(z, self.scale, strict=True)]
             if turn == ROUNDS or not len(pool):
                 break
@@ -162,7 +166,7 @@ class Model:
                 train[1 - view] = np.concatenate(rows), np.concatenate(target)
             self.handed.append([len(t[0]) - len(base) for t in train])
         logits = np.stack([a * m + c for m, (a, c) in zip(z, self.scale, strict=True)])[:, aside]
-        best = max(np.linspace(0, 1.4, 15), key=lambda k: -np.logaddexp(0, -(2 * y[aside] - 1) * (k * logits[0] + max(0.0, 1 - k) * logits[1])).sum())
+        best = max(np.linspace(0, 1.4, 15), key=lambda k: -np.logaddexp(0, -(2 * y[aside] - 1) * (k * logits[0] + max(0.0, 1 - k) * logits[1])) @ stands)
         self.blend = float(best), max(0.0, 1 - float(best))
 
     def score(self, x: tuple[Sparse, Sparse], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +185,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...]
     """
     spark, key = docs.sparkSession, F.col(id_col)
     usable = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & (F.crc32(key.cast("string")) % FOLDS != HELD_OUT)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_px_label"))
+    usable = keep(usable, "labels")
+    totals = {r[0]: r[1] for r in usable.groupBy("_px_label").count().collect()}
     order = (F.xxhash64(F.lit(11), key), key)
     named = usable.where("_px_label = 1").orderBy(*order).limit(LABELLED).unionByName(usable.where("_px_label = 0").orderBy(*order).limit(LABELLED))
     other = docs.where(key.isNotNull()).select(id_col).join(labels.select(F.col(id_col).alias("_px_k")), key == F.col("_px_k"), "left_anti").orderBy(*order).limit(UNLABELLED)
@@ -209,7 +215,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...]
         for k in "01":
             f, v = got[f"f{k}"].combine_chunks(), got[f"v{k}"].combine_chunks()
             x.append((np.repeat(np.arange(len(y)), np.asarray(pa.compute.list_value_length(f))), np.asarray(f.flatten()).astype(np.int64), np.asarray(v.flatten()).astype(np.float64)))
-        model = Model(tuple(x), len(y), y)
+        model = Model(tuple(x), len(y), y, tuple(totals.get(c, 0) / (y == c).sum() for c in (0, 1)))
     shared = spark.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,8 @@ TERMS = 3000
 BLOCK, NEIGHBOURS = 64, 12
 #: Weight of a constant term that every vector has, so that texts without terms are near one another.
 CONSTANT = 1.5
-#: A term counts as significant from this likelihood ratio, lift of label 1, and odds for it.
-MIN_G, MIN_LIFT, MIN_ODDS = 22.0, 2.0, 8.0
+#: A term counts as significant from this likelihood ratio and odds ratio for label 1.
+MIN_G, MIN_ODDS = 22.0, 8.0
 FOLDS, HELD_OUT = 5, 0
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in ".,;:!?\"'()[]"]] = True
@@ -101,12 +101,13 @@ class Index:
         return t, w / norm, CONSTANT / norm
 
     @classmethod
-    def build(cls, keys: np.ndarray, idf: np.ndarray, examples: list[tuple[tuple, tuple, int, object]]) -> Index:
+    def build(cls, keys: np.ndarray, idf: np.ndarray, examples: list[tuple[tuple, tuple, int, object]], weights: tuple[float, float] = (1.0, 1.0)) -> Index:
+        """examples: terms, counts, label, id. weights: what an example of label 0 and of label 1 stands for."""
         groups: dict[tuple, list] = {}
         for terms, counts, label, ident in examples:
-            g = groups.setdefault((terms, counts), [0, 0, ident])
-            g[0] += label
-            g[1] += 1
+            g = groups.setdefault((terms, counts), [0.0, 0.0, ident])
+            g[0] += label * weights[1]
+            g[1] += weights[label]
         order = sorted(groups)
         n, blocks = len(order), max(1, -(-len(order) // BLOCK))
         rows, cols, vals, const = [], [], [], np.zeros(n)
@@ -122,7 +123,7 @@ class Index:
         np.maximum.at(most, cell, weight)
         toxic, votes = (np.array([groups[k][i] for k in order], np.float64) for i in (0, 1))
         out = cls(keys, idf, entry, weight, pointer, most.reshape(len(keys), blocks), const, toxic, votes, [groups[k][2] for k in order], (np.array([0.0, 1.0]), np.array([0.0, 1.0])), float(toxic.sum() / max(1.0, votes.sum())))
-        out._calibrate(order)
+        out._calibrate(order, weights)
         return out
 
     def nearest(self, terms: tuple, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -156,25 +157,27 @@ class Index:
         best = np.lexsort((np.arange(len(real)), -np.round(real, 12)))[:NEIGHBOURS]
         return best, real[best]
 
-    def raw(self, best: np.ndarray, cos: np.ndarray, without: tuple[int, float] | None = None) -> float:
+    def raw(self, best: np.ndarray, cos: np.ndarray, without: tuple[int, float, float] | None = None) -> float:
         """Distance-weighted share of toxic votes, drawn a little to the examples' share."""
         closeness = 1.0 / (0.02 + np.maximum(0.0, 1.0 - cos))
         toxic, votes = self.toxic[best].copy(), self.votes[best].copy()
         if without is not None:
             own = best == without[0]
             toxic[own] -= without[1]
-            votes[own] -= 1
-        scale = np.sqrt(np.maximum(votes, 0)) / np.maximum(votes, 1)  # many copies count, but not in proportion
+            votes[own] -= without[2]
+        toxic, votes = np.maximum(toxic, 0), np.maximum(votes, 0)
+        scale = np.sqrt(votes) / np.maximum(votes, 1)  # many copies count, but not in proportion
         return float((closeness * scale * toxic).sum() + 0.5 * self.prior) / float((closeness * scale * votes).sum() + 0.5)
 
-    def _calibrate(self, order: list[tuple]) -> None:
+    def _calibrate(self, order: list[tuple], weights: tuple[float, float]) -> None:
         """Isotonic regression of labels on each example's score without its own vote."""
         xs, ys, ws = [], [], []
         for i, (terms, counts) in enumerate(order):
             best, cos = self.nearest(terms, counts)
             for label, n in ((1.0, self.toxic[i]), (0.0, self.votes[i] - self.toxic[i])):
-                if n:
-                    xs.append(self.raw(best, cos, (i, label))), ys.append(label), ws.append(n)
+                if n > 1e-9:
+                    own = weights[int(label)]
+                    xs.append(self.raw(best, cos, (i, label * own, own))), ys.append(label), ws.append(n)
         if not xs:
             return
         pools: list[list[float]] = []
@@ -197,6 +200,8 @@ class Index:
 def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> Index:
     key = F.col(id_col)
     usable = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & (F.crc32(key.cast("string")) % FOLDS != HELD_OUT)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_px_label"))
+    usable = keep(usable, "labels")
+    all1, all0 = usable.agg(F.coalesce(F.sum("_px_label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_px_label")), F.lit(0))).first()
     order = (F.xxhash64(F.lit(7), key), key)
     picked = usable.where("_px_label = 1").orderBy(*order).limit(EXAMPLES).unionByName(usable.where("_px_label = 0").orderBy(*order).limit(EXAMPLES))
     picked = picked.select(F.col(id_col).alias("_px_id"), "_px_label")
@@ -222,7 +227,7 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     part = lambda x, mean: F.when(x > 0, x * F.log(x / mean)).otherwise(0.0)
     chosen = (
         sample.mapInArrow(tally, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-        .where((k >= 4) & (k > MIN_LIFT * p * n) & (k * (1 - p) > MIN_ODDS * (n - k) * p))
+        .where((k >= 4) & (k * (1 - p) > MIN_ODDS * (n - k) * p))
         .withColumn("g", 2 * (part(k, n * p) + part(n - k, n * (1 - p))))
         .where(F.col("g") > MIN_G).orderBy(F.desc("g"), "term").limit(TERMS).select("term", "n").collect()
         if n1 and n0 else []
@@ -239,7 +244,7 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
 
     kind = sample.schema["_px_id"].dataType.simpleString()
     rows = sample.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>").orderBy("id").collect()
-    return Index.build(keys, idf, [(tuple(r.terms), tuple(r.counts), r.label, r.id) for r in rows])
+    return Index.build(keys, idf, [(tuple(r.terms), tuple(r.counts), r.label, r.id) for r in rows], (all0 / max(1, n0), all1 / max(1, n1)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +252,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 
     Only rows of `labels` (id, label 0/1; others are ignored, of repeated ids the larger label counts) whose
     crc32(id as text) mod 5 is not 0 teach; at most EXAMPLES of either class. The terms most significant for label 1
-    span the space. Texts are the only input of a score; a null text counts as empty. Without usable labels every score
+    span the space; an example stands for its share of its class. Texts are the only input of a score; a null text counts as empty. Without usable labels every score
     is 0. Returns id, held_out (crc32 mod 5 is 0; a null id counts as ''), score in [0, 1], predicted (score >= 0.5) and
     evidence (ids of the nearest examples, nearest first). Other columns are ignored.
     """
