@@ -76,3 +76,32 @@ def transformed(bx: DataFrame, sx: float, sy: float, tx: int, ty: int) -> DataFr
     """Shifted, then scaled, rounded by adding 0.5."""
     r = lambda e: F.floor(e + 0.5).cast("int")
     return bx.select("set_id", "i", r((F.col("x") + tx) * sx).alias("x"), r((F.col("y") + ty) * sy).alias("y"), F.greatest(F.lit(1), r(F.col("w") * sx)).alias("w"), F.greatest(F.lit(1), r(F.col("h") * sy)).alias("h"))
+
+
+def combined(bx: DataFrame, cell: int = 64) -> DataFrame:
+    """Boxes of a set united while any two overlap: the finest division into bounding boxes that share no area.
+
+    Each round unites the connected groups of overlapping boxes (touching is not overlapping); rounds end when none do.
+    """
+    from pixelloom.operators.graph import connected
+    from pixelloom.sources.scratch import scratch
+
+    now = scratch(bx.where("w > 0 AND h > 0").select("set_id", F.col("i").cast("long").alias("i"), "x", "y", "w", "h"), "boxes")
+    while True:
+        links = scratch(overlaps(now, cell).select("set_id", F.col("i").alias("a"), F.col("j").alias("b")), "overlaps")
+        if links.isEmpty():
+            return now
+        root = connected(links, "set_id").withColumnRenamed("node", "i")
+        g = now.join(root, ["set_id", "i"], "left").withColumn("i", F.coalesce("root", "i"))
+        g = g.groupBy("set_id", "i").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("r"), F.max(F.col("y") + F.col("h")).alias("b"))
+        now = scratch(g.select("set_id", "i", "x", "y", (F.col("r") - F.col("x")).alias("w"), (F.col("b") - F.col("y")).alias("h")), "boxes")
+
+
+def aligned_stats(bx: DataFrame) -> DataFrame:
+    """Median (rank rule) and range of each side over a set."""
+    side = bx.select("set_id", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(k).alias("v")) for k in ("x", "y", "w", "h")))).alias("e")).select("set_id", "e.side", "e.v")
+    n = side.groupBy("set_id", "side", "v").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("set_id", "side")
+    c = n.select("set_id", "side", "v", F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("k").over(w).alias("n"))
+    at = F.floor((F.col("n") - 1) * 0.5 + 0.5)
+    return c.groupBy("set_id", "side").agg(F.min(F.when(F.col("c") > at, F.col("v"))).alias("median"), F.min("v").alias("low"), F.max("v").alias("high"))

@@ -132,3 +132,32 @@ def smoothed_pairs(na: DataFrame, half: int) -> DataFrame:
     side = na.withColumn("side", F.col("i") % 2)
     w = Window.partitionBy("set_id", "side").orderBy("i").rowsBetween(-half, half)
     return side.select("set_id", "i", F.element_at(F.array_sort(F.collect_list("v").over(w)), F.floor(F.count("v").over(w) / 2).cast("int") + 1).alias("median"))
+
+
+def histogram_stats(na: DataFrame, width: float) -> DataFrame:
+    """Of the histogram with bins of a width: mean and variance of the bins' places, the first place where half is reached, the first mode."""
+    h = na.select("set_id", (F.floor(F.col("v") / width) * width).alias("at")).groupBy("set_id", "at").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("set_id")
+    c = h.select("set_id", "at", "n", F.sum("n").over(w.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("n").over(w).alias("t"))
+    m = F.sum(F.col("at") * F.col("n")) / F.sum("n")
+    best = F.max(F.struct("n", (-F.col("at")).alias("m")))
+    return c.groupBy("set_id").agg(F.round(m, 6).alias("mean"), F.round(F.sum(F.col("at") * F.col("at") * F.col("n")) / F.sum("n") - m * m, 4).alias("var"), F.min(F.when(F.col("c") * 2 >= F.col("t"), F.col("at"))).alias("median"), (-best["m"]).alias("mode"))
+
+
+def reversals(na: DataFrame) -> DataFrame:
+    """Local extrema: places where the sign of the difference changes."""
+    d = na.select("set_id", "i", "v", F.signum(F.col("v") - F.lag("v").over(_line())).alias("s")).where("s <> 0")
+    return d.select("set_id", "i", (F.lag("s").over(_line()) * F.col("s")).alias("p")).where("p < 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("n_reversals"))
+
+
+def nearest_model(na: DataFrame, has: float, most: int) -> DataFrame:
+    """For each element the nearest element with v >= has, by place, within `most`; ties: the lower place.
+
+    An as-of join in both directions by two windows.
+    """
+    own = F.when(F.col("v") >= has, F.col("i"))
+    before = F.last(own, ignorenulls=True).over(_line().rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(own, ignorenulls=True).over(_line().rowsBetween(0, Window.unboundedFollowing))
+    r = na.select("set_id", "i", before.alias("p"), after.alias("q"))
+    near = F.when(F.col("q").isNull() | (F.col("i") - F.col("p") <= F.col("q") - F.col("i")), F.col("p")).otherwise(F.col("q"))
+    return r.select("set_id", "i", F.when(F.abs(near - F.col("i")) <= most, near).alias("model"))

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pixelloom.functions import colour as K
 from pixelloom.operators import aggregates as A
 from pixelloom.operators import boxes as B
+from pixelloom.operators import enhance as E
 from pixelloom.operators import geometry as G
 from pixelloom.operators import neighbourhood as N
 from pixelloom.operators import pixels as P
@@ -342,3 +344,58 @@ _add("jb_leader_classes", lambda s, d: R.leader_classes(sm(s, d), 128, 0.8))
 for _k in ("pnm", "bmp", "png", "spix", "tiff"):
     _add(f"roundtrip_{_k}", lambda s, d, k=_k: I.pixels(I.encode(sm(s, d), k)), "SELECT image_id, y, x, v FROM small", "small")
 _add("box_lines", lambda s, d: I.box_lines(bx(s, d)), "SELECT set_id, i, '  Box[' || i || ']: x = ' || x || ', y = ' || y || ', w = ' || w || ', h = ' || h AS line FROM box UNION ALL SELECT set_id, -1, chr(10) || 'Boxa Version 2' || chr(10) || 'Number of boxes = ' || count(*) FROM box GROUP BY 1", "box")
+
+# enhancement and colour
+_CUM = "{h}, s AS (SELECT image_id, v, sum(n) OVER (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING)::DOUBLE / sum(n) OVER (PARTITION BY image_id)::DOUBLE AS share FROM h)"
+_add("equalise", lambda s, d: E.equalise(g(s, d)), "WITH " + _CUM.format(h=_HIST.format("pix")) + " SELECT p.image_id, p.y, p.x, floor(s.share * 255 + 0.5)::INTEGER AS v FROM pix p JOIN s USING (image_id, v)", "pix")
+_add("contrast_stretch", lambda s, d: E.stretch(g(s, d), 0.05, 0.95), "WITH " + _CUM.format(h=_HIST.format("pix")) + ", e AS (SELECT image_id, min(v) FILTER (share >= 0.05::DOUBLE) AS lo, min(v) FILTER (share >= 0.95::DOUBLE) AS hi FROM s GROUP BY 1) SELECT image_id, y, x, greatest(0, least(255, floor((v - lo) * 255.0::DOUBLE / greatest(hi - lo, 1) + 0.5)))::INTEGER AS v FROM pix JOIN e USING (image_id)", "pix")
+_add(
+    "background_norm",
+    lambda s, d: E.normalise_background(g(s, d), 10, 15, 60, 40, 200),
+    """WITH a AS (SELECT *, y // 15 AS ty, x // 10 AS tx FROM pix), t AS (SELECT image_id, ty, tx, count(*) FILTER (v >= 60) AS n, sum(v) FILTER (v >= 60) AS s FROM a GROUP BY 1, 2, 3),
+    b AS (SELECT image_id, ty, tx, CASE WHEN n >= 40 THEN floor(s::DOUBLE / n + 0.5)::INTEGER END AS bg FROM t),
+    f AS (SELECT image_id, ty, tx, coalesce((SELECT arg_max(c.bg, c.ty) FROM b c WHERE c.image_id = b.image_id AND c.tx = b.tx AND c.ty <= b.ty AND c.bg IS NOT NULL), (SELECT arg_min(c.bg, c.ty) FROM b c WHERE c.image_id = b.image_id AND c.tx = b.tx AND c.ty > b.ty AND c.bg IS NOT NULL), 200) AS bg FROM b)
+    SELECT image_id, y, x, least(255, (v * 200) // greatest(bg, 1))::INTEGER AS v FROM a JOIN f USING (image_id, ty, tx)""",
+    "pix",
+)
+_MEAN2 = _win("pix", "any_value(p.v) AS v, floor(avg(q.v) + 0.5) AS m", 2, 2, 2, 2)
+_add("block_mean", lambda s, d: E.block_mean(g(s, d), 2, 2), f"WITH m AS ({_MEAN2}) SELECT image_id, y, x, m::INTEGER AS v FROM m", "pix")
+_add("unsharp_mask", lambda s, d: E.unsharp(g(s, d), 2, 0.5), f"WITH m AS ({_MEAN2}) SELECT image_id, y, x, greatest(0, least(255, floor(v + 0.5::DOUBLE * (v - m) + 0.5)))::INTEGER AS v FROM m", "pix")
+_add("census_transform", lambda s, d: E.census(g(s, d), 2), f"WITH m AS ({_MEAN2}) SELECT image_id, y, x, (v > m)::INTEGER AS v FROM m", "pix")
+_add(
+    "bilateral",
+    lambda s, d: E.bilateral(sm(s, d), 1, 1.5, 40.0, 4),
+    """WITH s AS (SELECT p.image_id, p.y, p.x, p.v AS m, least(greatest(p.y + j, 0), 7) AS sy, least(greatest(p.x + i, 0), 7) AS sx, i, j FROM small p CROSS JOIN range(-1, 2) a(j) CROSS JOIN range(-1, 2) b(i)),
+    k AS (SELECT s.image_id, s.y, s.x, q.v, exp(-(j * j + i * i)::DOUBLE / 4.5 - ((q.v - s.m) * (q.v - s.m))::DOUBLE / 3200.0) AS w FROM s JOIN small q ON q.image_id = s.image_id AND q.y = s.sy AND q.x = s.sx)
+    SELECT image_id, y, x, least(255, floor(sum(w * v) / sum(w) + 0.5))::INTEGER AS v FROM k GROUP BY 1, 2, 3""",
+    "small",
+)
+_OCT = " + ".join(f"((({c} >> {7 - k}) & 1) * {w * 8 ** (2 - k)})" for k in range(3) for c, w in (("r", 4), ("g", 2), ("b", 1)))
+_add("octcube_quantise", lambda s, d: E.octcube_quantise(rgb(s, d), 3), f"WITH c AS (SELECT *, ({_OCT})::INTEGER AS cube FROM rgb), m AS (SELECT image_id, cube, floor(avg(r) + 0.5)::INTEGER AS qr, floor(avg(g) + 0.5)::INTEGER AS qg, floor(avg(b) + 0.5)::INTEGER AS qb FROM c GROUP BY 1, 2) SELECT image_id, y, x, cube, qr, qg, qb FROM c JOIN m USING (image_id, cube)", "rgb")
+_add("median_cut", lambda s, d: E.median_cut(rgb(s, d), 16))
+
+
+def _lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    r, gg, b = (F.col(c) for c in "rgb")
+    parts = zip(("xx", "yy", "zz", "ll", "aa", "bb"), (*K.xyz(r, gg, b), *K.lab(r, gg, b)))
+    return rgb(spark, sf_dir).select(*P.KEY, *(F.round(e, 4).alias(n) for n, e in parts))
+
+
+_lin = "CASE WHEN {0} / 255.0::DOUBLE <= 0.04045 THEN {0} / 255.0::DOUBLE / 12.92 ELSE pow(({0} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
+_f = "CASE WHEN {0} > 216.0::DOUBLE / 24389 THEN cbrt({0}) ELSE ({0} * (24389.0::DOUBLE / 27) + 16) / 116 END"
+_add(
+    "xyz_lab",
+    _lab,
+    f"""WITH l AS (SELECT image_id, y, x, {_lin.format('r')} AS r, {_lin.format('g')} AS g, {_lin.format('b')} AS b FROM rgb),
+    c AS (SELECT image_id, y, x, 0.4124::DOUBLE * r + 0.3576::DOUBLE * g + 0.1805::DOUBLE * b AS xx, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS yy, 0.0193::DOUBLE * r + 0.1192::DOUBLE * g + 0.9505::DOUBLE * b AS zz FROM l),
+    n AS (SELECT *, xx / 0.95047::DOUBLE AS nx, zz / 1.08883::DOUBLE AS nz FROM c), f AS (SELECT *, {_f.format('nx')} AS fx, {_f.format('yy')} AS fy, {_f.format('nz')} AS fz FROM n)
+    SELECT image_id, y, x, round(xx, 4) AS xx, round(yy, 4) AS yy, round(zz, 4) AS zz, round(116 * fy - 16, 4) AS ll, round(500 * (fx - fy), 4) AS aa, round(200 * (fy - fz), 4) AS bb FROM f""",
+    "rgb",
+)
+_add("box_aligned_stats", lambda s, d: B.aligned_stats(bx(s, d)), "WITH e AS (SELECT set_id, 'x' AS side, x AS v FROM box UNION ALL SELECT set_id, 'y', y FROM box UNION ALL SELECT set_id, 'w', w FROM box UNION ALL SELECT set_id, 'h', h FROM box), r AS (SELECT *, row_number() OVER (PARTITION BY set_id, side ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY set_id, side) AS n FROM e) SELECT set_id, side, max(v) FILTER (k = floor((n - 1) * 0.5 + 0.5)) AS median, min(v) AS low, max(v) AS high FROM r GROUP BY 1, 2", "box")
+_add("box_combine_overlaps", lambda s, d: B.combined(bx(s, d)))
+_add("numa_histogram_stats", lambda s, d: S.histogram_stats(na(s, d), 5.0), "WITH h AS (SELECT set_id, floor(v / 5.0::DOUBLE) * 5.0::DOUBLE AS q, count(*) AS n FROM numa GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY set_id ORDER BY q) AS c, sum(n) OVER (PARTITION BY set_id) AS t FROM h) SELECT set_id, round((sum(q * n) / sum(n))::DOUBLE, 6) AS mean, round((sum(q * q * n) / sum(n) - (sum(q * n) / sum(n)) * (sum(q * n) / sum(n)))::DOUBLE, 4) AS var, min(q) FILTER (c * 2 >= t) AS median, (list(q ORDER BY n DESC, q))[1] AS mode FROM c GROUP BY 1", "numa")
+_add("numa_reversals", lambda s, d: S.reversals(na(s, d)), "WITH a AS (SELECT set_id, i, sign(v - lag(v) OVER (PARTITION BY set_id ORDER BY i)) AS s FROM numa), b AS (SELECT set_id, i, lag(s) OVER (PARTITION BY set_id ORDER BY i) * s AS p FROM a WHERE s <> 0) SELECT set_id, count(*) AS n_reversals FROM b WHERE p < 0 GROUP BY 1", "numa")
+_add("numa_nearest_model", lambda s, d: S.nearest_model(na(s, d), 300.0, 20), "WITH a AS (SELECT set_id, i, max(CASE WHEN v >= 300 THEN i END) OVER (PARTITION BY set_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS p, min(CASE WHEN v >= 300 THEN i END) OVER (PARTITION BY set_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM numa), b AS (SELECT set_id, i, CASE WHEN q IS NULL OR i - p <= q - i THEN p ELSE q END AS m FROM a) SELECT set_id, i, CASE WHEN abs(m - i) <= 20 THEN m END AS model FROM b", "numa")

@@ -198,3 +198,52 @@ def test_leaders(spark):
     px = table(spark, *[b * 255 for b in base for _ in range(4)])
     got = {r.image_id: r.leader for r in recognition.leader_classes(px, 128, 0.9).collect()}
     assert got == {i: i // 4 * 4 for i in range(12)}
+
+
+def test_combined_boxes_share_no_area(spark):
+    rng = random.Random(11)
+    rows = [(k % 2, k, rng.randrange(300), rng.randrange(300), rng.randrange(1, 60), rng.randrange(1, 60)) for k in range(120)]
+    out = boxes.combined(spark.createDataFrame(rows, "set_id long, i long, x int, y int, w int, h int"))
+    assert boxes.overlaps(out).count() == 0
+    want = {}
+    for s in (0, 1):
+        group = [(x, y, x + w, y + h) for t, _, x, y, w, h in rows if t == s]
+        done = False
+        while not done:
+            done = True
+            for a in range(len(group)):
+                for b in range(a):
+                    p, q = group[a], group[b]
+                    if min(p[2], q[2]) > max(p[0], q[0]) and min(p[3], q[3]) > max(p[1], q[1]):
+                        group[b] = (min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]))
+                        del group[a]
+                        done = False
+                        break
+                if not done:
+                    break
+        want[s] = sorted(group)
+    got = {s: sorted((r.x, r.y, r.x + r.w, r.y + r.h) for r in out.collect() if r.set_id == s) for s in (0, 1)}
+    assert got == want
+
+
+def test_median_cut_covers_all_pixels(spark):
+    from pixelloom.operators import enhance
+
+    rng = np.random.default_rng(3)
+    rgb = spark.createDataFrame([(0, 0, x, *map(int, rng.integers(0, 256, 3))) for x in range(400)], "image_id long, y int, x int, r int, g int, b int")
+    got = enhance.median_cut(rgb, 8).collect()
+    assert len(got) == 8 and sum(r.n for r in got) == 400 and max(r.n for r in got) < 100
+
+
+def test_streaming_histogram_equals_batch(spark, tmp_path):
+    from pixelloom.operators import aggregates
+    from pixelloom.sources import derived
+    from pixelloom.streaming import rasters
+
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(2).write.parquet(f"{tmp_path}/events")
+    q = rasters.histogram_stream(spark, f"{tmp_path}/events").writeStream.outputMode("complete").format("memory").queryName("hist_stream").start()
+    q.processAllAvailable()
+    q.stop()
+    batch = {r.v: r.n for r in aggregates.histogram(derived.gray(spark, sf)).collect() if r.n}
+    assert {r.v: r.n for r in spark.table("hist_stream").collect()} == batch
