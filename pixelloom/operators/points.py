@@ -39,3 +39,33 @@ def refit(pt: DataFrame, factor: float) -> DataFrame:
     c = n.select("set_id", "e", F.sum("k").over(w).alias("c"), F.sum("k").over(Window.partitionBy("set_id")).alias("n"))
     med = c.where(F.col("c") > F.floor((F.col("n") - 1) * 0.5 + 0.5)).groupBy("set_id").agg(F.min("e").alias("med"))
     return linear_fit(err.join(med, "set_id").where(F.col("e") <= factor * F.col("med")).select("set_id", "x", "y"))
+
+
+def selected(pt: DataFrame, x: float, y: float, relation: str, both: bool) -> DataFrame:
+    """Points whose coordinates stand in the relation (<, >, <=, >=) to x and (or) y."""
+    return pt.where(f"x {relation} {float(x)} {'AND' if both else 'OR'} y {relation} {float(y)}")
+
+
+def moments(pt: DataFrame) -> DataFrame:
+    """Extremes and centroid."""
+    return pt.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 4).alias("cy"))
+
+
+def cubic_fit(pt: DataFrame) -> DataFrame:
+    """y = a u^3 + b u^2 + c u + d with u = x - mean x: normal equations of moments, solved by Cramer's rule."""
+    m = pt.groupBy("set_id").agg(F.avg("x").alias("mx"))
+    d = pt.join(m, "set_id").select("set_id", "mx", (F.col("x") - F.col("mx")).alias("u"), "y")
+    s = d.groupBy("set_id", "mx").agg(*(F.avg(F.pow("u", F.lit(float(k)))).alias(f"s{k}") for k in range(7)), *(F.avg(F.pow("u", F.lit(float(k))) * F.col("y")).alias(f"t{k}") for k in range(4)))
+
+    def det(rows: list[list[str]]):
+        if len(rows) == 1:
+            return F.col(rows[0][0])
+        out = None
+        for k, head in enumerate(rows[0]):
+            part = F.col(head) * det([r[:k] + r[k + 1 :] for r in rows[1:]])
+            out = part if out is None else out - part if k % 2 else out + part
+        return out
+
+    base = [[f"s{i + j}" for j in range(4)] for i in range(4)]
+    solve = lambda k: det([[f"t{i}" if j == k else base[i][j] for j in range(4)] for i in range(4)]) / det(base)
+    return s.select("set_id", *(F.round(solve(k), 2).alias(n) for k, n in ((3, "a"), (2, "b"), (1, "c"))))

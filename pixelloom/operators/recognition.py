@@ -75,3 +75,17 @@ def leader_classes(small: DataFrame, t: int, least: float) -> DataFrame:
         return pd.DataFrame(out, columns=["image_id", "leader"])
 
     return sized.groupBy("bucket").applyInPandas(lead, "image_id long, leader long")
+
+
+def best_shift(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
+    """The shift (dy, dx) of b, at most `most` each way, with the largest and^2 / (n_a n_b); ties: the least dy, then dx.
+
+    Foreground pixels of a are repeated once per shift (a constant number) and counted where b has one.
+    """
+    s = F.sequence(F.lit(-most), F.lit(most))
+    on = a.where("v = 1").select("image_id", "y", "x").withColumn("dy", F.explode(s)).withColumn("dx", F.explode(s))
+    asked = on.select("image_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "dy", "dx")
+    hit = asked.join(b.where("v = 1").select("image_id", "y", "x"), ["image_id", "y", "x"]).groupBy("image_id", "dy", "dx").agg(F.count(F.lit(1)).alias("both"))
+    na, nb = (t.groupBy("image_id").agg(F.sum("v").alias(n)) for t, n in ((a, "na"), (b, "nb")))
+    best = hit.groupBy("image_id").agg(F.max(F.struct("both", (-F.col("dy")).alias("dy"), (-F.col("dx")).alias("dx"))).alias("m"))
+    return best.join(na, "image_id").join(nb, "image_id").select("image_id", (-F.col("m.dy")).alias("dy"), (-F.col("m.dx")).alias("dx"), F.round(F.col("m.both") * F.col("m.both") / (F.col("na") * F.col("nb")), 6).alias("score"))

@@ -161,3 +161,21 @@ def nearest_model(na: DataFrame, has: float, most: int) -> DataFrame:
     r = na.select("set_id", "i", before.alias("p"), after.alias("q"))
     near = F.when(F.col("q").isNull() | (F.col("i") - F.col("p") <= F.col("q") - F.col("i")), F.col("p")).otherwise(F.col("q"))
     return r.select("set_id", "i", F.when(F.abs(near - F.col("i")) <= most, near).alias("model"))
+
+
+def peaks(na: DataFrame, half: int, least: float) -> DataFrame:
+    """Elements at or above `least` that no element within half places exceeds; of equal ones the first."""
+    w = _line()
+    before, after = F.max("v").over(w.rowsBetween(-half, -1)), F.max("v").over(w.rowsBetween(1, half))
+    p = na.select("set_id", "i", "v", before.alias("b"), after.alias("a"))
+    return p.where((F.col("v") >= least) & (F.col("b").isNull() | (F.col("v") > F.col("b"))) & (F.col("a").isNull() | (F.col("v") >= F.col("a")))).select("set_id", "i", "v")
+
+
+def interpolated(na: DataFrame, step: int) -> DataFrame:
+    """Every step-th element kept and the others replaced by the line between their kept neighbours."""
+    kept = F.when(F.col("i") % step == 0, F.struct("i", "v"))
+    w = _line()
+    r = na.select("set_id", "i", F.last(kept, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.first(kept, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("q"))
+    t = (F.col("i") - F.col("p.i")) / (F.col("q.i") - F.col("p.i"))
+    v = F.when(F.col("q.i").isNull() | (F.col("q.i") == F.col("p.i")), F.col("p.v")).otherwise(F.col("p.v") + t * (F.col("q.v") - F.col("p.v")))
+    return r.select("set_id", "i", F.round(v, 6).alias("v"))

@@ -341,7 +341,7 @@ _add(
 _add("jb_leader_classes", lambda s, d: R.leader_classes(sm(s, d), 128, 0.8))
 
 # formats: encoded and decoded again
-for _k in ("pnm", "bmp", "png", "spix", "tiff"):
+for _k in ("pnm", "bmp", "png", "gif", "spix", "tiff"):
     _add(f"roundtrip_{_k}", lambda s, d, k=_k: I.pixels(I.encode(sm(s, d), k)), "SELECT image_id, y, x, v FROM small", "small")
 _add("box_lines", lambda s, d: I.box_lines(bx(s, d)), "SELECT set_id, i, '  Box[' || i || ']: x = ' || x || ', y = ' || y || ', w = ' || w || ', h = ' || h AS line FROM box UNION ALL SELECT set_id, -1, chr(10) || 'Boxa Version 2' || chr(10) || 'Number of boxes = ' || count(*) FROM box GROUP BY 1", "box")
 
@@ -399,3 +399,32 @@ _add("box_combine_overlaps", lambda s, d: B.combined(bx(s, d)))
 _add("numa_histogram_stats", lambda s, d: S.histogram_stats(na(s, d), 5.0), "WITH h AS (SELECT set_id, floor(v / 5.0::DOUBLE) * 5.0::DOUBLE AS q, count(*) AS n FROM numa GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY set_id ORDER BY q) AS c, sum(n) OVER (PARTITION BY set_id) AS t FROM h) SELECT set_id, round((sum(q * n) / sum(n))::DOUBLE, 6) AS mean, round((sum(q * q * n) / sum(n) - (sum(q * n) / sum(n)) * (sum(q * n) / sum(n)))::DOUBLE, 4) AS var, min(q) FILTER (c * 2 >= t) AS median, (list(q ORDER BY n DESC, q))[1] AS mode FROM c GROUP BY 1", "numa")
 _add("numa_reversals", lambda s, d: S.reversals(na(s, d)), "WITH a AS (SELECT set_id, i, sign(v - lag(v) OVER (PARTITION BY set_id ORDER BY i)) AS s FROM numa), b AS (SELECT set_id, i, lag(s) OVER (PARTITION BY set_id ORDER BY i) * s AS p FROM a WHERE s <> 0) SELECT set_id, count(*) AS n_reversals FROM b WHERE p < 0 GROUP BY 1", "numa")
 _add("numa_nearest_model", lambda s, d: S.nearest_model(na(s, d), 300.0, 20), "WITH a AS (SELECT set_id, i, max(CASE WHEN v >= 300 THEN i END) OVER (PARTITION BY set_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS p, min(CASE WHEN v >= 300 THEN i END) OVER (PARTITION BY set_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM numa), b AS (SELECT set_id, i, CASE WHEN q IS NULL OR i - p <= q - i THEN p ELSE q END AS m FROM a) SELECT set_id, i, CASE WHEN abs(m - i) <= 20 THEN m END AS model FROM b", "numa")
+
+# more geometry, points and arrays
+_TAPS = """c AS (SELECT image_id, y, x, floor(sy)::INTEGER AS iy, floor(sx)::INTEGER AS ix, floor((sy - floor(sy)) * 16)::INTEGER AS fy, floor((sx - floor(sx)) * 16)::INTEGER AS fx FROM m),
+    t AS (SELECT c.*, iy + j AS ys, ix + i AS xs, (CASE WHEN j = 1 THEN fy ELSE 16 - fy END) * (CASE WHEN i = 1 THEN fx ELSE 16 - fx END) AS wt FROM c CROSS JOIN range(0, 2) a(j) CROSS JOIN range(0, 2) b(i))
+    SELECT t.image_id, t.y, t.x, ((sum(coalesce(p.v, 255) * wt) + 128) // 256)::INTEGER AS v FROM t LEFT JOIN pix p ON p.image_id = t.image_id AND p.y = t.ys AND p.x = t.xs GROUP BY 1, 2, 3"""
+_add("affine_interpolated", lambda s, d: G.affine_interpolated(g(s, d), 0.9, 0.1, 2.0, -0.1, 0.95, 3.0), f"WITH m AS (SELECT image_id, y, x, x * 0.9::DOUBLE + y * 0.1::DOUBLE + 2.0::DOUBLE AS sx, x * -0.1::DOUBLE + y * 0.95::DOUBLE + 3.0::DOUBLE AS sy FROM pix), {_TAPS}", "pix")
+_sin, _cos = (f"{getattr(__import__('math'), k)(0.3)!r}::DOUBLE" for k in ("sin", "cos"))
+_add("rotate_sampled", lambda s, d: G.rotate_sampled(g(s, d), 0.3), f"WITH {_SIZE}, m AS (SELECT image_id, y, x, (h // 2 + floor((y - h // 2) * {_cos} - (x - w // 2) * {_sin} + 0.5))::INTEGER AS sy, (w // 2 + floor((x - w // 2) * {_cos} + (y - h // 2) * {_sin} + 0.5))::INTEGER AS sx FROM pix JOIN z USING (image_id)) SELECT m.image_id, m.y, m.x, coalesce(q.v, 255) AS v FROM m LEFT JOIN pix q ON q.image_id = m.image_id AND q.y = m.sy AND q.x = m.sx", "pix")
+_PROJ = [0.95, 0.05, 1.0, 0.02, 0.9, 2.0, 0.0005, 0.0002]
+_k = "(x * 0.0005::DOUBLE + y * 0.0002::DOUBLE + 1.0::DOUBLE)"
+_add("projective_sampled", lambda s, d: G.projective_sampled(g(s, d), _PROJ), f"WITH m AS (SELECT image_id, y, x, trunc((x * 0.95::DOUBLE + y * 0.05::DOUBLE + 1.0::DOUBLE) / {_k} + 0.5)::INTEGER AS sx, trunc((x * 0.02::DOUBLE + y * 0.9::DOUBLE + 2.0::DOUBLE) / {_k} + 0.5)::INTEGER AS sy FROM pix) SELECT m.image_id, m.y, m.x, coalesce(q.v, 255) AS v FROM m LEFT JOIN pix q ON q.image_id = m.image_id AND q.y = m.sy AND q.x = m.sx", "pix")
+_add("scale_sampled", lambda s, d: G.scale_sampled(g(s, d), 1.5, 0.75), f"WITH {_SIZE}, b AS (SELECT image_id, unnest(range(0, floor(h * 0.75 + 0.5)::INTEGER))::INTEGER AS y, w, h FROM z), c AS (SELECT image_id, y, unnest(range(0, floor(w * 1.5 + 0.5)::INTEGER))::INTEGER AS x, w, h FROM b) SELECT c.image_id, c.y, c.x, p.v FROM c JOIN pix p ON p.image_id = c.image_id AND p.y = least(floor(c.y / 0.75::DOUBLE), h - 1) AND p.x = least(floor(c.x / 1.5::DOUBLE), w - 1)", "pix")
+_add("mirror_shift_match", lambda s, d: R.best_shift(_small_bin(s, d), N.dilate(_small_bin(s, d), 2, 1), 2), f"WITH bin8 AS (SELECT image_id, y, x, (v < 128)::INTEGER AS v FROM small), dil AS ({_win('bin8', 'max(coalesce(q.v, 0)) AS v', 0, 0, 1, 0)}), n AS (SELECT a.image_id, dy::INTEGER AS dy, dx::INTEGER AS dx, count(*) AS m FROM bin8 a CROSS JOIN range(-2, 3) s(dy) CROSS JOIN range(-2, 3) t(dx) JOIN dil b ON b.image_id = a.image_id AND b.y = a.y - dy AND b.x = a.x - dx WHERE a.v = 1 AND b.v = 1 GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY m DESC, dy, dx) AS r FROM n), u AS (SELECT image_id, sum(v)::DOUBLE AS na FROM bin8 GROUP BY 1), w AS (SELECT image_id, sum(v)::DOUBLE AS nb FROM dil GROUP BY 1) SELECT k.image_id, dy, dx, round(m * m / (na * nb), 6) AS score FROM k JOIN u USING (image_id) JOIN w USING (image_id) WHERE r = 1", "small")
+_add("pta_select", lambda s, d: T.selected(D.points(s, d), 25.0, 40000.0, ">=", True), "SELECT * FROM pt WHERE x >= 25 AND y >= 40000", "pt")
+_add("pta_moments", lambda s, d: T.moments(D.points(s, d)), "SELECT set_id, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, round(avg(x), 6) AS cx, round(avg(y), 4) AS cy FROM pt GROUP BY 1", "pt")
+_add("numa_peaks", lambda s, d: S.peaks(na(s, d), 4, 200.0), "WITH k AS (SELECT set_id, i, v, max(v) OVER (PARTITION BY set_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, max(v) OVER (PARTITION BY set_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS a FROM numa) SELECT set_id, i, v FROM k WHERE v >= 200 AND (b IS NULL OR v > b) AND (a IS NULL OR v >= a)", "numa")
+_add("numa_interpolated", lambda s, d: S.interpolated(na(s, d), 5), "WITH k AS (SELECT a.set_id, a.i, a.v, p.v AS pv, q.v AS qv, a.i % 5 AS r FROM numa a JOIN numa p ON p.set_id = a.set_id AND p.i = a.i - a.i % 5 LEFT JOIN numa q ON q.set_id = a.set_id AND q.i = a.i - a.i % 5 + 5) SELECT set_id, i, round(CASE WHEN r = 0 OR qv IS NULL THEN pv ELSE pv + (r::DOUBLE / 5) * (qv - pv) END, 6) AS v FROM k", "numa")
+
+
+def _palette_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Palette indices, then colours again by a join with the palette: a dictionary of at most 256 rows."""
+    from pyspark.sql import functions as F
+
+    index = P.nearest_colour(rgb(spark, sf_dir), PALETTE)
+    palette = spark.createDataFrame([(i, *c) for i, c in enumerate(PALETTE)], "v int, r int, g int, b int")
+    return index.join(F.broadcast(palette), "v").select(*P.KEY, "r", "g", "b")
+
+
+_add("remove_colormap", _palette_round_trip, f"WITH m AS (SELECT *, (list_sort([{_far}])[1]).i AS v FROM rgb), p AS (SELECT * FROM (VALUES {', '.join(str((i, *c)) for i, c in enumerate(PALETTE))}) t(v, pr, pg, pb)) SELECT image_id, y, x, pr AS r, pg AS g, pb AS b FROM m JOIN p USING (v)", "rgb")

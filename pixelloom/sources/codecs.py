@@ -1,4 +1,4 @@
-"""Raster formats in bytes: PNM (P1-P6), PAM (P7), BMP, PNG, SPIX, and uncompressed, PackBits or deflate TIFF.
+"""Raster formats in bytes: PNM (P1-P6), PAM (P7), BMP, PNG, GIF, SPIX, and uncompressed, PackBits, LZW or deflate TIFF.
 
 A raster is (array, depth): an array of shape (h, w) with unsigned values of 1, 2, 4, 8 or 16 bits, or (h, w, 3) or
 (h, w, 4) of 8 bits. One byte string in, one out: the readers and writers run in Arrow functions over binary columns.
@@ -224,8 +224,145 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _codes(data: bytes, high_first: bool):
+    """A reader of codes of a given number of bits; None at the end."""
+    held, bits, at = 0, 0, 0
+
+    def take(n: int) -> int | None:
+        nonlocal held, bits, at
+        while bits < n:
+            if at == len(data):
+                return None
+            held = held << 8 | data[at] if high_first else held | data[at] << bits
+            bits, at = bits + 8, at + 1
+        bits -= n
+        if high_first:
+            out, held = held >> bits, held & (1 << bits) - 1
+        else:
+            out, held = held & (1 << n) - 1, held >> n
+        return out
+
+    return take
+
+
+def lzw_decode(data: bytes, root_bits: int = 8, high_first: bool = True) -> bytes:
+    """Variable-width LZW. high_first: as in TIFF, which widens its codes one early; else as in GIF."""
+    take, clear = _codes(data, high_first), 1 << root_bits
+    early = int(high_first)
+    out, table, width, last = bytearray(), [], root_bits + 1, None
+    roots = [bytes([k]) for k in range(clear)] + [b"", b""]
+    while (code := take(width)) is not None and code != clear + 1:
+        if code == clear:
+            table, width, last = list(roots), root_bits + 1, None
+            continue
+        if not table:
+            table = list(roots)
+        if last is None:
+            word = table[code]
+        else:
+            word = table[code] if code < len(table) else last + last[:1]
+            if len(table) < 4096:
+                table.append(last + word[:1])
+        out += word
+        last = word
+        if len(table) + early >= 1 << width and width < 12:
+            width += 1
+    return bytes(out)
+
+
+def lzw_encode(data: bytes, root_bits: int) -> bytes:
+    """Variable-width LZW with the low bits first, as in GIF."""
+    clear = 1 << root_bits
+    held, bits, out = 0, 0, bytearray()
+
+    def put(code: int, n: int) -> None:
+        nonlocal held, bits
+        held |= code << bits
+        bits += n
+        while bits >= 8:
+            out.append(held & 255)
+            held >>= 8
+            bits -= 8
+
+    table, width = {bytes([k]): k for k in range(clear)}, root_bits + 1
+    put(clear, width)
+    word = b""
+    for k in range(len(data)):
+        longer = word + data[k : k + 1]
+        if longer in table:
+            word = longer
+            continue
+        put(table[word], width)
+        if len(table) + 2 < 4096:
+            table[longer] = len(table) + 2
+            if len(table) + 1 >= (1 << width) and width < 12 and len(table) + 2 > 1 << width:
+                width += 1
+        else:
+            put(clear, width)
+            table, width = {bytes([k]): k for k in range(clear)}, root_bits + 1
+        word = data[k : k + 1]
+    if word:
+        put(table[word], width)
+    put(clear + 1, width)
+    if bits:
+        out.append(held & 255)
+    return bytes(out)
+
+
+def read_gif(data: bytes) -> Raster:
+    """The one frame of a GIF; several frames are an error. A gray ramp as palette gives gray."""
+    flags, at = data[10], 13
+    map_ = np.frombuffer(data, np.uint8, 3 << (flags & 7) + 1, at).reshape(-1, 3) if flags & 0x80 else None
+    at += 3 << (flags & 7) + 1 if flags & 0x80 else 0
+    found, root = bytearray(), 0
+    while data[at] != 0x3B:
+        frame = data[at] != 0x21
+        if not frame:
+            at += 2
+        else:
+            if root:
+                raise ValueError("several frames")
+            w, h, local = struct.unpack("<HHB", data[at + 5 : at + 10])
+            at += 10
+            if local & 0x40:
+                raise ValueError("interlaced")
+            if local & 0x80:
+                map_ = np.frombuffer(data, np.uint8, 3 << (local & 7) + 1, at).reshape(-1, 3)
+                at += 3 << (local & 7) + 1
+            root = data[at]
+            at += 1
+        while data[at]:
+            if frame:
+                found += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+    a = np.frombuffer(lzw_decode(bytes(found), root, False), np.uint8)[: w * h].reshape(h, w)
+    n = len(map_)
+    if (map_ == (np.arange(n) * 255 // (n - 1))[:, None]).all():
+        return a, (n - 1).bit_length()
+    return map_[a], 8
+
+
+def write_gif(a: np.ndarray, depth: int) -> bytes:
+    """Gray of up to 8 bits, or colour of up to 256 different colours."""
+    h, w = a.shape[:2]
+    if a.ndim == 3:
+        map_, index = np.unique(a.reshape(-1, a.shape[2])[:, :3], axis=0, return_inverse=True)
+        if len(map_) > 256:
+            raise ValueError("more than 256 colours")
+        bits = max(1, (len(map_) - 1).bit_length())
+    else:
+        bits = min(depth, 8)
+        map_, index = np.repeat(np.arange(1 << bits)[:, None] * 255 // ((1 << bits) - 1), 3, axis=1), (a >> 8 if depth == 16 else a).ravel()
+    map_ = np.pad(map_.astype(np.uint8), ((0, (1 << bits) - len(map_)), (0, 0)))
+    root = max(2, bits)
+    body = lzw_encode(index.astype(np.uint8).tobytes(), root)
+    blocks = b"".join(bytes([len(body[k : k + 255])]) + body[k : k + 255] for k in range(0, len(body), 255))
+    return b"GIF89a" + struct.pack("<HHBBB", w, h, 0x80 | bits - 1, 0, 0) + map_.tobytes() + b"," + struct.pack("<HHHHB", 0, 0, w, h, 0) + bytes([root]) + blocks + b"\0;"
+
+
 def read_tiff(data: bytes, page: int = 0) -> Raster:
-    """A strip image: no compression, PackBits or deflate; 1, 2, 4, 8 or 16 bits gray, or RGB(A) of 8."""
+    """A strip image: no compression, PackBits, LZW or deflate; 1, 2, 4, 8 or 16 bits gray, or RGB(A) of 8."""
     e = "<" if data[:2] == b"II" else ">"
     at = struct.unpack(e + "I", data[4:8])[0]
     for _ in range(page):
@@ -242,7 +379,9 @@ def read_tiff(data: bytes, page: int = 0) -> Raster:
     one = lambda t, d: tags.get(t, (d,))[0]
     w, h, bits, per, how, photo = one(256, 0), one(257, 0), one(258, 1), one(277, 1), one(259, 1), one(262, 1)
     strips = [data[o : o + n] for o, n in zip(tags[273], tags[279])]
-    undo = {1: bytes, 32773: _packbits, 8: zlib.decompress, 32946: zlib.decompress}
+    undo = {1: bytes, 5: lzw_decode, 32773: _packbits, 8: zlib.decompress, 32946: zlib.decompress}
+    if one(317, 1) != 1:
+        raise ValueError("predictor")
     if how not in undo:
         raise ValueError(f"compression {how}")
     raw = np.frombuffer(b"".join(map(undo[how], strips)), np.uint8)
@@ -265,8 +404,8 @@ def write_tiff(a: np.ndarray, depth: int, deflate: bool = True) -> bytes:
     return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *x) for x in entries) + b"\0\0\0\0"
 
 
-READERS = {"pnm": read_pnm, "bmp": read_bmp, "png": read_png, "spix": read_spix, "tiff": read_tiff}
-WRITERS = {"pnm": write_pnm, "bmp": write_bmp, "png": write_png, "spix": write_spix, "tiff": write_tiff}
+READERS = {"gif": read_gif, "pnm": read_pnm, "bmp": read_bmp, "png": read_png, "spix": read_spix, "tiff": read_tiff}
+WRITERS = {"gif": write_gif, "pnm": write_pnm, "bmp": write_bmp, "png": write_png, "spix": write_spix, "tiff": write_tiff}
 
 
 def read(data: bytes) -> Raster:

@@ -182,7 +182,7 @@ def test_pnm_text_comments_and_pam():
     assert (codecs.read(codecs.write_pnm(a[:, :, 0], 8, text=True))[0] == a[:, :, 0]).all()
     assert codecs.sniff(b"GIF89a") == "gif" and codecs.sniff(b"RIFF....WEBP") == "webp" and codecs.sniff(b"") == "unknown"
     with pytest.raises(ValueError):
-        codecs.read(b"GIF89a")
+        codecs.read(b"\xff\xd8\xff")
     assert codecs._packbits(bytes([2, 1, 2, 3, 254, 9, 128])) == bytes([1, 2, 3, 9, 9, 9])
     assert max(map(len, codecs.base64_lines(bytes(100)).split("\n"))) == 72
 
@@ -251,3 +251,42 @@ def test_streaming_histogram_equals_batch(spark, tmp_path):
     q.stop()
     batch = {r.v: r.n for r in aggregates.histogram(derived.gray(spark, sf)).collect() if r.n}
     assert {r.v: r.n for r in spark.table("hist_stream").collect()} == batch
+
+
+@pytest.mark.parametrize("depth", [1, 4, 8])
+def test_gif(depth):
+    rng = np.random.default_rng(depth)
+    for a in (rng.integers(0, 1 << depth, (70, 90)), np.zeros((40, 300), int), rng.integers(0, 1 << depth, (1, 1)), np.arange(9000).reshape(90, 100) // 40 % (1 << depth)):
+        data = codecs.write_gif(a, depth)
+        assert codecs.sniff(data) == "gif" and (codecs.read(data)[0] == a).all()
+    c = rng.integers(0, 4, (20, 20, 3)) * 60
+    assert (codecs.read(codecs.write_gif(c, 8))[0] == c).all()
+
+
+def test_tiff_lzw_stream():
+    # the example of the format's specification: clear, 7, 258, 8, 8, 258, 6, 6, end in codes of 9 bits
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    data = bytes(int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8))
+    assert codecs.lzw_decode(data) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+def test_cubic_fit(spark):
+    from pyspark.sql import functions as F
+
+    from pixelloom.operators import points
+
+    pt = spark.range(50).select(F.lit("a").alias("set_id"), F.col("id").cast("double").alias("x"), (0.5 * F.pow("id", F.lit(3.0)) - 2 * F.pow("id", F.lit(2.0)) + 7).alias("y"))
+    r = points.cubic_fit(pt).first()
+    assert (r.a, r.b) == (0.5, round(3 * 0.5 * 24.5 - 2, 2))
+
+
+def test_hsv_round_trip(spark):
+    from pyspark.sql import functions as F
+
+    from pixelloom.functions import colour
+
+    rng = np.random.default_rng(6)
+    rgb = spark.createDataFrame([(0, 0, x, *map(int, c)) for x, c in enumerate(rng.integers(0, 256, (300, 3)))], "image_id long, y int, x int, r int, g int, b int")
+    back = pixels.hsv(rgb).select("image_id", "y", "x", *(e.alias(n) for n, e in zip("pqs", colour.hsv_to_rgb(F.col("h"), F.col("s"), F.col("val")))))
+    far = rgb.join(back, ["image_id", "y", "x"]).select(F.max(F.greatest(F.abs(F.col("r") - F.col("p")), F.abs(F.col("g") - F.col("q")), F.abs(F.col("b") - F.col("s"))))).first()[0]
+    assert far <= 6
