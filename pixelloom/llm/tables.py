@@ -17,11 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def keep(df: DataFrame, name: str = "t", block: int = 128 << 20) -> DataFrame:
-    """df, written to the shared folder (in row groups of about `block` bytes) and read again."""
+def keep(df: DataFrame, name: str = "t", block: int = 128 << 20, dictionary: bool = True, codec: str = "zstd") -> DataFrame:
+    """df, written to the shared folder (in row groups of about `block` bytes) and read again.
+
+    dictionary: False for columns of mostly distinct values.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pixelloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", block).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", block).option("parquet.enable.dictionary", dictionary).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out

@@ -23,6 +23,8 @@ BLOCK, NEIGHBOURS = 64, 12
 CONSTANT = 1.5
 #: A term counts as significant from this likelihood ratio and odds ratio for label 1.
 MIN_G, MIN_ODDS = 22.0, 8.0
+#: Bytes of text taken together, and scores of equal vectors that a task remembers.
+SLICE, KNOWN = 1 << 20, 8192
 FOLDS, HELD_OUT = 5, 0
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in ".,;:!?\"'()[]"]] = True
@@ -209,7 +211,7 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     sample = keep(docs.join(F.broadcast(picked), F.col(id_col) == F.col("_px_id")).select("_px_id", "_px_label", F.col(text_col).alias("text")), "examples")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             label = np.asarray(b.column(1)).astype(np.int64)
             h, doc = term_hashes(Words(b.column(2), lower=True))
             order = np.lexsort((h, doc))
@@ -238,7 +240,7 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     look = Lookup(keys)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             got = counted(Words(b.column(2), lower=True), look)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
 
@@ -263,9 +265,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, known = index.value, {}
         look = Lookup(ix.keys)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             got = counted(Words(b.column(1), lower=True), look)
-            if len(known) > 50_000:
+            if len(known) > KNOWN:
                 known.clear()
             for g in got:
                 if g not in known:
@@ -287,9 +289,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, known = index.value, {}
         look = Lookup(ix.keys)
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SLICE):
             got = counted(Words(b.column(place), lower=True), look)
-            if len(known) > 50_000:
+            if len(known) > KNOWN:
                 known.clear()
             for g in got:
                 if g not in known:
