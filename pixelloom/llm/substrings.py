@@ -158,9 +158,8 @@ class Segments:
         self.of_window = np.cumsum(new) - 1
         self.offset = np.arange(len(at)) - first[self.of_window] if len(at) else at
         n = np.diff(np.append(first, len(at)))
-        last = first + n - 1
         ident = x.ids[doc[first]] if len(first) else np.zeros(0, np.int64)
-        content = mix(x.hash[at[first]] * _M + mix(x.hash[at[last]] + n.astype(_U))) if len(first) else np.zeros(0, _U)
+        content = mix(np.add.reduceat(mix(x.hash[at] * _M + self.offset.astype(_U)), first) + n.astype(_U)) if len(first) else np.zeros(0, _U)
         order = np.lexsort((ident, content))
         key = np.ones(len(order), bool)
         key[1:] = content[order][1:] != content[order][:-1]
