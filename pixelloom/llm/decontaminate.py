@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm.words import Words, mix, slices
 
-#: The spaced seeds ('1': the token counts), all of weight 7. An item of fewer words than a seed's span is sought whole.
-MASKS = ("1101100110101", "1110010110011", "1011010011101")
+#: The spaced seeds ('1': the token counts) and the least and greatest items that use them. A stretch of 13 words or more of
+#: which 80 % are equal has four equal words in a row, or is 15 words with the 4th, 8th and 12th changed. Shorter items are
+#: sought whole.
+MASKS = (("1111", 13, 1 << 60), ("11011", 13, 1 << 60))
+WHOLE = 12
 #: An overlap counts from so many words (an item's own length, if that is less) with this share of equal tokens.
 MIN_WORDS, MIN_MATCH = 13, 0.8
-#: In an extension a substitution costs so many matches; it ends where the sum falls this far below its best.
-PENALTY, DROP = 3, 12
 #: Test items are matched in blocks of at most so many bytes of text, each broadcast and held against all rows.
 BLOCK_BYTES = 16 << 20
 _U = np.uint64
@@ -58,16 +59,15 @@ class Items:
         w = Words(pa.array(texts, pa.string()), lower=True)
         self.ids, self.at, self.h = ids, w.at, w.hashes()
         keys, places = [], []
-        longest = max(map(len, MASKS))
-        owner = w.doc
-        for m, mask in enumerate(MASKS):
+        owner, count = w.doc, w.counts[w.doc]
+        for m, (mask, low, high) in enumerate(MASKS):
             s = seed_hashes(self.h, mask)
             start = np.arange(len(s))
-            inside = owner[start] == owner[start + len(mask) - 1] if len(s) else np.zeros(0, bool)
+            inside = (owner[start] == owner[start + len(mask) - 1]) & (count[start] >= low) & (count[start] <= high) if len(s) else np.zeros(0, bool)
             keys.append(s[inside]), places.append(start[inside] * len(MASKS) + m)
         self.short: dict[int, list[int]] = {}
         for i, n in enumerate(w.counts):
-            if 0 < n < longest:
+            if 0 < n <= WHOLE:
                 self.short.setdefault(int(n), []).append(i)
         self.short_keys = {n: {int(_whole(self.h[self.at[i] : self.at[i + 1]])): i for i in reversed(v)} for n, v in self.short.items()}
         self.twins: dict[int, list[int]] = {}
@@ -83,7 +83,7 @@ class Items:
     def hits(self, h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a place in the texts (h, owner: the text of each token) and a place in the items, where a seed agrees."""
         here, there = [], []
-        for m, mask in enumerate(MASKS):
+        for m, (mask, _, _) in enumerate(MASKS):
             s = seed_hashes(h, mask)
             at = np.flatnonzero(self.maybe[(s >> _U(42)).astype(np.int64)])
             if len(at):
@@ -97,20 +97,48 @@ class Items:
         return np.concatenate(here), np.concatenate(there)
 
 
-def _extend(equal: np.ndarray, at: int) -> tuple[int, int]:
-    """The best-scoring run of `equal` around at, as [left, right)."""
-
-    def reach(x: np.ndarray) -> int:
-        score = np.cumsum(np.where(x, 1, -PENALTY))
-        if not len(score):
-            return 0
-        best = np.maximum.accumulate(np.maximum(score, 0))
-        low = np.flatnonzero(score <= best - DROP)
-        end = low[0] if len(low) else len(score)
-        k = int(np.argmax(score[:end])) if end else 0
-        return k + 1 if end and score[k] > 0 else 0
-
-    return at - reach(equal[:at][::-1]), at + reach(equal[at:])
+def _promising(h: np.ndarray, at: np.ndarray, items: Items, here: np.ndarray, there: np.ndarray, text: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Of each hit: whether a stretch near it may count. One of 26 words or more has a part of 13 to 25 that counts too."""
+    reach = 2 * MIN_WORDS - 2
+    out = np.zeros(len(here), bool)
+    for k in range(0, len(here), 1 << 15):
+        part = slice(k, k + (1 << 15))
+        p, q = (x[part, None] + np.arange(-reach, reach + 1) for x in (here, there))
+        t, i = text[part, None], item[part, None]
+        inside = (p >= at[t]) & (p < at[t + 1]) & (q >= items.at[i]) & (q < items.at[i + 1])
+        equal = inside & (h[np.clip(p, 0, len(h) - 1)] == items.h[np.clip(q, 0, len(items.h) - 1)])
+        total = np.concatenate([np.zeros((len(p), 1), np.int64), np.cumsum(equal, axis=1)], axis=1)
+        good = (items.at[i + 1] - items.at[i])[:, 0] < MIN_WORDS
+        for n in range(MIN_WORDS, reach + 2):
+            good |= (total[:, n:] - total[:, :-n]).max(axis=1) >= MIN_MATCH * n - 1e-9
+        out[part] = good
+    return out
+
+
+def _stretches(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The longest stretch [left, right) of `least` words or more with enough equal ones, and those on either side of it."""
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < least:
+            continue
+        # with whole numbers: an equal word adds 1, another takes 4
+        score = np.concatenate([[0], np.cumsum(np.where(equal[a:b], 1, -4))])
+        low = np.minimum.accumulate(score)  # descending: the first place at most as high as each end
+        left = np.searchsorted(-low, -score, side="left")
+        size = np.arange(len(score)) - left
+        right = int(np.argmax(size))
+        left = int(left[right])
+        if right - left < least:
+            continue
+        left, right = a + left, a + right
+        todo += [(a, left), (right, b)]
+        while right - left > least and not equal[right - 1]:
+            right -= 1
+        while right - left > least and not equal[left]:
+            left += 1
+        out.append((left, right))
+    return out
 
 
 def overlaps_of(h: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int, int]]:
@@ -125,21 +153,17 @@ def overlaps_of(h: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int,
         shift = here - at[text] - (there - items.at[item])
         order = np.lexsort((here, shift, item, text))
         here, there, item, text, shift = (x[order] for x in (here, there, item, text, shift))
-        last, done = None, -1
-        for p, q, i, t, s in zip(here.tolist(), there.tolist(), item.tolist(), text.tolist(), shift.tolist(), strict=True):
-            if (t, i, s) != last:
-                last, done = (t, i, s), -1
-            if p < done:
+        pick = _promising(h, at, items, here, there, text, item)
+        last = None
+        for p, q, i, t, s in zip(here[pick].tolist(), there[pick].tolist(), item[pick].tolist(), text[pick].tolist(), shift[pick].tolist(), strict=True):
+            if (t, i, s) == last:
                 continue
+            last = (t, i, s)
             back = min(p - int(at[t]), q - int(items.at[i]))
             ahead = min(int(at[t + 1]) - p, int(items.at[i + 1]) - q)
             equal = h[p - back : p + ahead] == items.h[q - back : q + ahead]
-            left, right = _extend(equal, back)
-            n, same = right - left, int(equal[left:right].sum())
-            size = int(items.at[i + 1] - items.at[i])
-            if n >= min(MIN_WORDS, size) and same >= MIN_MATCH * n:
-                out.append((t, i, p - back + left - int(at[t]), q - back + left - int(items.at[i]), n, same))
-                done = p - back + right
+            for left, right in _stretches(equal, min(MIN_WORDS, int(items.at[i + 1] - items.at[i]))):
+                out.append((t, i, p - back + left - int(at[t]), q - back + left - int(items.at[i]), right - left, int(equal[left:right].sum())))
     for n, known in items.short_keys.items():
         if len(h) >= n:
             x = np.full(len(h) - n + 1, _U(n))
@@ -167,7 +191,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and test item that overlap.
 
-    Words are lower-cased (A-Z). An overlap is a stretch of the two word sequences along one diagonal, grown around an
+    Words are lower-cased (A-Z). An overlap is a stretch of the two word sequences along one diagonal, around an
     agreeing seed, of 13 words or more (the whole item, if that is shorter) of which 80 % are equal. Null and empty
     texts overlap nothing; a null id is kept as such; repeated rows and items are reported each. Returns the ids,
     n_spans, words (in the longest span), matched (its equal words), doc_start and item_start (its first words).
