@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pixelloom.llm.words import Words, mix, slices
 
 #: The spaced seeds ('1': the token counts) and the least and greatest items that use them. A stretch of 13 words or more of
-#: which 80 % are equal has four equal words in a row, or is 15 words with the 4th, 8th and 12th changed. Shorter items are
-#: sought whole.
-MASKS = (("1111", 13, 1 << 60), ("11011", 13, 1 << 60))
-WHOLE = 12
+#: which 80 % are equal has four equal words in a row, or is 15 words with the 4th, 8th and 12th changed. Of the items of
+#: 5 to 12 words some keep two or three in a row only; an item of up to four words tolerates no change and is sought whole.
+MASKS = (("1111", 8, 1 << 60), ("11011", 13, 1 << 60), ("111", 6, 7), ("111", 10, 11), ("11", 5, 5))
+WHOLE = 4
 #: An overlap counts from so many words (an item's own length, if that is less) with this share of equal tokens.
 MIN_WORDS, MIN_MATCH = 13, 0.8
 #: Test items are matched in blocks of at most so many bytes of text, each broadcast and held against all rows.

@@ -14,7 +14,7 @@ def found(item, text):
     return decontaminate.overlaps_of(w.hashes(), w.at, decontaminate.Items([0], [item]))
 
 
-@pytest.mark.parametrize("n,most", [(13, 2), (15, 3), (18, 3)])
+@pytest.mark.parametrize("n,most", [(5, 1), (7, 1), (10, 2), (12, 2), (13, 2), (15, 3), (18, 3)])
 def test_every_placement(n, most):
     words = [f"w{k}" for k in range(n)]
     for c in range(most + 1):
