@@ -445,71 +445,97 @@ def test_mixing(spark, docs, rows, none):
 
 
 def brute_lines(rows):
-    """Groups of lines by comparing every pair."""
-    norm = lambda s: re.sub(" {2,}", " ", s.lower().replace(",", "").replace(".", "")).strip(" \t\r")
-    lines = [(i, k, norm(x)) for i, t, *_ in rows if i is not None and t is not None for k, x in enumerate(t.split("\n")) if norm(x)]
-    return lines
+    """(id, line number, normalised line) of the lines that count."""
+    norm = lambda s: " ".join(re.sub(r"[.,;:!?\"'()\[\]{}<>\-_*#&%$|]", "", re.sub("[1-9]", "0", s.lower())).replace("\t", " ").split(" ")).strip()
+    return [(i, k, re.sub(" +", " ", norm(x))) for i, t, *_ in rows if i is not None and t is not None for k, x in enumerate(t.split("\n")) if norm(x)]
+
+
+def line_blocks(spark, lines):
+    """The SimHash blocks of each distinct line, bit by bit."""
+    count = collections.Counter(w for _, _, x in lines for w in x.split(" "))
+    common = {w for w, n in count.items() if n > max(linededup.COMMON * len(lines), 20)}
+    texts = {x for _, _, x in lines}
+    pairs = {(a, b) for x in texts for a, b in zip(x.split(" "), [*x.split(" ")[1:], None])}
+    ab = spark.createDataFrame(sorted(pairs, key=str), "a string, b string").select("a", "b", F.xxhash64("a").alias("h"), F.xxhash64("a", "b").alias("p"))
+    feature = {(r.a, r.b): r.p if r.a in common else r.h for r in ab.collect()}
+    out = {}
+    for x in texts:
+        s = sorted({feature[p] for p in zip(x.split(" "), [*x.split(" ")[1:], None])})
+        got = set()
+        for words in ([3] if len(s) >= 7 else []) + ([2] if len(s) <= 8 else []):
+            for k in range(8):
+                at = sum(f < -(2**63) + k * 2**61 for f in s)
+                votes = [s[(at + j) % len(s)] for j in range(words)] + [0x5DEECE66D1CE4E5B] * (3 - words)
+                got.add(sum((sum(v >> b & 1 for v in votes) >= 2) << b for b in range(64)))
+        out[x] = got
+    return out
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def similar_lines(a, b):
+    if max(len(a), len(b)) > 256:
+        a, b = a.split(" "), b.split(" ")
+    most = 0.2 * max(len(a), len(b)) + 1e-9
+    return abs(len(a) - len(b)) <= most and edits(a, b) <= most
+
+
+def line_groups(blocks):
+    """The group of each line, by comparing every pair."""
+    texts = sorted(blocks)
+    group = {x: x for x in texts}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for k, a in enumerate(texts):
+        for b in texts[:k]:
+            if blocks[a] & blocks[b] and similar_lines(a, b):
+                group[find(a)] = find(b)
+    return find
 
 
 def test_line_dedup(spark, none):
     rng = random.Random(12)
-    vocab = [f"w{k}" for k in range(500)]
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 8))) for _ in range(500)]
     line = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
-    shared, long = [line(8) for _ in range(5)], [line(200) for _ in range(4)]
+    shared, long = [line(8) for _ in range(5)], [line(300) for _ in range(4)]
     rows = []
     for i in range(40):
-        body = [line(rng.randint(1, 30)) for _ in range(4)]
-        body[1:1] = [rng.choice(shared).upper() + rng.choice(["", "!!", " ."]), ""]
+        body = [line(rng.randint(1, 30)) for _ in range(4)] + [" ".join([*shared[3].split(" ")[: rng.randint(5, 8)], rng.choice(vocab)])]
+        body[1:1] = [rng.choice(shared).upper() + rng.choice(["", "!!", " ."]), "", f"the page of the {line(6)}"]
         w = rng.choice(long).split()
-        w[rng.randrange(200)] = rng.choice(vocab)
+        w[rng.randrange(300)] = rng.choice(vocab)
         rows.append((i, "\n".join([*body, " ".join(w), "***", "***"]), None, None, None, 1, ""))
     rows += [(50, None, None, None, None, 1, ""), (51, "", None, None, None, 1, ""), (None, shared[0], None, None, None, 1, ""), (52, shared[0], None, None, None, 1, ""), rows[3]]
-    rows += [(60, line(1300), None, None, None, 1, "")] * 40  # one row many times, with a line of several runs
+    rows += [(60, line(1300), None, None, None, 1, "")] * 40  # one row many times, with a long line
     docs = spark.createDataFrame(rows, DOCS)
     gone, roots = linededup.fuzzy_lines(docs)
-    assert roots.count() > 0
-    h = {r.norm: r.h for r in spark.createDataFrame([(x[2],) for x in set(brute_lines(rows))], "norm string").select("norm", F.xxhash64("norm").alias("h")).collect()}
     lines = sorted(set(brute_lines(rows)))
-    sims = {r.h1: r.sim for r in linededup.simhashes(spark.createDataFrame(lines, "id long, pos int, norm string").select("id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")).collect()}
-    feature = {}
-    pairs = {(a, b) for _, _, x in lines for a, b in zip(x.split(), [*x.split()[1:], None])}
-    one = {r.a: r.h for r in spark.createDataFrame([(a,) for a, _ in pairs], "a string").select("a", F.xxhash64("a").alias("h")).collect()}
-    for a, b in pairs:
-        feature[a, b] = (one[a] ^ one.get(b, 0) << 1) & (1 << 60) - 1
-    texts = sorted({x for _, _, x in lines})
-    for x in texts:  # the SimHash itself
-        fs = [feature[p] for p in zip(x.split(), [*x.split()[1:], None])]
-        most = lambda v: sum(1 << b for b in range(60) if 2 * sum(f >> b & 1 for f in v) > len(v))
-        assert sims[h[x]] == most([most(fs[k : k + 512]) for k in range(0, len(fs), 512)])
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    group = {x: x for x in texts}
-
-    def find(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for k, a in enumerate(texts):
-        for b in texts[:k]:
-            if (sims[h[a]] ^ sims[h[b]]).bit_count() <= linededup.DISTANCE:
-                x, y = a.split(), b.split()
-                if distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
-                    group[find(a)] = find(b)
+    every = [x for x in brute_lines(rows)]
+    blocks = line_blocks(spark, every)
+    h = {r.h: r.norm for r in spark.createDataFrame([(x,) for x in blocks], "norm string").select("norm", F.xxhash64("norm").alias("h")).collect()}
+    common = linededup.common_words(spark.createDataFrame(every, "id long, pos int, norm string"))
+    assert common  # 'the', 'page', 'of'
+    drawn = linededup.simhashes(spark.createDataFrame([(k, x) for x, k in zip(h.values(), h)], "h1 long, norm string"), common).collect()
+    assert {h[r.node]: {b % 2**64 for b in r.blocks} for r in drawn} == blocks
+    find = line_groups(blocks)
     first, want = {}, collections.defaultdict(set)
     for i, k, x in lines:
         r = find(x)
         if first.setdefault(r, (i, k)) != (i, k):
             want[i].add(k)
     assert {r.id: set(r.gone) for r in gone.collect()} == want
-    assert any(find(a) != a for a in texts)
+    assert roots.count() > 20 and any(len(x) > 256 and find(x) != x for x in blocks)
     out = linededup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     got = collections.Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect())
@@ -517,6 +543,25 @@ def test_line_dedup(spark, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_lines_of_one_large_bucket(spark, monkeypatch):
+    """Many lines share one block; in the finer sub-buckets every group of near lines is found whole."""
+    monkeypatch.setattr(linededup, "LARGE", 8)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    head = [word() for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(20)]
+        texts.append([*head, *own])
+        for _ in range(2):
+            near = list(own)
+            near[rng.randrange(20)], near[rng.randrange(20)] = word(), word()
+            texts.append([*head, *near])
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    gone = {r.id for r in linededup.fuzzy_lines(docs)[0].collect()}
+    assert not any(k % 3 == 0 for k in gone) and len(gone) >= 0.95 * 120
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
