@@ -21,7 +21,7 @@ K = BANDS * ROWS
 #: Candidates are dropped where the estimate is so far below the threshold (4.5 standard errors at 0.8).
 SLACK = 0.14
 #: About so many nodes, and shingles of theirs, make a part; a tile holds two parts of a route.
-TILE, TILE_WORDS = 2048, 1 << 20
+TILE, TILE_WORDS = 1024, 1 << 20
 #: A table of ids to remove is broadcast up to this size on disk, else joined by shuffle.
 BROADCAST_BYTES = 24 << 20
 _U = np.uint64
@@ -117,9 +117,9 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFram
             keep_bands = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(keep_bands), pa.array(keys[size > 0].ravel()))
             sig = pack(low)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(set_hash(h, at).view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary()), bands], names=["id", "n", "node", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(set_hash(h, at).view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary()), bands], names=["id", "th", "n", "node", "sig", "bands"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, n long, node long, sig binary, bands array<long>")
+    return docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")).mapInArrow(rows, f"id {kind}, th long, n long, node long, sig binary, bands array<long>")
 
 
 def _estimated(pairs: DataFrame, floor: float) -> DataFrame:
@@ -138,9 +138,11 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     """(node, text) of the wanted nodes (a kept table, column x)."""
     if size_of(wanted) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
-    ids = keep(nodes.join(wanted, F.col("node") == F.col("x"), "left_semi").select("node", "rep"), "ids")
+    ids = keep(nodes.join(wanted, F.col("node") == F.col("x"), "left_semi").select("node", "rep", "th"), "ids")
     small = F.broadcast(ids) if size_of(ids) <= BROADCAST_BYTES else ids
-    return docs.select(F.col(id_col).alias("_px_id"), F.col(text_col).alias("text")).join(small, F.col("rep") == F.col("_px_id")).select("node", "text")
+    own = docs.select(F.col(id_col).alias("_px_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_px_th"))
+    # of rows that repeat an id and a text one is enough
+    return own.join(small, (F.col("rep") == F.col("_px_id")) & (F.col("th") == F.col("_px_th"))).select("node", "text").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -283,7 +285,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     words (or null) an empty set, linked with nothing. Links are exact on full sets; each comes from a band of 6 equal
     minima, so a pair at 0.8 is missed with probability 5e-6 before transitivity. Returns one row per row of docs: the
     id, n_shingles, component_id (least id in the group) and kept (id = component_id; repeated rows are all kept). A
-    null id belongs to no group: component_id is null, kept true. Other columns are ignored.
+    null id belongs to no group: component_id is null, kept true. Other columns are ignored. Rows that repeat an id and a
+    text are one node; rows of one id with several texts are in every group of these and show the least id of their own.
+    An empty table gives an empty one. One text's shingles fit a worker's memory; texts are never cut.
 
     Equal sets are one node. Every node is first held against the leader (least node) with which it shares most bands.
     Nodes of buckets that then still lie in several components are compared in tiles of bounded size, by estimate and
@@ -293,14 +297,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     signed = keep(_signatures(docs, id_col, text_col, n), "signatures")
     rows = signed.select("id", "n", "node")
     nodes_min = rows.where("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"))
-    of_node = signed.where("n > 0").alias("s").join(nodes_min.alias("m"), F.expr("s.node = m.node AND s.id = m.rep")).select("s.node", "rep", "s.n", "sig", "bands")
-    nodes = keep(of_node, "nodes")
-    flat = nodes.select("node", F.explode("bands").alias("key")).distinct()
+    of_node = signed.where("n > 0").alias("s").join(nodes_min.alias("m"), F.expr("s.node = m.node AND s.id = m.rep")).select("s.node", F.col("s.id").alias("rep"), "th", "s.n", "sig", "bands")
+    # one row per node, also where rows repeat an id and a text; dealt by these two already
+    nodes = keep(of_node.dropDuplicates(["node", "rep"]), "nodes")
+    flat = nodes.select("node", F.explode("bands").alias("key"))
     buckets = flat.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = keep(flat.join(buckets.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "node", "leader", "size"), "members")
-    sigs = nodes.select("node", "n", "sig").dropDuplicates(["node"])
-    # each node and the leader with which it shares most bands
-    star = members.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("shared")).groupBy("node").agg(F.max_by("leader", "shared").alias("leader"))
+    sigs = nodes.select("node", "n", "sig")
+    # each node and the leader with which it shares most bands (of equals the greatest)
+    star = members.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("shared")).groupBy("node").agg(F.max(F.struct("shared", "leader")).alias("best")).select("node", "best.leader")
     pairs = (
         star.join(sigs.select(F.col("node").alias("x"), F.col("sig").alias("sig_a")), F.col("leader") == F.col("x"))
         .join(sigs.select(F.col("node").alias("y"), F.col("sig").alias("sig_b")), F.col("node") == F.col("y"))
@@ -335,7 +340,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that near_duplicates does not keep; of rows that repeat an id, one stays.
 
-    Rows with a null id all stay.
+    Rows with a null id all stay, so do empty and null texts; an empty table gives an empty one. Ties (equal texts) keep the
+    least id.
     """
     groups = near_duplicates(docs, n, percent, id_col, text_col)
     gone = keep(groups.where("NOT kept").select(F.col(id_col).alias("_px_id")).distinct(), "gone")
