@@ -42,7 +42,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+    return media.media_columns(table(spark, sf_dir, "documents"), ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seek_offsets"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def _table(data: bytes, at: int, h: Header) -> tuple[str, int, int, bytes]:
         if flags & 4:
             toc = data[p : p + 100]
         return name.decode(), frames, size, toc
-    if data[at + 36 : at + 40] == b"VBRI":
+    if data[at + 36 : at + 40] == b"VBRI" and at + 54 <= len(data):
         size, frames = struct.unpack(">II", data[at + 46 : at + 54])
         return "VBRI", frames, size, b""
     return "", -1, -1, b""
