@@ -45,11 +45,14 @@ def unpack(blob: bytes) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
 
 
-def by_bucket(order_key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts keys of a bucket together, and each bucket's range in it."""
+def by_bucket(order_key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has keys, with their places in their order."""
     bucket = (order_key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    sorted_ = bucket[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    for a, e in zip(first, [*first[1:], len(order)], strict=True):
+        yield int(sorted_[a]), order[a:e]
 
 
 def ask(batched: DataFrame, send: Callable, answer: Callable, columns: list[str], name: str) -> DataFrame:
@@ -90,9 +93,6 @@ def ask(batched: DataFrame, send: Callable, answer: Callable, columns: list[str]
     return keep(answered.groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("answers")), name)
 
 
-def answers_of(value, buckets: int) -> list[bytes]:
-    """Each bucket's answer, b'' where there is none."""
-    out = [b""] * buckets
-    for x in value.as_py() or ():
-        out[x["bucket"]] = x["data"]
-    return out
+def answers_of(value) -> dict[int, bytes]:
+    """The answers of the buckets that gave one."""
+    return {x["bucket"]: x["data"] for x in value.as_py() or ()}

@@ -181,11 +181,8 @@ class Segments:
 def _routes_sent(buckets: int):
     def send(row: dict) -> Iterator[tuple[int, bytes]]:
         route, docs = Windows(unpack(row["blob"].as_py())).routes()
-        order, cut = by_bucket(route, buckets)
-        for k in range(buckets):
-            pick = order[cut[k] : cut[k + 1]]
-            if len(pick):
-                yield k, route[pick].tobytes() + np.minimum(docs[pick], 65535).astype(np.uint16).tobytes()
+        for k, pick in by_bucket(route, buckets):
+            yield k, route[pick].tobytes() + np.minimum(docs[pick], 65535).astype(np.uint16).tobytes()
 
     return send
 
@@ -201,24 +198,20 @@ def _routes_answered(payloads: list[bytes]) -> list[bytes]:
     return [flag[e - n : e].tobytes() for n, e in zip(sizes, np.cumsum(sizes), strict=True)]
 
 
-def _flags(x: Windows, answers: list[bytes]) -> np.ndarray:
+def _flags(x: Windows, answers: dict[int, bytes], buckets: int) -> np.ndarray:
     route, _ = x.routes()
-    order, cut = by_bucket(route, len(answers))
     flag = np.zeros(len(route), np.uint8)
-    for k, a in enumerate(answers):
-        flag[order[cut[k] : cut[k + 1]]] = np.frombuffer(a, np.uint8) if a else 0
+    for k, pick in by_bucket(route, buckets):
+        flag[pick] = np.frombuffer(answers[k], np.uint8)
     return flag[np.searchsorted(route, x.route)] if len(x.start) else np.zeros(0, np.uint8)
 
 
 def _segments_sent(buckets: int):
     def send(row: dict) -> Iterator[tuple[int, bytes]]:
         x = Windows(unpack(row["blob"].as_py()))
-        s = x.segments(_flags(x, answers_of(row["answers"], buckets)))
-        order, cut = by_bucket(s.route, buckets)
-        for k in range(buckets):
-            pick = order[cut[k] : cut[k + 1]]
-            if len(pick):
-                yield k, s.payload(x, pick)
+        s = x.segments(_flags(x, answers_of(row["answers"]), buckets))
+        for k, pick in by_bucket(s.route, buckets):
+            yield k, s.payload(x, pick)
 
     return send
 
@@ -273,19 +266,16 @@ def _window_table(texts: list[tuple[int, bytes]]) -> list[list[int | None]]:
     return out
 
 
-def _covered(x: Windows, flag: np.ndarray, answers: list[bytes]) -> np.ndarray:
+def _covered(x: Windows, flag: np.ndarray, answers: dict[int, bytes], buckets: int) -> np.ndarray:
     """Of each word of the batch: whether a window that goes covers it."""
     s = x.segments(flag)
     before = np.zeros(int(s.n.sum()), bool)
     at = np.concatenate([[0], np.cumsum(s.n)]).astype(np.int64)
-    order, cut = by_bucket(s.route, len(answers))
-    for k, a in enumerate(answers):
-        pick = order[cut[k] : cut[k + 1]]
+    for k, pick in by_bucket(s.route, buckets):
         n = s.n[pick]
         total = int(n.sum())
-        if total and a:
-            place = np.repeat(at[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-            before[place] = np.unpackbits(np.frombuffer(a, np.uint8), count=total).astype(bool)
+        place = np.repeat(at[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
+        before[place] = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=total).astype(bool)
     group = s.group[s.of_window] if len(s.of_window) else s.of_window
     goes = before[at[group] + s.offset] | (s.ident[s.of_window] > s.least[group]) if len(group) else np.zeros(0, bool)
     edge = np.zeros(len(x.h) + 1, np.int64)
@@ -319,7 +309,7 @@ def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("n_words", "n_re
             for i in range(b.num_rows):
                 part = unpack(b.column(0)[i].as_py())
                 x = Windows(part)
-                gone = _covered(x, _flags(x, answers_of(b.column(1)[i], buckets)), answers_of(b.column(2)[i], buckets))
+                gone = _covered(x, _flags(x, answers_of(b.column(1)[i]), buckets), answers_of(b.column(2)[i]), buckets)
                 yield _result(part, x, gone, columns, id_col)
 
     kind = docs.schema[id_col].dataType.simpleString()
