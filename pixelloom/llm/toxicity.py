@@ -1,37 +1,44 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+Every word of the examples is a term. Its weight in a text is (1 + log of its count) times its inverse document frequency
+over all documents, times its relevance: 1, and more the less its rows among the examples agree with the classes' shares
+by chance. Beginnings of words are terms where they are significant for label 1, as endings vary.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.sums import summed
 from pixelloom.llm.tables import keep
 from pixelloom.llm.words import Words, crc_mod, mix, slices
 
 #: At most so many labelled rows of each class (those of the smallest hashed ids) are examples.
-EXAMPLES = 6000
-#: At most so many terms (the most significant ones) span the vector space.
-TERMS = 3000
+EXAMPLES = 4000
 #: Vectors in a block of the index; neighbours that vote.
 BLOCK, NEIGHBOURS = 64, 12
 #: Weight of a constant term that every vector has, so that texts without terms are near one another.
 CONSTANT = 1.5
-#: A term counts as significant from this likelihood ratio and odds ratio for label 1.
-MIN_G, MIN_ODDS = 22.0, 8.0
+#: The likelihood ratio that chance may give a term; beyond it the root of the excess is added to the relevance.
+CHANCE = 8.0
+#: A beginning counts as significant from this likelihood ratio and odds ratio for label 1, in so many examples.
+MIN_G, MIN_ODDS, MIN_ROWS = 22.0, 8.0, 4
 #: Bytes of text taken together, and scores of equal vectors that a task remembers.
 SLICE, KNOWN = 1 << 20, 8192
 FOLDS, HELD_OUT = 5, 0
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in ".,;:!?\"'()[]"]] = True
+_U = np.uint64
 
 
-def term_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of terms and their texts: words without punctuation at their ends, and their first 4, 5 and 6 bytes."""
+def word_hashes(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words without punctuation at their ends, where any is left: hashes, texts, first bytes and ends."""
     start, end, doc = w.start.copy(), w.end.copy(), w.doc
     while (cut := (end > start) & _EDGE[w.data[end - 1]]).any():
         end[cut] -= 1
@@ -39,40 +46,66 @@ def term_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
         start[cut] += 1
     real = end > start
     start, end, doc = start[real], end[real], doc[real]
-    hashes, docs = [w.span_hashes(start, end)], [doc]
+    return w.span_hashes(start, end), doc, start, end
+
+
+def beginnings(w: Words, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and texts of the first 4, 5 and 6 bytes of words."""
+    hashes, docs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for n in (4, 5, 6):
         long = end - start >= n
-        hashes.append(mix(w.span_hashes(start[long], start[long] + n) + np.uint64(n)))
+        hashes.append(mix(w.span_hashes(start[long], start[long] + n) + _U(n)))
         docs.append(doc[long])
     return np.concatenate(hashes), np.concatenate(docs)
 
 
 class Lookup:
-    """Places of 64-bit keys in a sorted array, by way of a small bitmap."""
+    """Places of 64-bit keys in a sorted array, by way of a bitmap."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[(keys >> np.uint64(46)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(keys >> _U(42)).astype(np.int64)] = True
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of h are keys, and their places."""
         if not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(46)).astype(np.int64)])
+        at = np.flatnonzero(self.maybe[(h >> _U(42)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         good = self.keys[place] == h[at]
         return at[good], place[good]
 
 
-def counted(w: Words, look: Lookup) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """For each text the terms of the space that it holds, ascending, and how often."""
-    h, doc = term_hashes(w)
-    at, place = look.find(h)
-    pair, n = np.unique(doc[at] * len(look.keys) + place, return_counts=True)
-    doc, term = np.divmod(pair, max(1, len(look.keys)))
-    cut = np.searchsorted(doc, np.arange(len(w) + 1))
-    return [(tuple(term[a:b].tolist()), tuple(n[a:b].tolist())) for a, b in zip(cut, cut[1:], strict=False)]
+class Space:
+    """The terms: all words of the examples (in order of hash), then the significant beginnings."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray):
+        self.words, self.starts = words, starts
+        self.size = len(words) + len(starts)
+        self._look = None
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "starts": self.starts, "size": self.size, "_look": None}
+
+    def counted(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The terms of all texts, text after text, ascending in each; how often each occurs; each text's range."""
+        if self._look is None:
+            self._look = Lookup(self.words), Lookup(self.starts)
+        h, doc, start, end = word_hashes(w)
+        at, place = self._look[0].find(h)
+        pair = doc[at] * self.size + place
+        if len(self.starts):
+            h, own = beginnings(w, start, end, doc)
+            at, place = self._look[1].find(h)
+            pair = np.concatenate([pair, own[at] * self.size + place + len(self.words)])
+        pair, n = np.unique(pair, return_counts=True)
+        doc, term = np.divmod(pair, max(1, self.size))
+        return term, n, np.searchsorted(doc, np.arange(len(w) + 1))
+
+
+def vector_key(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    return np.asarray(terms, np.int64).tobytes() + np.asarray(counts, np.int64).tobytes()
 
 
 @dataclass
@@ -82,13 +115,15 @@ class Index:
     Vectors of equal terms are one entry with the votes of all, so ties among copies have no order.
     """
 
-    keys: np.ndarray
-    idf: np.ndarray
+    weights: np.ndarray  # of each term
     entry: np.ndarray  # of each posting, by term, ascending
     weight: np.ndarray
-    pointer: np.ndarray  # [term, block]: first posting
-    most: np.ndarray  # [term, block]: largest weight
+    cells: np.ndarray  # of each term: its first cell (term and block with postings)
+    block: np.ndarray  # of each cell
+    first: np.ndarray  # of each cell: its first posting
+    most: np.ndarray  # of each cell: its largest weight
     constant: np.ndarray  # weight of the constant term of each entry
+    ceiling: np.ndarray  # of each block: the largest of these
     toxic: np.ndarray
     votes: np.ndarray
     ids: list
@@ -96,102 +131,103 @@ class Index:
     prior: float
 
     @staticmethod
-    def vector(terms: tuple, counts: tuple, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        t = np.array(terms, np.int64)
-        w = (1 + np.log(np.maximum(np.array(counts, np.float64), 1))) * idf[t]
+    def vector(terms, counts, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        t = np.asarray(terms, np.int64)
+        w = (1 + np.log(np.maximum(np.asarray(counts, np.float64), 1))) * weights[t]
         norm = float(np.sqrt(w @ w + CONSTANT**2))
         return t, w / norm, CONSTANT / norm
 
     @classmethod
-    def build(cls, keys: np.ndarray, idf: np.ndarray, examples: list[tuple[tuple, tuple, int, object]], weights: tuple[float, float] = (1.0, 1.0)) -> Index:
-        """examples: terms, counts, label, id. weights: what an example of label 0 and of label 1 stands for."""
-        groups: dict[tuple, list] = {}
+    def build(cls, weights: np.ndarray, examples: list[tuple], stands: tuple[float, float] = (1.0, 1.0)) -> Index:
+        """examples: terms, counts, label, id. stands: what an example of label 0 and of label 1 stands for."""
+        groups: dict[bytes, list] = {}
         for terms, counts, label, ident in examples:
-            g = groups.setdefault((terms, counts), [0.0, 0.0, ident])
-            g[0] += label * weights[1]
-            g[1] += weights[label]
-        order = sorted(groups)
+            g = groups.setdefault(vector_key(terms, counts), [terms, counts, 0.0, 0.0, ident])
+            g[2] += label * stands[1]
+            g[3] += stands[label]
+        order = [groups[k] for k in sorted(groups)]
         n, blocks = len(order), max(1, -(-len(order) // BLOCK))
         rows, cols, vals, const = [], [], [], np.zeros(n)
-        for i, (terms, counts) in enumerate(order):
-            t, w, const[i] = cls.vector(terms, counts, idf)
+        for i, (terms, counts, *_) in enumerate(order):
+            t, w, const[i] = cls.vector(terms, counts, weights)
             rows.append(t), cols.append(np.full(len(t), i)), vals.append(w)
         term, entry, weight = (np.concatenate([np.zeros(0, d), *x]) for x, d in ((rows, np.int64), (cols, np.int64), (vals, np.float64)))
         at = np.lexsort((entry, term))
         term, entry, weight = term[at], entry[at], weight[at]
         cell = term * blocks + entry // BLOCK
-        pointer = np.searchsorted(cell, np.arange(len(keys) * blocks + 1))
-        most = np.zeros(len(keys) * blocks)
-        np.maximum.at(most, cell, weight)
-        toxic, votes = (np.array([groups[k][i] for k in order], np.float64) for i in (0, 1))
-        out = cls(keys, idf, entry, weight, pointer, most.reshape(len(keys), blocks), const, toxic, votes, [groups[k][2] for k in order], (np.array([0.0, 1.0]), np.array([0.0, 1.0])), float(toxic.sum() / max(1.0, votes.sum())))
-        out._calibrate(order, weights)
-        return out
-
-    def nearest(self, terms: tuple, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest entries and their exact cosines. Blocks whose bound can't reach the k-th best are skipped."""
-        t, w, c = self.vector(terms, counts, self.idf)
-        blocks = self.most.shape[1]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
         ceiling = np.zeros(blocks * BLOCK)
-        ceiling[: len(self.constant)] = self.constant
-        bound = (w @ self.most[t] if len(t) else np.zeros(blocks)) + c * ceiling.reshape(blocks, BLOCK).max(axis=1)
+        ceiling[:n] = const
+        toxic, votes = (np.array([g[i] for g in order], np.float64) for i in (2, 3))
+        return cls(
+            weights, entry.astype(np.int32), weight, np.searchsorted(term[first], np.arange(len(weights) + 1)), (cell[first] % blocks).astype(np.int32), np.append(first, len(entry)), most,
+            const, ceiling.reshape(blocks, BLOCK).max(axis=1), toxic, votes, [g[4] for g in order], (np.array([0.0, 1.0]), np.array([0.0, 1.0])), float(toxic.sum() / max(1.0, votes.sum())),
+        )
+
+    def nearest(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest entries and their exact cosines. Blocks whose bound can't reach the k-th best are skipped."""
+        t, w, c = self.vector(terms, counts, self.weights)
+        size = self.cells[t + 1] - self.cells[t]
+        cell = np.repeat(self.cells[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum())) if len(t) else np.zeros(0, np.int64)
+        weight = np.repeat(w, size)
+        blocks = len(self.ceiling)
+        block = self.block[cell]
+        bound = np.bincount(block, weights=weight * self.most[cell], minlength=blocks) + c * self.ceiling
         order = np.argsort(-bound, kind="stable")
+        n = len(self.constant)
         score = np.full(blocks * BLOCK, -1.0)
         done, floor = 0, -1.0
         while done < blocks and bound[order[done]] > floor - 1e-12:
-            some = order[done : done + max(4, done)]
-            some = np.sort(some[bound[some] > floor - 1e-12])
-            if not len(some):
-                break
-            span = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            score[span] = c * ceiling[span]
-            if len(t):
-                cell = (t[:, None] * blocks + some).ravel()
-                first, size = self.pointer[cell], self.pointer[cell + 1] - self.pointer[cell]
-                total = int(size.sum())
-                posting = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-                np.add.at(score, self.entry[posting], self.weight[posting] * np.repeat(np.repeat(w, len(some)), size))
-            done += max(4, done)
-            real = score[: len(self.constant)]
-            k = min(NEIGHBOURS, len(real))
-            floor = float(np.partition(real, len(real) - k)[len(real) - k])
-        real = score[: len(self.constant)]
-        best = np.lexsort((np.arange(len(real)), -np.round(real, 12)))[:NEIGHBOURS]
+            step = max(16, done)
+            some = order[done : done + step]
+            some = some[bound[some] > floor - 1e-12]
+            wanted = np.zeros(blocks, bool)
+            wanted[some] = True
+            on = wanted[block]
+            first, long = self.first[cell[on]], self.first[cell[on] + 1] - self.first[cell[on]]
+            posting = np.repeat(first - np.concatenate([[0], np.cumsum(long)[:-1]]), long) + np.arange(int(long.sum())) if on.any() else np.zeros(0, np.int64)
+            got = np.bincount(self.entry[posting], weights=self.weight[posting] * np.repeat(weight[on], long), minlength=n)
+            mine = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            mine = mine[mine < n]
+            score[mine] = got[mine] + c * self.constant[mine]
+            done += step
+            k = min(NEIGHBOURS, n)
+            floor = float(np.partition(score[:n], n - k)[n - k])
+        real = score[:n]
+        # the best few first, by rounded cosine and then place
+        few = np.flatnonzero(real >= floor - 1e-9)
+        best = few[np.lexsort((few, -np.round(real[few], 12)))][:NEIGHBOURS]
         return best, real[best]
 
-    def raw(self, best: np.ndarray, cos: np.ndarray, without: tuple[int, float, float] | None = None) -> float:
-        """Distance-weighted share of toxic votes, drawn a little to the examples' share."""
+    def raw(self, best: np.ndarray, cos: np.ndarray, label: int | None = None, stands: float = 0.0) -> float:
+        """Distance-weighted share of toxic votes, drawn a little to the examples' share.
+
+        label: that of an example whose own vote, which stands for so much in the nearest entry, is left out.
+        """
         closeness = 1.0 / (0.02 + np.maximum(0.0, 1.0 - cos))
         toxic, votes = self.toxic[best].copy(), self.votes[best].copy()
-        if without is not None:
-            own = best == without[0]
-            toxic[own] -= without[1]
-            votes[own] -= without[2]
+        if label is not None:
+            toxic[0] -= label * stands
+            votes[0] -= stands
         toxic, votes = np.maximum(toxic, 0), np.maximum(votes, 0)
         scale = np.sqrt(votes) / np.maximum(votes, 1)  # many copies count, but not in proportion
         return float((closeness * scale * toxic).sum() + 0.5 * self.prior) / float((closeness * scale * votes).sum() + 0.5)
 
-    def _calibrate(self, order: list[tuple], weights: tuple[float, float]) -> None:
-        """Isotonic regression of labels on each example's score without its own vote."""
-        xs, ys, ws = [], [], []
-        for i, (terms, counts) in enumerate(order):
-            best, cos = self.nearest(terms, counts)
-            for label, n in ((1.0, self.toxic[i]), (0.0, self.votes[i] - self.toxic[i])):
-                if n > 1e-9:
-                    own = weights[int(label)]
-                    xs.append(self.raw(best, cos, (i, label * own, own))), ys.append(label), ws.append(n)
-        if not xs:
-            return
+    def calibrated(self, seen: list[tuple[float, float, float]]) -> Index:
+        """With the isotonic regression of labels on raw scores (raw, label, weight)."""
+        if not seen:
+            return self
         pools: list[list[float]] = []
-        for x, y, w in sorted(zip(xs, ys, ws, strict=True)):
+        for x, y, w in sorted(seen):
             pools.append([x * w, y * w, w])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
         # rows of one vote on either side keep the curve from reaching 0 and 1 outright
-        self.curve = (np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.02 * self.prior) / (p[2] + 0.02) for p in pools]))
+        return replace(self, curve=(np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.02 * self.prior) / (p[2] + 0.02) for p in pools])))
 
-    def score(self, terms: tuple, counts: tuple) -> tuple[float, list]:
+    def score(self, terms, counts) -> tuple[float, list]:
         """Calibrated score and the ids of the three nearest entries."""
         if not len(self.constant):
             return 0.0, []
@@ -199,103 +235,162 @@ class Index:
         return float(np.clip(np.interp(self.raw(best, cos), *self.curve), 0.0, 1.0)), [self.ids[i] for i in best[:3]]
 
 
-def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> Index:
-    key = F.col(id_col)
+def relevance(toxic: np.ndarray, n: np.ndarray, all_toxic: int, total: int) -> np.ndarray:
+    """1, and the root of what the likelihood ratio of a term's rows against the classes' shares exceeds chance by.
+
+    toxic, n: the term's rows of label 1, and all of its rows, among the examples.
+    """
+    p = all_toxic / max(1, total)
+    part = lambda x, mean: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(mean, 1e-300)), 0.0)
+    rest = total - n
+    g = 2 * (part(toxic, n * p) + part(n - toxic, n * (1 - p)) + part(all_toxic - toxic, rest * p) + part(rest - (all_toxic - toxic), rest * (1 - p)))
+    return 1 + np.sqrt(np.maximum(g - CHANCE, 0))
+
+
+def _tallied(sample: DataFrame) -> DataFrame:
+    """(term, start: 0 for a word and 1 for a beginning, toxic, n): the examples that hold each term."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", SLICE):
+            label = np.asarray(b.column(1)).astype(np.int64)
+            w = Words(b.column(2), lower=True)
+            h, doc, start, end = word_hashes(w)
+            for kind, (h, doc) in enumerate(((h, doc), beginnings(w, start, end, doc))):  # noqa: B020, PLW2901
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                terms, inverse = np.unique(h[new], return_inverse=True)
+                toxic = np.bincount(inverse, weights=label[doc[new]], minlength=len(terms)).astype(np.int64)
+                n = np.bincount(inverse, minlength=len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.full(len(terms), kind, np.int32)), pa.array(toxic), pa.array(n)], names=["term", "start", "toxic", "n"])
+
+    return sample.mapInArrow(tally, "term long, start int, toxic long, n long").groupBy("term", "start").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+
+
+def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[Space, Index]:
+    spark, key = docs.sparkSession, F.col(id_col)
     usable = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & (F.crc32(key.cast("string")) % FOLDS != HELD_OUT)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_px_label"))
     usable = keep(usable, "labels")
-    all1, all0 = usable.agg(F.coalesce(F.sum("_px_label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_px_label")), F.lit(0))).first()
+    sums = [F.coalesce(F.sum("_px_label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_px_label")), F.lit(0))]
+    all1, all0 = usable.agg(*sums).first()
     order = (F.xxhash64(F.lit(7), key), key)
     picked = usable.where("_px_label = 1").orderBy(*order).limit(EXAMPLES).unionByName(usable.where("_px_label = 0").orderBy(*order).limit(EXAMPLES))
     picked = picked.select(F.col(id_col).alias("_px_id"), "_px_label")
     # at most 2 * EXAMPLES rows of two numbers
-    sample = keep(docs.join(F.broadcast(picked), F.col(id_col) == F.col("_px_id")).select("_px_id", "_px_label", F.col(text_col).alias("text")), "examples")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", SLICE):
-            label = np.asarray(b.column(1)).astype(np.int64)
-            h, doc = term_hashes(Words(b.column(2), lower=True))
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            terms, inverse = np.unique(h[new], return_inverse=True)
-            toxic = np.bincount(inverse, weights=label[doc[new]], minlength=len(terms)).astype(np.int64)
-            n = np.bincount(inverse, minlength=len(terms))
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(toxic), pa.array(n.astype(np.int64))], names=["term", "toxic", "n"])
-
-    n1, n0 = sample.agg(F.coalesce(F.sum("_px_label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_px_label")), F.lit(0))).first()
-    # signed likelihood ratio of the term's rows against the share of label 1
+    sample = keep(docs.join(F.broadcast(picked), key == F.col("_px_id")).select(key.alias("_px_id"), "_px_label", F.col(text_col).alias("text")), "examples")
+    n1, n0 = sample.agg(*sums).first()
     p, k, n = F.lit(n1 / max(1, n1 + n0)), F.col("toxic"), F.col("n")
     part = lambda x, mean: F.when(x > 0, x * F.log(x / mean)).otherwise(0.0)
-    chosen = (
-        sample.mapInArrow(tally, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-        .where((k >= 4) & (k * (1 - p) > MIN_ODDS * (n - k) * p))
-        .withColumn("g", 2 * (part(k, n * p) + part(n - k, n * (1 - p))))
-        .where(F.col("g") > MIN_G).orderBy(F.desc("g"), "term").limit(TERMS).select("term", "n").collect()
-        if n1 and n0 else []
-    )
-    found = sorted((np.int64(r.term).astype(np.uint64), r.n) for r in chosen)
-    keys = np.array([k for k, _ in found], np.uint64)
-    idf = np.log((n1 + n0 + 1) / (np.array([n for _, n in found], np.float64) + 1)) + 1
-    look = Lookup(keys)
+    beyond = 2 * (part(k, n * p) + part(n - k, n * (1 - p))) > MIN_G
+    significant = (k >= MIN_ROWS) & (k * (1 - p) > MIN_ODDS * (n - k) * p) & beyond
+    got = _tallied(sample).where((F.col("start") == 0) | significant).toArrow() if n1 and n0 else None
+    columns = [np.asarray(got[c].combine_chunks()) if got is not None and got.num_rows else np.zeros(0, np.int64) for c in ("term", "start", "toxic", "n")]
+    term, start, toxic, n = columns
+    term = term.astype(np.int64).view(_U)
+    order = np.lexsort((term, start))
+    term, start, toxic, n = term[order], start[order], toxic[order], n[order]
+    space = Space(term[start == 0], term[start == 1])
+    shared = spark.sparkContext.broadcast(space)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(space.size + 1)
+        for b in slices(batches, "text", SLICE):
+            t, _, at = shared.value.counted(Words(b.column(0), lower=True))
+            out[:-1] += np.bincount(t, minlength=space.size)
+            out[-1] += len(at) - 1
+        return out
+
+    df = summed(docs.select(F.col(text_col).alias("text")), frequencies, space.size + 1) if space.size else np.zeros(1)
+    weights = np.log((df[-1] + 1) / (df[:-1] + 1)) * relevance(toxic, n, n1, n1 + n0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
-            got = counted(Words(b.column(2), lower=True), look)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
+            t, c, at = shared.value.counted(Words(b.column(2), lower=True))
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in (t, c)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["id", "label", "terms", "counts"])
 
     kind = sample.schema["_px_id"].dataType.simpleString()
-    rows = sample.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>").orderBy("id").collect()
-    return Index.build(keys, idf, [(tuple(r.terms), tuple(r.counts), r.label, r.id) for r in rows], (all0 / max(1, n0), all1 / max(1, n1)))
+    rows = keep(sample.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>"), "vectors")
+    table = rows.orderBy("id", "label").toArrow()
+    parts = [[np.asarray(x.values) for x in table[c]] for c in ("terms", "counts")]
+    stands = all0 / max(1, n0), all1 / max(1, n1)
+    index = Index.build(weights, list(zip(*parts, table["label"].to_pylist(), table["id"].to_pylist(), strict=True)), stands)
+    known = spark.sparkContext.broadcast(index)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = known.value
+        for b in batches:
+            raw = []
+            for label, t, c in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                best, cos = ix.nearest(np.asarray(t.values), np.asarray(c.values))
+                raw.append(ix.raw(best, cos, label, stands[label]))
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), b.column(1)], names=["raw", "label"])
+
+    # at most 2 * EXAMPLES rows of two numbers
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    seen = [(r.raw, float(r.label), stands[r.label]) for r in rows.repartition(tasks).mapInArrow(alone, "raw double, label int").collect()]
+    return space, index.calibrated(seen)
+
+
+class Scorer:
+    """Scores of slices of texts; equal vectors are scored once."""
+
+    def __init__(self, space: Space, index: Index):
+        self.space, self.index, self.known = space, index, {}
+
+    def __call__(self, texts: pa.Array) -> list[tuple[float, list]]:
+        t, c, at = self.space.counted(Words(texts, lower=True))
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        out = []
+        for a, e in zip(at, at[1:], strict=False):
+            key = vector_key(t[a:e], c[a:e])
+            got = self.known.get(key)
+            if got is None:
+                got = self.known[key] = self.index.score(t[a:e], c[a:e])
+            out.append(got)
+        return out
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A calibrated toxicity score and evidence for every row of docs.
 
     Only rows of `labels` (id, label 0/1; others are ignored, of repeated ids the larger label counts) whose
-    crc32(id as text) mod 5 is not 0 teach; at most EXAMPLES of either class. The terms most significant for label 1
-    span the space; an example stands for its share of its class. Texts are the only input of a score; a null text counts as empty. Without usable labels every score
-    is 0. Returns id, held_out (crc32 mod 5 is 0; a null id counts as ''), score in [0, 1], predicted (score >= 0.5) and
-    evidence (ids of the nearest examples, nearest first). Other columns are ignored.
+    crc32(id as text) mod 5 is not 0 teach; at most EXAMPLES of either class, each standing for its share of its class.
+    Document frequencies are those of all rows. Texts are the only input of a score; a null text counts as empty, and an
+    empty one has no term but the constant. Of equally near examples the first in order of their vectors votes. Without
+    usable labels of both classes no word is a term; without any every score is 0. An empty table gives an empty one. A text
+    is one vector and fits a worker's memory. Returns id, held_out (crc32 mod 5 is 0; a null id counts as ''), score in
+    [0, 1], predicted (score >= 0.5) and evidence (ids of the nearest examples, nearest first). Other columns are ignored.
     """
-    index = docs.sparkSession.sparkContext.broadcast(_train(docs, labels, label_col, id_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(_train(docs, labels, label_col, id_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
-    of = labels.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, known = index.value, {}
-        look = Lookup(ix.keys)
+        scorer = Scorer(*shared.value)
         for b in slices(batches, "text", SLICE):
-            got = counted(Words(b.column(1), lower=True), look)
-            if len(known) > KNOWN:
-                known.clear()
-            for g in got:
-                if g not in known:
-                    known[g] = ix.score(*g)
+            got = scorer(b.column(1))
             held = crc_mod(b.column(0).to_pylist(), FOLDS) == HELD_OUT
-            score = np.array([known[g][0] for g in got])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(held), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([known[g][1] for g in got], pa.list_(pa.int32() if of == "int" else pa.string() if of == "string" else pa.int64()))], names=[id_col, "held_out", "score", "predicted", "evidence"]
-            )
+            score = np.array([g[0] for g in got])
+            near = pa.array([g[1] for g in got], pa.list_(b.column(0).type))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), near], names=[id_col, "held_out", "score", "predicted", "evidence"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(rows, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, evidence array<{of}>")
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(rows, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, evidence array<{kind}>")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores below 0.5, with all their columns (null texts stay)."""
-    index = docs.sparkSession.sparkContext.broadcast(_train(docs, labels, "toxic", id_col, text_col))
+    """The rows of docs whose text scores below 0.5, with all their columns whatever their names.
+
+    Null and empty texts are scored as texts without words; repeated rows stay or go together; an empty table gives an
+    empty one. See score_toxicity.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_train(docs, labels, "toxic", id_col, text_col))
     place = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, known = index.value, {}
-        look = Lookup(ix.keys)
+        scorer = Scorer(*shared.value)
         for b in slices(batches, text_col, SLICE):
-            got = counted(Words(b.column(place), lower=True), look)
-            if len(known) > KNOWN:
-                known.clear()
-            for g in got:
-                if g not in known:
-                    known[g] = ix.score(*g)[0]
-            yield b.filter(pa.array([known[g] < 0.5 for g in got], pa.bool_()))
+            yield b.filter(pa.array([g[0] < 0.5 for g in scorer(b.column(place))], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
