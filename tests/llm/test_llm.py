@@ -189,12 +189,11 @@ def test_samples_of_either_class_do_not_shift_scores(spark, monkeypatch):
 
 def test_toxicity_index_is_exact():
     rng = random.Random(2)
-    keys = np.arange(40, dtype=np.uint64)
     idf = np.linspace(1, 4, 40)
     draw = lambda: tuple(sorted(rng.sample(range(40), rng.randint(0, 9))))
     examples = [(t, tuple(rng.randint(1, 3) for _ in t), rng.randint(0, 1), i) for i, t in enumerate(draw() for _ in range(700))]
-    ix = toxicity.Index.build(keys, idf, examples)
-    order = sorted({e[:2] for e in examples})
+    ix = toxicity.Index.build(idf, examples)
+    order = [x for _, x in sorted((toxicity.vector_key(*e[:2]), e[:2]) for e in {e[:2]: e for e in examples}.values())]
     dense = np.zeros((len(order), 41))
     for i, (t, c) in enumerate(order):
         a, w, k = ix.vector(t, c, idf)
@@ -452,12 +451,15 @@ def brute_lines(rows):
 
 def line_blocks(spark, lines):
     """The SimHash blocks of each distinct line, bit by bit."""
-    count = collections.Counter(w for _, _, x in lines for w in x.split(" "))
-    common = {w for w, n in count.items() if n > max(linededup.COMMON * len(lines), 20)}
     texts = {x for _, _, x in lines}
-    pairs = {(a, b) for x in texts for a, b in zip(x.split(" "), [*x.split(" ")[1:], None])}
-    ab = spark.createDataFrame(sorted(pairs, key=str), "a string, b string").select("a", "b", F.xxhash64("a").alias("h"), F.xxhash64("a", "b").alias("p"))
-    feature = {(r.a, r.b): r.p if r.a in common else r.h for r in ab.collect()}
+    words = sorted({w for x in texts for w in x.split(" ")})
+    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    count = collections.Counter(h[w] & 0xFFFF for _, _, x in lines for w in x.split(" "))
+    common = {k for k, n in count.items() if n > max(linededup.COMMON * len(lines), 20)}
+    pairs = {(h[a], h.get(b)) for x in texts for a, b in zip(x.split(" "), [*x.split(" ")[1:], None])}
+    ab = spark.createDataFrame(sorted(pairs, key=str), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("p"))
+    both = {(r.a, r.b): r.p if r.a & 0xFFFF in common else r.a for r in ab.collect()}
+    feature = {(a, b): both[h[a], h.get(b)] for x in texts for a, b in zip(x.split(" "), [*x.split(" ")[1:], None])}
     out = {}
     for x in texts:
         s = sorted({feature[p] for p in zip(x.split(" "), [*x.split(" ")[1:], None])})
