@@ -20,9 +20,11 @@ from pixelloom.llm.tables import keep
 from pixelloom.llm.words import Words, crc_mod, mix, slices
 
 #: At most so many labelled rows of each class (those of the smallest hashed ids) are examples.
-EXAMPLES = 4000
-#: Vectors in a block of the index; neighbours that vote.
-BLOCK, NEIGHBOURS = 64, 12
+EXAMPLES = 2500
+#: Vectors in a block of the index; neighbours that vote; texts whose scores are multiplied out together.
+BLOCK, NEIGHBOURS, TOGETHER = 64, 12, 64
+#: Terms in more than this share of the entries are a dense matrix: their postings would be nearly all entries.
+DENSE = 1 / 32
 #: Weight of a constant term that every vector has, so that texts without terms are near one another.
 CONSTANT = 1.5
 #: The likelihood ratio that chance may give a term; beyond it the root of the excess is added to the relevance.
@@ -116,14 +118,15 @@ class Index:
     """
 
     weights: np.ndarray  # of each term
-    entry: np.ndarray  # of each posting, by term, ascending
+    column: np.ndarray  # of each term: its row in the dense matrix, or -1
+    dense: np.ndarray  # [frequent term, entry]
+    entry: np.ndarray  # of each posting of the other terms, by term, ascending
     weight: np.ndarray
     cells: np.ndarray  # of each term: its first cell (term and block with postings)
     block: np.ndarray  # of each cell
     first: np.ndarray  # of each cell: its first posting
     most: np.ndarray  # of each cell: its largest weight
     constant: np.ndarray  # weight of the constant term of each entry
-    ceiling: np.ndarray  # of each block: the largest of these
     toxic: np.ndarray
     votes: np.ndarray
     ids: list
@@ -152,53 +155,64 @@ class Index:
             t, w, const[i] = cls.vector(terms, counts, weights)
             rows.append(t), cols.append(np.full(len(t), i)), vals.append(w)
         term, entry, weight = (np.concatenate([np.zeros(0, d), *x]) for x, d in ((rows, np.int64), (cols, np.int64), (vals, np.float64)))
+        often = np.bincount(term, minlength=len(weights)) > max(DENSE * n, BLOCK)
+        column = np.where(often, np.cumsum(often) - 1, -1)
+        dense = np.zeros((int(often.sum()), n))
+        on = often[term]
+        dense[column[term[on]], entry[on]] = weight[on]
+        term, entry, weight = term[~on], entry[~on], weight[~on]
         at = np.lexsort((entry, term))
         term, entry, weight = term[at], entry[at], weight[at]
         cell = term * blocks + entry // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
-        ceiling = np.zeros(blocks * BLOCK)
-        ceiling[:n] = const
         toxic, votes = (np.array([g[i] for g in order], np.float64) for i in (2, 3))
         return cls(
-            weights, entry.astype(np.int32), weight, np.searchsorted(term[first], np.arange(len(weights) + 1)), (cell[first] % blocks).astype(np.int32), np.append(first, len(entry)), most,
-            const, ceiling.reshape(blocks, BLOCK).max(axis=1), toxic, votes, [g[4] for g in order], (np.array([0.0, 1.0]), np.array([0.0, 1.0])), float(toxic.sum() / max(1.0, votes.sum())),
+            weights, column, dense, entry.astype(np.int32), weight, np.searchsorted(term[first], np.arange(len(weights) + 1)), (cell[first] % blocks).astype(np.int32), np.append(first, len(entry)), most,
+            const, toxic, votes, [g[4] for g in order], (np.array([0.0, 1.0]), np.array([0.0, 1.0])), float(toxic.sum() / max(1.0, votes.sum())),
         )
 
     def nearest(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest entries and their exact cosines. Blocks whose bound can't reach the k-th best are skipped."""
-        t, w, c = self.vector(terms, counts, self.weights)
-        size = self.cells[t + 1] - self.cells[t]
-        cell = np.repeat(self.cells[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum())) if len(t) else np.zeros(0, np.int64)
-        weight = np.repeat(w, size)
-        blocks = len(self.ceiling)
-        block = self.block[cell]
-        bound = np.bincount(block, weights=weight * self.most[cell], minlength=blocks) + c * self.ceiling
-        order = np.argsort(-bound, kind="stable")
+        """The nearest entries and their exact cosines."""
+        return next(self.nearest_of([(terms, counts)]))
+
+    def nearest_of(self, texts: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest entries and their exact cosines of each text (terms, counts).
+
+        The constant and the frequent terms give every entry a part of its cosine, the k-th best of which no neighbour is
+        below. Blocks whose best part and largest weights can't reach it are skipped; the others' postings are added.
+        """
         n = len(self.constant)
-        score = np.full(blocks * BLOCK, -1.0)
-        done, floor = 0, -1.0
-        while done < blocks and bound[order[done]] > floor - 1e-12:
-            step = max(16, done)
-            some = order[done : done + step]
-            some = some[bound[some] > floor - 1e-12]
-            wanted = np.zeros(blocks, bool)
-            wanted[some] = True
-            on = wanted[block]
-            first, long = self.first[cell[on]], self.first[cell[on] + 1] - self.first[cell[on]]
-            posting = np.repeat(first - np.concatenate([[0], np.cumsum(long)[:-1]]), long) + np.arange(int(long.sum())) if on.any() else np.zeros(0, np.int64)
-            got = np.bincount(self.entry[posting], weights=self.weight[posting] * np.repeat(weight[on], long), minlength=n)
-            mine = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            mine = mine[mine < n]
-            score[mine] = got[mine] + c * self.constant[mine]
-            done += step
-            k = min(NEIGHBOURS, n)
-            floor = float(np.partition(score[:n], n - k)[n - k])
-        real = score[:n]
-        # the best few first, by rounded cosine and then place
-        few = np.flatnonzero(real >= floor - 1e-9)
-        best = few[np.lexsort((few, -np.round(real[few], 12)))][:NEIGHBOURS]
-        return best, real[best]
+        blocks, k = max(1, -(-n // BLOCK)), min(NEIGHBOURS, n)
+        for at in range(0, len(texts), TOGETHER):
+            made = [self.vector(t, c, self.weights) for t, c in texts[at : at + TOGETHER]]
+            head = np.zeros((len(made), len(self.dense)))
+            for i, (t, w, _) in enumerate(made):
+                on = self.column[t] >= 0
+                head[i, self.column[t[on]]] = w[on]
+            parts = head @ self.dense + np.array([c for _, _, c in made])[:, None] * self.constant
+            for (t, w, _), score in zip(made, parts, strict=True):
+                rare = self.column[t] < 0
+                t, w = t[rare], w[rare]  # noqa: PLW2901
+                size = self.cells[t + 1] - self.cells[t]
+                floor = float(np.partition(score, n - k)[n - k])
+                if size.sum():
+                    cell = np.repeat(self.cells[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+                    weight, block = np.repeat(w, size), self.block[cell]
+                    top = np.full(blocks * BLOCK, -1.0)
+                    top[:n] = score
+                    bound = top.reshape(blocks, BLOCK).max(axis=1) + np.bincount(block, weights=weight * self.most[cell], minlength=blocks)
+                    on = (bound > floor - 1e-12)[block]
+                    if on.any():
+                        cell, weight = cell[on], weight[on]
+                        first, long = self.first[cell], self.first[cell + 1] - self.first[cell]
+                        posting = np.repeat(first - np.concatenate([[0], np.cumsum(long)[:-1]]), long) + np.arange(int(long.sum()))
+                        score += np.bincount(self.entry[posting], weights=self.weight[posting] * np.repeat(weight, long), minlength=n)
+                        floor = float(np.partition(score, n - k)[n - k])
+                # the best few first, by rounded cosine and then place
+                few = np.flatnonzero(score >= floor - 1e-9)
+                best = few[np.lexsort((few, -np.round(score[few], 12)))][:NEIGHBOURS]
+                yield best, score[best]
 
     def raw(self, best: np.ndarray, cos: np.ndarray, label: int | None = None, stands: float = 0.0) -> float:
         """Distance-weighted share of toxic votes, drawn a little to the examples' share.
@@ -227,12 +241,11 @@ class Index:
         # rows of one vote on either side keep the curve from reaching 0 and 1 outright
         return replace(self, curve=(np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.02 * self.prior) / (p[2] + 0.02) for p in pools])))
 
-    def score(self, terms, counts) -> tuple[float, list]:
-        """Calibrated score and the ids of the three nearest entries."""
+    def scores(self, texts: list[tuple]) -> list[tuple[float, list]]:
+        """Each text's calibrated score and the ids of its three nearest entries."""
         if not len(self.constant):
-            return 0.0, []
-        best, cos = self.nearest(terms, counts)
-        return float(np.clip(np.interp(self.raw(best, cos), *self.curve), 0.0, 1.0)), [self.ids[i] for i in best[:3]]
+            return [(0.0, [])] * len(texts)
+        return [(float(np.clip(np.interp(self.raw(best, cos), *self.curve), 0.0, 1.0)), [self.ids[i] for i in best[:3]]) for best, cos in self.nearest_of(texts)]
 
 
 def relevance(toxic: np.ndarray, n: np.ndarray, all_toxic: int, total: int) -> np.ndarray:
@@ -322,8 +335,8 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
         ix = known.value
         for b in batches:
             raw = []
-            for label, t, c in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                best, cos = ix.nearest(np.asarray(t.values), np.asarray(c.values))
+            texts = [(np.asarray(t.values), np.asarray(c.values)) for t, c in zip(b.column(2), b.column(3), strict=True)]
+            for label, (best, cos) in zip(b.column(1).to_pylist(), ix.nearest_of(texts), strict=True):
                 raw.append(ix.raw(best, cos, label, stands[label]))
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), b.column(1)], names=["raw", "label"])
 
@@ -343,14 +356,11 @@ class Scorer:
         t, c, at = self.space.counted(Words(texts, lower=True))
         if len(self.known) > KNOWN:
             self.known.clear()
-        out = []
-        for a, e in zip(at, at[1:], strict=False):
-            key = vector_key(t[a:e], c[a:e])
-            got = self.known.get(key)
-            if got is None:
-                got = self.known[key] = self.index.score(t[a:e], c[a:e])
-            out.append(got)
-        return out
+        keys = [vector_key(t[a:e], c[a:e]) for a, e in zip(at, at[1:], strict=False)]
+        new = {k: i for i, k in enumerate(keys) if k not in self.known}
+        texts = [(t[at[i] : at[i + 1]], c[at[i] : at[i + 1]]) for i in new.values()]
+        self.known.update(zip(new, self.index.scores(texts), strict=True))
+        return [self.known[k] for k in keys]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
