@@ -24,7 +24,7 @@ EXAMPLES = 2500
 #: Vectors in a block of the index; neighbours that vote; texts whose scores are multiplied out together.
 BLOCK, NEIGHBOURS, TOGETHER = 64, 12, 64
 #: Terms in more than this share of the entries are a dense matrix: their postings would be nearly all entries.
-DENSE = 1 / 32
+DENSE = 1 / 16
 #: Weight of a constant term that every vector has, so that texts without terms are near one another.
 CONSTANT = 1.5
 #: The likelihood ratio that chance may give a term; beyond it the root of the excess is added to the relevance.
@@ -156,7 +156,7 @@ class Index:
             rows.append(t), cols.append(np.full(len(t), i)), vals.append(w)
         term, entry, weight = (np.concatenate([np.zeros(0, d), *x]) for x, d in ((rows, np.int64), (cols, np.int64), (vals, np.float64)))
         often = np.bincount(term, minlength=len(weights)) > max(DENSE * n, BLOCK)
-        column = np.where(often, np.cumsum(often) - 1, -1)
+        column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         dense = np.zeros((int(often.sum()), n))
         on = often[term]
         dense[column[term[on]], entry[on]] = weight[on]
@@ -263,25 +263,32 @@ def relevance(toxic: np.ndarray, n: np.ndarray, all_toxic: int, total: int) -> n
 def _tallied(sample: DataFrame) -> DataFrame:
     """(term, start: 0 for a word and 1 for a beginning, toxic, n): the examples that hold each term."""
 
+    def added(key: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        terms, inverse = np.unique(key, return_inverse=True)
+        return terms, np.bincount(inverse, weights=toxic, minlength=len(terms)), np.bincount(inverse, weights=n, minlength=len(terms))
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: tuple[list, list] = ([], [])
         for b in slices(batches, "text", SLICE):
             label = np.asarray(b.column(1)).astype(np.int64)
             w = Words(b.column(2), lower=True)
             h, doc, start, end = word_hashes(w)
-            for kind, (h, doc) in enumerate(((h, doc), beginnings(w, start, end, doc))):  # noqa: B020, PLW2901
+            for part, (h, doc) in zip(parts, ((h, doc), beginnings(w, start, end, doc)), strict=True):  # noqa: B020, PLW2901
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                terms, inverse = np.unique(h[new], return_inverse=True)
-                toxic = np.bincount(inverse, weights=label[doc[new]], minlength=len(terms)).astype(np.int64)
-                n = np.bincount(inverse, minlength=len(terms)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.full(len(terms), kind, np.int32)), pa.array(toxic), pa.array(n)], names=["term", "start", "toxic", "n"])
+                part.append(added(h[new], label[doc[new]], np.ones(int(new.sum()))))
+        for kind, part in enumerate(parts):
+            if part:
+                terms, toxic, n = added(*(np.concatenate(x) for x in zip(*part, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.full(len(terms), kind, np.int32)), pa.array(toxic.astype(np.int64)), pa.array(n.astype(np.int64))], names=["term", "start", "toxic", "n"])
 
     return sample.mapInArrow(tally, "term long, start int, toxic long, n long").groupBy("term", "start").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
-def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[Space, Index]:
+def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str):
+    """A function that gives a task its Scorer. The index travels once, for calibration and for scoring."""
     spark, key = docs.sparkSession, F.col(id_col)
     usable = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & (F.crc32(key.cast("string")) % FOLDS != HELD_OUT)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_px_label"))
     usable = keep(usable, "labels")
@@ -329,10 +336,10 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     parts = [[np.asarray(x.values) for x in table[c]] for c in ("terms", "counts")]
     stands = all0 / max(1, n0), all1 / max(1, n1)
     index = Index.build(weights, list(zip(*parts, table["label"].to_pylist(), table["id"].to_pylist(), strict=True)), stands)
-    known = spark.sparkContext.broadcast(index)
+    known = spark.sparkContext.broadcast((space, index))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = known.value
+        ix = known.value[1]
         for b in batches:
             raw = []
             texts = [(np.asarray(t.values), np.asarray(c.values)) for t, c in zip(b.column(2), b.column(3), strict=True)]
@@ -343,7 +350,8 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     # at most 2 * EXAMPLES rows of two numbers
     tasks = 2 * spark.sparkContext.defaultParallelism
     seen = [(r.raw, float(r.label), stands[r.label]) for r in rows.repartition(tasks).mapInArrow(alone, "raw double, label int").collect()]
-    return space, index.calibrated(seen)
+    curve = index.calibrated(seen).curve
+    return lambda: Scorer(known.value[0], replace(known.value[1], curve=curve))
 
 
 class Scorer:
@@ -374,11 +382,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     is one vector and fits a worker's memory. Returns id, held_out (crc32 mod 5 is 0; a null id counts as ''), score in
     [0, 1], predicted (score >= 0.5) and evidence (ids of the nearest examples, nearest first). Other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_train(docs, labels, label_col, id_col, text_col))
+    scorer_of = _train(docs, labels, label_col, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
+        scorer = scorer_of()
         for b in slices(batches, "text", SLICE):
             got = scorer(b.column(1))
             held = crc_mod(b.column(0).to_pylist(), FOLDS) == HELD_OUT
@@ -395,11 +403,11 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Null and empty texts are scored as texts without words; repeated rows stay or go together; an empty table gives an
     empty one. See score_toxicity.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_train(docs, labels, "toxic", id_col, text_col))
+    scorer_of = _train(docs, labels, "toxic", id_col, text_col)
     place = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
+        scorer = scorer_of()
         for b in slices(batches, text_col, SLICE):
             yield b.filter(pa.array([g[0] < 0.5 for g in scorer(b.column(place))], pa.bool_()))
 
