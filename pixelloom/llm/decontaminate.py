@@ -24,6 +24,8 @@ WHOLE = 4
 MIN_WORDS, MIN_MATCH = 13, 0.8
 #: Test items are matched in blocks of at most so many bytes of text, each broadcast and held against all rows.
 BLOCK_BYTES = 16 << 20
+#: Where seeds repeat with a period of up to PERIOD (one word many times), only so many at either end of the run are looked up.
+PERIOD, ENDS = 4, 16
 _U = np.uint64
 _M = _U(0x9E3779B97F4A7C15)
 
@@ -41,6 +43,23 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def outside_runs(s: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Of each seed (owner: the text of each): False in the inner part of a run of repeating seeds.
+
+    Of two such runs that overlap the ends still meet, on the diagonals that align their starts or ends; without this a
+    text and an item of one word repeated would have hits in the square of their lengths.
+    """
+    out = np.ones(len(s), bool)
+    for p in range(1, min(PERIOD, len(s) - 1) + 1):
+        again = np.zeros(len(s) + 1, bool)
+        again[p:-1] = (s[p:] == s[:-p]) & (owner[p : len(s)] == owner[: len(s) - p])
+        turns = np.flatnonzero(np.diff(again, prepend=False))
+        for a, e in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+            if e - a > 2 * ENDS:
+                out[a - p + ENDS : e - ENDS] = False
+    return out
+
+
 def hash_of_mask(mask: str) -> int:
     return int(mask, 2) * 0x2545F4914F6CDD1D % 2**64
 
@@ -64,6 +83,7 @@ class Items:
             s = seed_hashes(self.h, mask)
             start = np.arange(len(s))
             inside = (owner[start] == owner[start + len(mask) - 1]) & (count[start] >= low) & (count[start] <= high) if len(s) else np.zeros(0, bool)
+            inside &= outside_runs(s, owner)
             keys.append(s[inside]), places.append(start[inside] * len(MASKS) + m)
         self.short: dict[int, list[int]] = {}
         for i, n in enumerate(w.counts):
@@ -88,6 +108,7 @@ class Items:
             at = np.flatnonzero(self.maybe[(s >> _U(42)).astype(np.int64)])
             if len(at):
                 at = at[owner[at] == owner[at + len(mask) - 1]]
+                at = at[outside_runs(s, owner)[at]]
             a, b = np.searchsorted(self.key, s[at]), np.searchsorted(self.key, s[at], side="right")
             n = b - a
             at = np.repeat(at, n)
@@ -193,9 +214,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are lower-cased (A-Z). An overlap is a stretch of the two word sequences along one diagonal, around an
     agreeing seed, of 13 words or more (the whole item, if that is shorter) of which 80 % are equal. Null and empty
-    texts overlap nothing; a null id is kept as such; repeated rows and items are reported each. Returns the ids,
-    n_spans, words (in the longest span), matched (its equal words), doc_start and item_start (its first words).
-    Other columns are ignored.
+    texts overlap nothing; a null id is kept as such; repeated rows and items are reported each; an empty table on either side
+    gives an empty one. A text is one row and fits a worker's memory. Inside long runs of repeating words only the
+    alignments of their ends are looked at. Returns the ids, n_spans, words (in the longest span), matched (its equal words),
+    doc_start and item_start (its first words; of equal spans the first). Other columns are ignored.
     """
     kind, of = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{item_col}` {of}, n_spans long, words long, matched long, doc_start long, item_start long"
@@ -226,7 +248,10 @@ def _finder(shared, id_col: str, item_col: str, schema: str):
 
 
 def drop_overlapping(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that overlap no test item (see find_overlaps), with all their columns."""
+    """The rows of docs that overlap no test item (see find_overlaps), with all their columns whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives an empty one.
+    """
     place = docs.columns.index(text_col)
 
     def cleaner(shared):
