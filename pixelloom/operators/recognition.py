@@ -50,31 +50,40 @@ def overlap_scores(small: DataFrame, t: int) -> DataFrame:
     return s.select("image_id", safe(both * both * 1.0, na * nb).alias("score"), safe(both * 2.0, na + nb).alias("dice"), safe(both * 1.0, na + nb - both).alias("jaccard"))
 
 
-def leader_classes(small: DataFrame, t: int, least: float) -> DataFrame:
+def leader_classes(small: DataFrame, t: int, least: float, near: int = 2) -> DataFrame:
     """Leader clustering: a raster joins the first class whose leader it matches by and^2 / (n1 n2), else founds one.
 
-    Rasters are bucketed by their number of foreground pixels div 16; the order within a bucket matters, so a bucket is
-    one task.
+    Only leaders whose foreground's bounding box differs by at most `near` either way are looked at. Rasters go in order of
+    their ids, so widths that are linked by such steps make one task.
     """
-    on = F.when(F.col("v") < t, 1).otherwise(0)
-    bits = small.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", on.cast("int").alias("b")))).alias("p")).select("image_id", F.transform("p", lambda e: e["b"]).alias("bits"))
-    sized = bits.withColumn("bucket", F.floor(F.aggregate("bits", F.lit(0), lambda s, b: s + b) / 16))
+    on = F.when(F.col("v") < t, 1).otherwise(0).cast("int")
+    x, y = F.when(on == 1, F.col("x")), F.when(on == 1, F.col("y"))
+    side = lambda c: F.coalesce(F.max(c) - F.min(c) + 1, F.lit(0)).cast("long")
+    bits = small.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", on.alias("b")))).alias("p"), side(x).alias("w"), side(y).alias("h"))
+    bits = bits.select("image_id", "w", "h", F.transform("p", lambda e: e["b"]).alias("bits"))
+    order = Window.orderBy("w")  # over the distinct widths only
+    steps = bits.select("w").distinct().select("w", F.when(F.col("w") - F.lag("w").over(order) > near, 1).otherwise(0).alias("s"))
+    chains = steps.select("w", F.sum("s").over(order).alias("chain"))
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders, out = [], []
-        for i, b in sorted(zip(pdf.image_id, pdf.bits)):
+        leaders: dict[tuple[int, int], list] = {}
+        out = []
+        reach = range(-near, near + 1)
+        for i, w, h, b in sorted(zip(pdf.image_id, pdf.w, pdf.h, pdf.bits), key=lambda r: r[0]):
             n = int(sum(b))
-            for j, c, m in leaders:
+            found = None
+            for j, c, m in sorted((x for dw in reach for dh in reach for x in leaders.get((w + dw, h + dh), ())), key=lambda r: r[0]):
                 both = int((b & c).sum())
                 if n and m and both * both >= least * n * m or n == m == 0:
-                    out.append((i, j))
+                    found = j
                     break
-            else:
-                leaders.append((i, b, n))
-                out.append((i, i))
+            if found is None:
+                found = i
+                leaders.setdefault((w, h), []).append((i, b, n))
+            out.append((i, found))
         return pd.DataFrame(out, columns=["image_id", "leader"])
 
-    return sized.groupBy("bucket").applyInPandas(lead, "image_id long, leader long")
+    return bits.join(chains, "w").groupBy("chain").applyInPandas(lead, "image_id long, leader long")
 
 
 def best_shift(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
@@ -89,3 +98,75 @@ def best_shift(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     na, nb = (t.groupBy("image_id").agg(F.sum("v").alias(n)) for t, n in ((a, "na"), (b, "nb")))
     best = hit.groupBy("image_id").agg(F.max(F.struct("both", (-F.col("dy")).alias("dy"), (-F.col("dx")).alias("dx"))).alias("m"))
     return best.join(na, "image_id").join(nb, "image_id").select("image_id", (-F.col("m.dy")).alias("dy"), (-F.col("m.dx")).alias("dx"), F.round(F.col("m.both") * F.col("m.both") / (F.col("na") * F.col("nb")), 6).alias("score"))
+
+
+#: Below this best score an angle is not trusted; nor if the least score is not above this share of w * w * h;
+#: an angle is worth turning by from 0.1 degrees and a confidence of 3.
+LEAST_BEST, LEAST_SHARE, LEAST_ANGLE, LEAST_CONFIDENCE = 10000.0, 0.000002, 0.1, 3.0
+
+
+def _sheared_scores(on: DataFrame, sizes: DataFrame, angles: DataFrame) -> DataFrame:
+    """(image_id, k, score): for each angle (image_id, k, deg) the foreground moved down by x tan(angle), what leaves the
+    raster going, and the sum of the squared differences of row counts away from the top and bottom.
+    """
+    moved = on.join(angles, "image_id").select("image_id", "k", F.floor(F.col("y") + F.col("x") * F.tan(F.radians("deg")) + 0.5).cast("int").alias("row"))
+    n = moved.groupBy("image_id", "k", "row").agg(F.count(F.lit(1)).alias("n"))
+    # a row's count meets itself and the next row, so a difference has both or one of them
+    both = n.select("image_id", "k", F.explode(F.array(F.struct(F.col("row").alias("row"), F.col("n").alias("d")), F.struct((F.col("row") + 1).alias("row"), (-F.col("n")).alias("d")))).alias("e"), "row")
+    both = both.join(sizes, "image_id").where("row >= 0 AND row < h")
+    skip = F.greatest(F.lit(1), F.floor(F.least(F.floor(F.col("h") / 10), F.floor(F.col("w") * 0.05)) / 2))
+    d = both.where((F.col("e.row") >= skip) & (F.col("e.row") < F.col("h") - skip)).groupBy("image_id", "k", "e.row").agg(F.sum("e.d").alias("d"))
+    s = d.groupBy("image_id", "k").agg(F.sum(F.col("d") * F.col("d")).alias("score"))
+    return angles.join(s, ["image_id", "k"], "left").select("image_id", "k", "deg", F.coalesce("score", F.lit(0)).cast("double").alias("score"))
+
+
+def find_skew(px: DataFrame, reach: int = 7, least_step: float = 0.01) -> DataFrame:
+    """Each binary raster's skew in degrees and the confidence in it: a sweep by whole degrees, then halving steps.
+
+    A best angle at the end of the sweep gives 0 and 0. All rasters take each step together.
+    """
+    from pixelloom.sources.scratch import scratch
+
+    on = scratch(px.where("v = 1").select("image_id", "y", "x"), "foreground")
+    sizes = scratch(px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")), "sizes")
+    tries = lambda t, *degrees: t.select("image_id", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), d.alias("deg")) for k, d in enumerate(degrees)))).alias("e")).select("image_id", "e.k", "e.deg")
+    sweep = _sheared_scores(on, sizes, tries(sizes, *(F.lit(float(d)) for d in range(-reach, reach + 1))))
+    best = sweep.groupBy("image_id").agg(F.max(F.struct("score", (-F.col("k")).alias("m"), "deg")).alias("b")).select("image_id", F.col("b.deg").alias("centre"))
+    now = scratch(best.where(F.abs("centre") < reach), "sweep")
+
+    def scored(t: DataFrame, *degrees) -> DataFrame:
+        s = _sheared_scores(on, sizes, tries(t, *degrees))
+        return s.groupBy("image_id").agg(*(F.max(F.when(F.col("k") == k, F.col("score"))).alias(f"t{k}") for k in range(len(degrees))))
+
+    c = F.col("centre")
+    got = scored(now, c - 1.0, c, c + 1.0)
+    state = scratch(now.join(got, "image_id").select("image_id", "centre", F.col("t0").alias("s0"), F.col("t1").alias("s2"), F.col("t2").alias("s4"), F.least("t0", "t1", "t2").alias("low")), "search")
+    step = 0.5
+    while step >= least_step:
+        j = state.join(scored(state, c - step, c + step), "image_id")
+        s1, s2, s3 = F.col("t0"), F.col("s2"), F.col("t1")
+        # the best of the middle three: of equal ones the first
+        pick = lambda a, b, e: F.when((s1 >= s2) & (s1 >= s3), a).when(s2 >= s3, b).otherwise(e)  # noqa: B023, E731
+        made = j.select(
+            "image_id", (c + pick(F.lit(-step), F.lit(0.0), F.lit(step))).alias("centre"), pick(F.col("s0"), s1, s2).alias("s0"), pick(s1, s2, s3).alias("s2"), pick(s2, s3, F.col("s4")).alias("s4"),
+            F.least("low", s1, s3).alias("low"),
+        )
+        state = scratch(made, "search")
+        step /= 2
+    out = sizes.join(state, "image_id", "left")
+    sure = (F.col("low") > F.lit(LEAST_SHARE) * F.col("w") * F.col("w") * F.col("h")) & (F.abs(c) <= reach - 1) & (F.col("s2") >= LEAST_BEST)
+    return out.select("image_id", F.coalesce("centre", F.lit(0.0)).alias("angle"), F.when(sure, F.round(F.col("s2") / F.col("low"), 6)).otherwise(0.0).alias("confidence"))
+
+
+def deskewed(px: DataFrame, fill: int = 0) -> DataFrame:
+    """Binary rasters turned back by their skew about the middle, sampled, where it is large and sure enough."""
+    from pixelloom.operators.geometry import _sized
+
+    a = find_skew(px)
+    turn = F.when((F.abs("angle") >= LEAST_ANGLE) & (F.col("confidence") >= LEAST_CONFIDENCE), F.radians("angle")).otherwise(0.0)
+    z = _sized(px).join(a.select("image_id", turn.alias("t")), "image_id")
+    cx, cy = F.floor(F.col("w") / 2), F.floor(F.col("h") / 2)
+    dx, dy = F.col("x") - cx, F.col("y") - cy
+    to = z.select("image_id", "y", "x", (cy + F.floor(dy * F.cos("t") - dx * F.sin("t") + 0.5)).cast("int").alias("ys"), (cx + F.floor(dx * F.cos("t") + dy * F.sin("t") + 0.5)).cast("int").alias("xs"))
+    src = px.select("image_id", F.col("y").alias("ys"), F.col("x").alias("xs"), "v")
+    return to.join(src, ["image_id", "ys", "xs"], "left").select("image_id", "y", "x", F.coalesce("v", F.lit(fill)).alias("v"))
