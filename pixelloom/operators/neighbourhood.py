@@ -199,3 +199,38 @@ def sequence(px: DataFrame, text: str) -> DataFrame:
     """A morphological sequence such as 'o5.5 + e3.3', as one lazy plan."""
     ops = {"d": dilate, "e": erode, "o": opened, "c": closed, "r": lambda p, n, _: rank_reduce(p, n), "x": lambda p, n, _: expand(p, n)}
     return reduce(lambda p, s: ops[s[0]](p, s[1], s[2]), parse_sequence(text), px)
+
+
+def gaussian(half_w: int, half_h: int, deviation: float) -> list[list[float]]:
+    """A kernel of (2 half_w + 1) x (2 half_h + 1) whose middle is 1."""
+    import math
+
+    return [[math.exp(-(dx * dx + dy * dy) / (2 * deviation * deviation)) for dx in range(-half_w, half_w + 1)] for dy in range(-half_h, half_h + 1)]
+
+
+def convolve(px: DataFrame, kernel: list[list[float]], normalise: bool = True, bits: int = 8) -> DataFrame:
+    """Convolution with any kernel (turned by 180 degrees, its middle at size // 2), mirrored borders.
+
+    The sum's absolute value is rounded by adding 0.5 and wraps at the depth. Two windows, along rows and then columns.
+    """
+    from pixelloom.operators.masks import bordered
+
+    k = [row[::-1] for row in kernel[::-1]]
+    total = sum(map(sum, k))
+    if normalise and total:
+        k = [[w / total for w in row] for row in k]
+    sx, sy = len(k[0]), len(k)
+    cx, cy = sx - 1 - sx // 2, sy - 1 - sy // 2
+    rows = bordered(px, cx, sx - 1 - cx, cy, sy - 1 - cy, "mirrored", "mirrored")
+    ahead = lambda c, n, w: F.lead(c, n).over(w) if n else F.col(c)
+    x, y = _line("x"), _line("y")
+    parts = [reduce(lambda a, b: a + b, [w * ahead("v", m, x) for m, w in enumerate(row)]).alias(f"r{j}") for j, row in enumerate(k)]
+    rows = rows.select(*KEY, *parts).where("r0 IS NOT NULL")
+    all_ = rows.select(*KEY, reduce(lambda a, b: a + b, [ahead(f"r{j}", j, y) for j in range(sy)]).alias("t")).where("t IS NOT NULL")
+    # a margin so that halves are told apart alike everywhere
+    return all_.select(*KEY, (F.floor(F.round(F.abs(F.col("t")), 6) + 0.5) % (1 << bits)).cast("int").alias("v"))
+
+
+def separable(px: DataFrame, across: list[float], down: list[float], bits: int = 8) -> DataFrame:
+    """Convolution with the product of a row and a column, normalised."""
+    return convolve(px, [[a * b for a in across] for b in down], True, bits)

@@ -1,17 +1,11 @@
 """Connected components, fills and other iterative operators.
 
 Components run on horizontal runs, not pixels: runs are nodes, touching runs of neighbouring rows are links, and the
-links are joined by star steps, so an image may be larger than a task. The floods that have an
-order of their own (watershed, maze, dithering, thinning) work per image in one task, and say so.
+links are joined by star steps, so an image may be larger than a task.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,156 +73,3 @@ def seedfill(seed: DataFrame, mask: DataFrame, connectivity: int = 4) -> DataFra
     hit = pixels.join(seed.where("v = 1").select(*KEY), KEY, "left_semi").select("image_id", "label").distinct()
     on = pixels.join(hit, ["image_id", "label"], "left_semi").select(*KEY, F.lit(1).alias("m"))
     return mask.join(on, KEY, "left").select(*KEY, F.coalesce("m", F.lit(0)).alias("v"))
-
-
-def per_image(px: DataFrame, work: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
-    """work on each raster as an array, in a task per image: for operators whose steps depend on one another."""
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf.y.max()) + 1, int(pdf.x.max()) + 1
-        a = np.zeros((h, w), np.int64)
-        a[pdf.y, pdf.x] = pdf.v
-        out = work(a)
-        y, x = np.divmod(np.arange(out.size), out.shape[1])
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "y": y.astype(np.int32), "x": x.astype(np.int32), "v": out.ravel()})
-
-    return px.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(rows, f"image_id long, y int, x int, v {kind}")
-
-
-_NEAR = ((-1, 0), (0, -1), (0, 1), (1, 0))
-_AROUND = (*_NEAR, (-1, -1), (-1, 1), (1, -1), (1, 1))
-
-
-def _distance(a: np.ndarray, connectivity: int) -> np.ndarray:
-    d = np.where(a > 0, 254, 0)
-    h, w = a.shape
-    near = _NEAR if connectivity == 4 else _AROUND
-    fore = [(dy, dx) for dy, dx in near if (dy, dx) < (0, 0)]
-    for ys, xs, offs in ((range(1, h - 1), range(1, w - 1), fore), (range(h - 2, 0, -1), range(w - 2, 0, -1), [(-dy, -dx) for dy, dx in fore])):
-        for y in ys:
-            for x in xs:
-                if a[y, x]:
-                    d[y, x] = min(d[y, x], 254, 1 + min(d[y + dy, x + dx] for dy, dx in offs))
-    d[[0, -1], :] = 0
-    d[:, [0, -1]] = 0
-    return d
-
-
-def distance(px: DataFrame, connectivity: int = 4) -> DataFrame:
-    """Chamfer distance of the foreground to the background, the frame counting as background; at most 254."""
-    return per_image(px, lambda a: _framed_distance(a, connectivity))
-
-
-def _framed_distance(a: np.ndarray, connectivity: int) -> np.ndarray:
-    return _distance(np.pad(a, 1), connectivity)[1:-1, 1:-1] if min(a.shape) else a
-
-
-def _watershed(a: np.ndarray) -> np.ndarray:
-    h, w = a.shape
-    label = np.zeros((h, w), np.int64)
-    seen = np.zeros((h, w), bool)
-    heap, n, k = [], 0, 0
-    for y in range(h):  # plateaus without a lower neighbour are seeds
-        for x in range(w):
-            if seen[y, x]:
-                continue
-            flat, todo, low = [], [(y, x)], True
-            seen[y, x] = True
-            while todo:
-                p, q = todo.pop()
-                flat.append((p, q))
-                for dy, dx in _AROUND:
-                    r, s = p + dy, q + dx
-                    if 0 <= r < h and 0 <= s < w:
-                        if a[r, s] < a[y, x]:
-                            low = False
-                        elif a[r, s] == a[y, x] and not seen[r, s]:
-                            seen[r, s] = True
-                            todo.append((r, s))
-            if low:
-                n += 1
-                for p, q in flat:
-                    label[p, q] = n
-                    heap.append((int(a[p, q]), k, p, q))
-                    k += 1
-    heapq.heapify(heap)
-    while heap:
-        v, _, y, x = heapq.heappop(heap)
-        for dy, dx in _AROUND:
-            r, s = y + dy, x + dx
-            if 0 <= r < h and 0 <= s < w and not label[r, s]:
-                label[r, s] = label[y, x]
-                heapq.heappush(heap, (max(v, int(a[r, s])), k, r, s))
-                k += 1
-    return label
-
-
-def watershed(px: DataFrame) -> DataFrame:
-    """Basins by priority flood from the minima; of equal values the earlier reached goes first."""
-    return per_image(px, _watershed)
-
-
-def _maze(a: np.ndarray) -> np.ndarray:
-    h, w = a.shape
-    cost = np.full((h, w), 1 << 40, np.int64)
-    cost[0, 0] = a[0, 0]
-    heap = [(int(a[0, 0]), 0, 0)]
-    while heap:
-        c, y, x = heapq.heappop(heap)
-        if c > cost[y, x]:
-            continue
-        for dy, dx in _NEAR:
-            r, s = y + dy, x + dx
-            if 0 <= r < h and 0 <= s < w and c + a[r, s] < cost[r, s]:
-                cost[r, s] = c + a[r, s]
-                heapq.heappush(heap, (int(cost[r, s]), r, s))
-    return cost
-
-
-def maze_costs(px: DataFrame) -> DataFrame:
-    """The least sum of pixel values on a 4-connected path from the top left pixel, both ends counting."""
-    return per_image(px, _maze, "long")
-
-
-def _dither(a: np.ndarray) -> np.ndarray:
-    v = a.astype(np.int64).copy()
-    out = np.zeros_like(v)
-    h, w = v.shape
-    for y in range(h):
-        for x in range(w):
-            out[y, x] = int(v[y, x] < 128)
-            e = v[y, x] if out[y, x] else v[y, x] - 255
-            if not (10 > a[y, x] or a[y, x] > 245):
-                three, one = int(3 * e / 8), int(e / 4)
-                if x + 1 < w:
-                    v[y, x + 1] = min(255, max(0, v[y, x + 1] + three))
-                if y + 1 < h:
-                    v[y + 1, x] = min(255, max(0, v[y + 1, x] + three))
-                    if x + 1 < w:
-                        v[y + 1, x + 1] = min(255, max(0, v[y + 1, x + 1] + one))
-    return out
-
-
-def dither(px: DataFrame) -> DataFrame:
-    """Error diffusion to 1 (dark) and 0, shares 3/8, 3/8 and 1/4; near-black and near-white pixels pass nothing on."""
-    return per_image(px, _dither)
-
-
-def _thin(a: np.ndarray, rounds: int) -> np.ndarray:
-    a = a.astype(bool)
-    for _ in range(rounds):
-        before = a.copy()
-        for quarter in range(4):
-            b = np.pad(np.rot90(a, quarter), 1)
-            at = lambda dy, dx: b[1 + dy : b.shape[0] - 1 + dy, 1 + dx : b.shape[1] - 1 + dx]  # noqa: B023, E731
-            edge = at(0, 0) & ~at(-1, -1) & ~at(-1, 0) & ~at(-1, 1) & at(1, -1) & at(1, 0) & at(1, 1)
-            corner = at(0, 0) & ~at(-1, 0) & ~at(-1, 1) & ~at(0, 1) & at(0, -1) & at(1, 0) & ~at(-1, -1) & ~at(1, 1)
-            a = np.rot90(np.rot90(a, quarter) & ~(edge | corner), -quarter)
-        if (a == before).all():
-            break
-    return a.astype(np.int64)
-
-
-def thin(px: DataFrame, rounds: int = 50) -> DataFrame:
-    """Foreground thinned by hit-miss edges and corners in four turns a round, until nothing changes."""
-    return per_image(px, lambda a: _thin(a, rounds))
