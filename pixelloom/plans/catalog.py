@@ -10,6 +10,7 @@ from pixelloom.functions import colour as K
 from pixelloom.operators import aggregates as A
 from pixelloom.operators import boxes as B
 from pixelloom.operators import enhance as E
+from pixelloom.operators import floods as FL
 from pixelloom.operators import geometry as G
 from pixelloom.operators import neighbourhood as N
 from pixelloom.operators import pixels as P
@@ -18,6 +19,7 @@ from pixelloom.operators import recognition as R
 from pixelloom.operators import regions as C
 from pixelloom.operators import sequences as S
 from pixelloom.operators import strings as W
+from pixelloom.plans import extended as X
 from pixelloom.sources import derived as D
 from pixelloom.sources import images as I
 
@@ -308,15 +310,16 @@ _CC = """WITH RECURSIVE f AS (SELECT image_id, y, x, y * 8 + x AS p FROM small W
 _small_bin = lambda s, d: P.threshold(sm(s, d).drop("label"), 128)
 _add("conncomp_label_stats", lambda s, d: C.components(_small_bin(s, d)), _CC + " SELECT n.image_id, label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM n JOIN f ON f.image_id = n.image_id AND f.p = n.p GROUP BY 1, 2", "small")
 _add("conncomp_labels", lambda s, d: C.label_pixels(_small_bin(s, d)), _CC + " SELECT n.image_id, y, x, label FROM n JOIN f ON f.image_id = n.image_id AND f.p = n.p", "small")
-_add("conncomp_raster", lambda s, d: C.components(b1(s, d), 8))
-_add("select_components", lambda s, d: C.select_components(b1(s, d), 4))
-_add("fill_holes", lambda s, d: C.fill_holes(b1(s, d)))
-_add("seedfill", lambda s, d: C.seedfill(N.erode(b1(s, d), 2, 2), b1(s, d)))
-_add("distance_function", lambda s, d: C.distance(_small_bin(s, d)))
-_add("watershed", lambda s, d: C.watershed(sm(s, d)))
-_add("gray_maze", lambda s, d: C.maze_costs(sm(s, d)))
-_add("dither_binary", lambda s, d: C.dither(sm(s, d)))
-_add("thin", lambda s, d: C.thin(_small_bin(s, d)))
+_add("conncomp_raster", lambda s, d: C.components(_small_bin(s, d), 8), _CC.replace("abs(q.y - a.y) + abs(q.x - a.x) = 1", "greatest(abs(q.y - a.y), abs(q.x - a.x)) = 1") + " SELECT n.image_id, label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM n JOIN f ON f.image_id = n.image_id AND f.p = n.p GROUP BY 1, 2", "small")
+_MARKED = " SELECT s.image_id, s.y, s.x, {} AS v FROM small s LEFT JOIN n ON n.image_id = s.image_id AND n.p = s.y * 8 + s.x LEFT JOIN b ON b.image_id = n.image_id AND b.root = n.root"
+_add("select_components", lambda s, d: C.select_components(_small_bin(s, d), 4), _CC + ", b AS (SELECT image_id, root FROM n GROUP BY 1, 2 HAVING count(*) >= 4)" + _MARKED.format("(b.root IS NOT NULL)::INTEGER"), "small")
+_add("fill_holes", lambda s, d: C.fill_holes(_small_bin(s, d)), _CC.replace("v < 128", "v >= 128") + ", b AS (SELECT DISTINCT image_id, root FROM n WHERE p < 8 OR p >= 56 OR p % 8 IN (0, 7))" + _MARKED.format("(b.root IS NULL)::INTEGER"), "small")
+_add("seedfill", lambda s, d: C.seedfill(N.erode(_small_bin(s, d), 2, 2), _small_bin(s, d)), _CC + ", b AS (SELECT DISTINCT n.image_id, n.root FROM n WHERE p >= 8 AND p % 8 > 0 AND (SELECT count(*) FROM f WHERE f.image_id = n.image_id AND f.p IN (n.p - 1, n.p - 8, n.p - 9)) = 3)" + _MARKED.format("(b.root IS NOT NULL)::INTEGER"), "small")
+_add("distance_function", lambda s, d: FL.distance(_small_bin(s, d)))
+_add("watershed", lambda s, d: FL.watershed(sm(s, d)))
+_add("gray_maze", lambda s, d: FL.maze_costs(sm(s, d)))
+_add("dither_binary", lambda s, d: FL.dither(sm(s, d)))
+_add("thin", lambda s, d: FL.thin(_small_bin(s, d)))
 
 # recognition
 _DEG = list(range(-7, 8))
@@ -428,3 +431,9 @@ def _palette_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("remove_colormap", _palette_round_trip, f"WITH m AS (SELECT *, (list_sort([{_far}])[1]).i AS v FROM rgb), p AS (SELECT * FROM (VALUES {', '.join(str((i, *c)) for i, c in enumerate(PALETTE))}) t(v, pr, pg, pb)) SELECT image_id, y, x, pr AS r, pg AS g, pb AS b FROM m JOIN p USING (v)", "rgb")
+
+# the queries of the second part, some of which give a query above its SQL
+for _name, _query in X.QUERIES.items():
+    _add(_name, _query)
+for _name, (_sql, *_tables) in X.STATEMENTS.items():
+    _add(_name, QUERIES[_name], _sql, *_tables)

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df written to spark.checkpoint.dir (a new local folder only where that is unset, as in tests) and read again."""
+    """df written to spark.checkpoint.dir (where that is unset: a new local folder in a local session, as in tests, else an error) and read again."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         at = "file://" + tempfile.mkdtemp(prefix="pixelloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/pixelloom-{name}-{uuid.uuid4().hex}"

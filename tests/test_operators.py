@@ -1,6 +1,5 @@
 """Operators without SQL twins against naive code, formats, and invariants."""
 
-import heapq
 import random
 
 import numpy as np
@@ -65,30 +64,6 @@ def test_components_fill_seed(spark, rasters, connectivity):
         assert (f == np.isin(label, label[s == 1]) * a).all()
 
 
-def test_per_image_operators(spark):
-    rng = np.random.default_rng(2)
-    gray = rng.integers(0, 256, (11, 9))
-    cost = arrays(regions.maze_costs(table(spark, gray)))[0]
-    best = {(0, 0): int(gray[0, 0])}
-    heap = [(best[0, 0], 0, 0)]
-    while heap:
-        c, y, x = heapq.heappop(heap)
-        for r, s in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-            if 0 <= r < 11 and 0 <= s < 9 and c + gray[r, s] < best.get((r, s), 1 << 40):
-                best[r, s] = c + int(gray[r, s])
-                heapq.heappush(heap, (best[r, s], r, s))
-    assert all(cost[k] == v for k, v in best.items())
-    basin = arrays(regions.watershed(table(spark, gray)))[0]
-    assert basin.min() >= 1 and len(np.unique(basin)) > 3
-    binary = (rng.random((10, 10)) < 0.6).astype(int)
-    thin = arrays(regions.thin(table(spark, binary)))[0]
-    assert (thin <= binary).all() and flood(thin, 8).max() == flood(binary, 8).max()
-    d = arrays(regions.distance(table(spark, np.ones((7, 7), int))))[0]
-    assert d[3, 3] == 4 and d[0, 0] == 1
-    black = arrays(regions.dither(table(spark, np.full((20, 20), 64))))[0]
-    assert 0.6 < black.mean() < 0.9
-
-
 def test_morphology_invariants(spark, rasters):
     px = table(spark, *rasters)
     src, dil, ero, opened = (arrays(f) for f in (px, neighbourhood.dilate(px, 3, 3), neighbourhood.erode(px, 3, 3), neighbourhood.opened(px, 3, 3)))
