@@ -416,6 +416,31 @@ def test_media_parser_resynchronises_and_checks():
     assert media.header(0xFFFBF064) is None and media.header(0x12345678) is None
 
 
+def test_media_tables_of_other_writers():
+    frame = bytes.fromhex("fffb9064")
+    plain = frame + bytes(413)  # 417 bytes, MPEG-1 layer III, 128 kbit/s, 44.1 kHz
+    xing = frame + bytes(32) + b"Xing" + (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + (2502).to_bytes(4, "big") + bytes(range(100))
+    s = media.parse(xing.ljust(417, b"\0") + plain * 5)
+    assert (s.table, s.table_frames, s.table_bytes, s.toc) == ("Xing", 5, 2502, bytes(range(100))) and len(s.offsets) == 5
+    assert s.offsets[0] == 417 and np.diff(s.offsets).tolist() == [417] * 4
+    vbri = frame + bytes(32) + b"VBRI" + bytes(6) + (2919).to_bytes(4, "big") + (6).to_bytes(4, "big")
+    s = media.parse(vbri.ljust(417, b"\0") + plain * 6)
+    assert (s.table, s.table_frames, s.table_bytes) == ("VBRI", 6, 2919) and len(s.offsets) == 6
+    short = bytes.fromhex("fff39064")  # MPEG-2: frames of 208 bytes
+    for end in range(36, 60):
+        media.parse((short + bytes(32) + b"VBRI" + bytes(40))[:end])
+        media.parse((frame + bytes(32) + b"VBRI" + bytes(40))[:end])
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    """Two near texts, each row many times: one node each, and no square of repeats."""
+    a = " ".join(f"w{k}" for k in range(60))
+    b = a.replace("w30", "other")
+    rows = [(1, a, None, None, None, 1, "")] * 200 + [(2, b, None, None, None, 1, "")] * 200 + [(3, a, None, None, None, 1, "")]
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 2).collect())
+    assert got == {(1, 1, True): 200, (2, 1, False): 200, (3, 1, False): 1}
+
+
 def test_mixing(spark, docs, rows, none):
     big = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"), F.lit(1).alias("copy_no"))
     out = mixing.mix_sources(big, weights={"hot": 1.0, "s1": 2.0, None: 1.0}).groupBy("source").count().collect()
@@ -586,6 +611,71 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, start.limit(0), str(tmp_path)).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage again by plain code (but for the classifier, which is asked which rows it rejects)."""
+    import corpus_pipeline
+    from test_overlaps import brute
+
+    rng = random.Random(21)
+    rows = [r for r in corpus(21, 30) if r[1] is None or len(r[1]) < 1500]
+    vocab = [f"v{k}" for k in range(400)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in (14, 20, 13)]
+    rows += [(2000 + k, " ".join(rng.choice(vocab) for _ in range(9)) + " " + " ".join(w), "en", "s1", 9, 1, "k") for k, w in enumerate(items)]
+    rows += [(2100 + k, " ".join(["vilest", "wretch", *(rng.choice(vocab) for _ in range(12))]), "en", "s0", 9, 1, "k") for k in range(12)]
+    spark.createDataFrame(rows, DOCS).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(2100 + k, 1, 1) for k in range(9)] + [(r[0], 1, 0) for r in rows[:25]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    bad = {(r.doc_id, r.predicted) for r in toxicity.score_toxicity(docs, labels).collect()}
+    bad = {i for i, p in bad if p}
+    assert {2100, 2108} & bad and len(bad) < 16
+    now = [r for r in rows if r[0] not in bad]
+    lines = brute_lines(now)
+    find, first, gone = line_groups(line_blocks(spark, lines)), {}, collections.defaultdict(set)
+    for i, k, x in sorted(set(lines)):
+        if first.setdefault(find(x), (i, k)) != (i, k):
+            gone[i].add(k)
+    cut = lambda i, t: t if i is None or t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+    now = [(i, cut(i, t), *r) for i, t, *r in now]
+    sets = {}
+    for i, t, *_ in now:
+        w = words_of(t, True)
+        if i is not None:
+            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    group = {i: i for i in sets}
+    for _ in sets:
+        before = dict(group)
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    group[a] = group[b] = min(group[a], group[b])
+        if before == group:
+            break
+    seen, kept = set(), []
+    for r in now:
+        if r[0] is None or (group[r[0]] == r[0] and r[0] not in seen):
+            kept.append(r)
+            seen.add(r[0])
+    kept = [r for r in kept if not any(brute(w, (r[1] or "").lower().split()) for w in items)]
+    n = collections.Counter(r[3] for r in kept)
+    total = sum(math.sqrt(x) for x in n.values())
+    want = collections.Counter()
+    for r in kept:
+        u = int(hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}:1".encode()).hexdigest()[:13], 16) / 2**52
+        rate = math.sqrt(n[r[3]]) / total * len(kept) / n[r[3]]
+        k, p = 0, math.exp(-rate)
+        c = p
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        want.update({(r[0], r[1], j): 1 for j in range(1, k + 1)})
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.text, r.copy_no) for r in got) == want
+    assert len(kept) < len(now) < len(rows) and not {2000, 2001, 2002} & {r.doc_id for r in got}
+
+
 def test_registered_queries(spark):
     import __spark_entry__
 
