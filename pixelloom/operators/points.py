@@ -69,3 +69,26 @@ def cubic_fit(pt: DataFrame) -> DataFrame:
     base = [[f"s{i + j}" for j in range(4)] for i in range(4)]
     solve = lambda k: det([[f"t{i}" if j == k else base[i][j] for j in range(4)] for i in range(4)]) / det(base)
     return s.select("set_id", *(F.round(solve(k), 2).alias(n) for k, n in ((3, "a"), (2, "b"), (1, "c"))))
+
+
+def inside_polygon(pt: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
+    """Points that a ray to the right leaves an odd number of sides of a polygon."""
+    crossings = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
+        if y1 != y2:
+            at = F.lit(float(x1)) + (F.col("y") - float(y1)) * (float(x2 - x1) / float(y2 - y1))
+            low, high = sorted((float(y1), float(y2)))
+            crossings = crossings + F.when((F.col("y") >= low) & (F.col("y") < high) & (F.col("x") < at), 1).otherwise(0)
+    return pt.where(crossings % 2 == 1)
+
+
+def is_convex(corners: list[tuple[float, float]]) -> bool:
+    """Whether a polygon turns one way at every corner."""
+    n = len(corners)
+    turns = set()
+    for k in range(n):
+        (ax, ay), (bx, by), (cx, cy) = (corners[(k + j) % n] for j in range(3))
+        cross = (bx - ax) * (cy - by) - (by - ay) * (cx - bx)
+        if cross:
+            turns.add(cross > 0)
+    return len(turns) <= 1

@@ -66,6 +66,34 @@ def fill_holes(px: DataFrame, connectivity: int = 4) -> DataFrame:
     return px.join(holes, KEY, "left").select(*KEY, F.greatest("v", F.coalesce("m", F.lit(0))).alias("v"))
 
 
+def _on_border(px: DataFrame, connectivity: int, touching: bool) -> DataFrame:
+    size = px.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    runs = scratch(labelled_runs(px, connectivity), "runs")
+    edge = runs.join(size, "image_id").where("x0 = 0 OR y = 0 OR x1 = mx OR y = my").select("image_id", "label").distinct()
+    kept = runs.join(edge, ["image_id", "label"], "left_semi" if touching else "left_anti").select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.lit(1).alias("m"))
+    return px.join(kept, KEY, "left").select(*KEY, F.coalesce("m", F.lit(0)).alias("v"))
+
+
+def border_components(px: DataFrame, connectivity: int = 8) -> DataFrame:
+    """Only the components that touch the frame."""
+    return _on_border(px, connectivity, True)
+
+
+def clear_border(px: DataFrame, connectivity: int = 8) -> DataFrame:
+    """Only the components that do not touch the frame."""
+    return _on_border(px, connectivity, False)
+
+
+def component_rasters(px: DataFrame, connectivity: int = 4) -> DataFrame:
+    """The pixels of each component within its own bounding box: image_id, label, y, x, v."""
+    box = components(px, connectivity).select("image_id", "label", F.col("x").alias("x0"), F.col("y").alias("y0"), "w", "h")
+    rows = box.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    cells = rows.select("image_id", "label", "x0", "y0", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    on = label_pixels(px, connectivity).select("image_id", "label", F.col("y").alias("py"), F.col("x").alias("px"))
+    at = cells.withColumn("py", F.col("y") + F.col("y0")).withColumn("px", F.col("x") + F.col("x0"))
+    return at.join(on.withColumn("m", F.lit(1)), ["image_id", "label", "py", "px"], "left").select("image_id", "label", "y", "x", F.coalesce("m", F.lit(0)).alias("v"))
+
+
 def seedfill(seed: DataFrame, mask: DataFrame, connectivity: int = 4) -> DataFrame:
     """The mask's components that hold a seed pixel."""
     runs = scratch(labelled_runs(mask, connectivity), "mask-runs")

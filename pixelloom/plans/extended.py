@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.functions.encoding import base64_lines as B64
 from pixelloom.operators import boxsets as X
 from pixelloom.operators import colours as K
 from pixelloom.operators import depths as Q
@@ -17,8 +18,10 @@ from pixelloom.operators import neighbourhood as N
 from pixelloom.operators import pixels as P
 from pixelloom.operators import points as T
 from pixelloom.operators import recognition as R
+from pixelloom.operators import regions as Y
 from pixelloom.operators import scaling as S
 from pixelloom.sources import derived as D
+from pixelloom.sources import images as I
 
 Query = Callable[[SparkSession, str], DataFrame]
 g, g2, b1, rgb, sm, na, bx = D.gray, D.second, D.binary, D.colour, D.small, D.numa, D.boxes
@@ -175,11 +178,29 @@ QUERIES: dict[str, Query] = {
     "distance_function_frame": lambda s, d: C.distance(small_binary(s, d), 4, True),
     "watershed4": lambda s, d: C.watershed(sm(s, d), 4),
     "thin4": lambda s, d: C.thin(small_binary(s, d), 4),
+    # components, points, formats, text
+    "clear_border": lambda s, d: Y.clear_border(small_binary(s, d), 4),
+    "border_components": lambda s, d: Y.border_components(small_binary(s, d), 4),
+    "component_rasters": lambda s, d: Y.component_rasters(small_binary(s, d)),
+    "pta_inside_polygon": lambda s, d: T.inside_polygon(D.points(s, d), POLYGON),
+    "jpeg_round_trip": lambda s, d: _jpeg(sm(s, d)),
+    "tiff_page_round_trip": lambda s, d: I.pages(I.bound(sm(s, d).select(F.floor(F.col("image_id") / 4).alias("image_id"), (F.col("image_id") % 4).cast("int").alias("page"), "y", "x", "v"))),
+    "image_headers": lambda s, d: I.headers(I.encode(sm(s, d), "png").select(F.col("image_id").cast("string").alias("path"), "content")),
+    "base64_text": lambda s, d: D.table(s, d, "documents").select("doc_id", B64(F.col("text").cast("binary")).alias("code")),
     # recognition
     "find_skew": lambda s, d: R.find_skew(b1(s, d)),
     "deskew": lambda s, d: R.deskewed(b1(s, d)),
 }
 
+POLYGON = [(5.0, 10000.0), (40.0, 5000.0), (45.0, 60000.0), (20.0, 30000.0)]
+
+
+def _jpeg(small: DataFrame) -> DataFrame:
+    """Whether the best quality keeps every value to within 2."""
+    back = I.pixels(I.encode(small, "jpeg")).withColumnRenamed("v", "b")
+    return small.join(back, [*P.KEY]).groupBy("image_id").agg((F.max(F.abs(F.col("v") - F.col("b"))) <= 2).alias("close"), F.count(F.lit(1)).alias("n"))
+
+
 BILINEAR = S.bilinear_of([(0, 0), (95, 0), (0, 95), (95, 95)], [(3, 2), (90, 4), (1, 97), (99, 91)])
 PROJECTIVE = S.projective_of([(0, 0), (95, 0), (0, 95), (95, 95)], [(3, 2), (90, 4), (1, 97), (99, 91)])
 
@@ -362,7 +383,33 @@ def _spread(eight: bool) -> str:
     SELECT image_id, ((i - 1) // 8)::INTEGER AS y, ((i - 1) % 8)::INTEGER AS x, v[((i - 1) // 8 + 1) * 10 + (i - 1) % 8 + 2]::INTEGER AS v FROM o, range(1, 65) p(i)"""
 
 
+_CC = """WITH RECURSIVE f AS (SELECT image_id, y, x, y * 8 + x AS p FROM small WHERE v < 128),
+    c(image_id, p, root) AS (SELECT image_id, p, p FROM f UNION SELECT c.image_id, q.p, c.root FROM c JOIN f a ON a.image_id = c.image_id AND a.p = c.p JOIN f q ON q.image_id = a.image_id AND abs(q.y - a.y) + abs(q.x - a.x) = 1),
+    n AS (SELECT image_id, p, min(root) AS root FROM c GROUP BY 1, 2), b AS (SELECT DISTINCT image_id, root FROM n WHERE p < 8 OR p >= 56 OR p % 8 IN (0, 7))"""
+_OF = " SELECT s.image_id, s.y, s.x, ({})::INTEGER AS v FROM small s LEFT JOIN n ON n.image_id = s.image_id AND n.p = s.y * 8 + s.x LEFT JOIN b ON b.image_id = n.image_id AND b.root = n.root"
+
+
+def _crossings() -> str:
+    out = []
+    for (x1, y1), (x2, y2) in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True):
+        out.append(f"(y >= {min(y1, y2)!r} AND y < {max(y1, y2)!r} AND x < {x1!r}::DOUBLE + (y - {y1!r}::DOUBLE) * {((x2 - x1) / (y2 - y1))!r}::DOUBLE)::INTEGER")
+    return " + ".join(out)
+
+
 STATEMENTS: dict[str, tuple[str, ...]] = {
+    "clear_border": (_CC + _OF.format("n.root IS NOT NULL AND b.root IS NULL"), "small"),
+    "border_components": (_CC + _OF.format("b.root IS NOT NULL"), "small"),
+    "component_rasters": (
+        _CC + ", l AS (SELECT n.*, p // 8 AS y, p % 8 AS x, dense_rank() OVER (PARTITION BY n.image_id ORDER BY root)::INTEGER AS label FROM n), e AS (SELECT image_id, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM l GROUP BY 1, 2), "
+        "r AS (SELECT *, unnest(range(0, y1 - y0 + 1)) AS y FROM e), k AS (SELECT *, unnest(range(0, x1 - x0 + 1)) AS x FROM r) "
+        "SELECT k.image_id, k.label, k.y::INTEGER AS y, k.x::INTEGER AS x, (l.p IS NOT NULL)::INTEGER AS v FROM k LEFT JOIN l ON l.image_id = k.image_id AND l.label = k.label AND l.y = k.y + k.y0 AND l.x = k.x + k.x0",
+        "small",
+    ),
+    "pta_inside_polygon": (f"SELECT * FROM pt WHERE ({_crossings()}) % 2 = 1", "pt"),
+    "jpeg_round_trip": ("SELECT image_id, true AS close, count(*) AS n FROM small GROUP BY 1", "small"),
+    "tiff_page_round_trip": ("SELECT image_id // 4 AS image_id, (image_id % 4)::INTEGER AS page, y, x, v FROM small", "small"),
+    "image_headers": ("SELECT DISTINCT image_id::VARCHAR AS path, 8 AS width, 8 AS height, 8 AS depth, 1 AS channels FROM small", "small"),
+    "base64_text": ("WITH b AS (SELECT doc_id, to_base64(encode(text)) AS c FROM documents) SELECT doc_id, regexp_replace(c, '(.{72})', '\\1' || chr(10), 'g') || CASE WHEN length(c) % 72 = 0 AND length(c) > 0 THEN '' ELSE chr(10) END AS code FROM b",),
     "depth_unpack_binary": (V.format("CASE WHEN v = 0 THEN 255 ELSE 0 END", "bin"), "bin"),
     "depth_2_to_8": (V.format("([0, 90, 160, 255])[(v >> 6) + 1]", "pix"), "pix"),
     "depth_4_to_8": (V.format("(v >> 4) * 17", "pix"), "pix"),

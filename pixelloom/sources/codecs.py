@@ -13,6 +13,8 @@ import zlib
 
 import numpy as np
 
+from pixelloom.sources import jpeg
+
 Raster = tuple[np.ndarray, int]
 
 #: First bytes of the formats that can be told apart.
@@ -380,7 +382,7 @@ def read_tiff(data: bytes, page: int = 0) -> Raster:
     w, h, bits, per, how, photo = one(256, 0), one(257, 0), one(258, 1), one(277, 1), one(259, 1), one(262, 1)
     strips = [data[o : o + n] for o, n in zip(tags[273], tags[279])]
     undo = {1: bytes, 5: lzw_decode, 32773: _packbits, 8: zlib.decompress, 32946: zlib.decompress}
-    if one(317, 1) != 1:
+    if one(317, 1) not in (1, 2):
         raise ValueError("predictor")
     if how not in undo:
         raise ValueError(f"compression {how}")
@@ -388,6 +390,8 @@ def read_tiff(data: bytes, page: int = 0) -> Raster:
     row = (w * per * bits + 7) // 8
     a = raw[: row * h].reshape(h, row)
     a = a.view(e + "u2").astype(np.uint16).reshape(h, -1) if bits == 16 else _unpack(a, w * per, bits)
+    if one(317, 1) == 2:  # differences to the left neighbour, channel by channel
+        a = (np.cumsum(a.reshape(h, w, per).astype(np.int64), axis=1) % (1 << bits)).astype(a.dtype).reshape(h, -1)
     if per > 1:
         return a.reshape(h, w, per)[:, :, :4], 8
     return ((1 << bits) - 1 - a if photo == 0 and bits == 1 else a), bits
@@ -404,8 +408,90 @@ def write_tiff(a: np.ndarray, depth: int, deflate: bool = True) -> bytes:
     return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *x) for x in entries) + b"\0\0\0\0"
 
 
-READERS = {"gif": read_gif, "pnm": read_pnm, "bmp": read_bmp, "png": read_png, "spix": read_spix, "tiff": read_tiff}
-WRITERS = {"gif": write_gif, "pnm": write_pnm, "bmp": write_bmp, "png": write_png, "spix": write_spix, "tiff": write_tiff}
+def _directories(data: bytes) -> list[int]:
+    """The places of a TIFF's directories, one per page."""
+    e = "<" if data[:2] == b"II" else ">"
+    out, at = [], struct.unpack(e + "I", data[4:8])[0]
+    while at and at not in out:
+        out.append(at)
+        at = struct.unpack(e + "I", data[at + 2 + 12 * struct.unpack(e + "H", data[at : at + 2])[0] :][:4])[0]
+    return out
+
+
+def tiff_pages(data: bytes) -> int:
+    """The number of pages of a TIFF."""
+    return len(_directories(data))
+
+
+def write_tiff_pages(pages: list[tuple[np.ndarray, int]], deflate: bool = True) -> bytes:
+    """One TIFF of several rasters."""
+    out = b""
+    for a, depth in pages:
+        out = append_tiff(out, a, depth, deflate)
+    return out
+
+
+def append_tiff(data: bytes, a: np.ndarray, depth: int, deflate: bool = True) -> bytes:
+    """A little-endian TIFF with one more page."""
+    page = write_tiff(a, depth, deflate)
+    if not data:
+        return page
+    shift = len(data) - 8
+    at = struct.unpack("<I", page[4:8])[0]
+    out = bytearray(page)
+    for k in range(struct.unpack("<H", page[at : at + 2])[0]):
+        place = at + 2 + 12 * k
+        if struct.unpack("<H", page[place : place + 2])[0] == 273:  # where the strip starts
+            out[place + 8 : place + 12] = struct.pack("<I", struct.unpack("<I", page[place + 8 : place + 12])[0] + shift)
+    last = _directories(data)[-1]
+    link = last + 2 + 12 * struct.unpack("<H", data[last : last + 2])[0]
+    return data[:link] + struct.pack("<I", at + shift) + data[link + 4 :] + bytes(out[8:])
+
+
+def header(data: bytes) -> tuple[int, int, int, int]:
+    """Width, height, bits of a channel and channels, without decoding pixels."""
+    kind = sniff(data)
+    if kind == "png":
+        w, h, bits, colour = struct.unpack(">IIBB", data[16:26])
+        return w, h, bits, {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    if kind == "bmp":
+        w, h = struct.unpack("<ii", data[18:26])
+        bits = struct.unpack("<H", data[28:30])[0]
+        return w, abs(h), min(bits, 8), max(1, bits // 8)
+    if kind == "gif":
+        w, h, flags = struct.unpack("<HHB", data[6:11])
+        return w, h, (flags & 7) + 1, 1
+    if kind == "spix":
+        w, h, bits = struct.unpack("<3I", data[4:16])
+        return w, h, min(bits, 16) if bits < 32 else 8, 3 if bits == 32 else 1
+    if kind == "jpeg":
+        return jpeg.header(data)
+    if kind == "tiff":
+        e, at = "<" if data[:2] == b"II" else ">", _directories(data)[0]
+        tags = {}
+        for k in range(struct.unpack(e + "H", data[at : at + 2])[0]):
+            tag, size, n = struct.unpack(e + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
+            if n == 1:
+                tags[tag] = struct.unpack(e + ("H" if size == 3 else "I"), data[at + 10 + 12 * k : at + 12 + 12 * k + 2 * (size != 3)])[0]
+        return tags[256], tags[257], tags.get(258, 8 if tags.get(277, 1) > 1 else 1), tags.get(277, 1)
+    if data[:2] == b"P7":
+        field = {k: int(v) for k, v in re.findall(rb"^(WIDTH|HEIGHT|DEPTH|MAXVAL) (\d+)", data.partition(b"ENDHDR")[0], re.M)}
+        return field[b"WIDTH"], field[b"HEIGHT"], field[b"MAXVAL"].bit_length(), field[b"DEPTH"]
+    if kind == "pnm":
+        number = data[1] - 48
+        w, h, top = [int(x) for x in re.sub(rb"#[^\n]*\n", b" ", data[2:4096]).split()[: 2 if number in (1, 4) else 3]] + ([1] if number in (1, 4) else [])
+        return w, h, next(d for d in (1, 2, 4, 8, 16) if top < 1 << d), 3 if number in (3, 6) else 1
+    raise ValueError(f"no reader for {kind}")
+
+
+def ascii85(data: bytes) -> str:
+    """Five letters for four bytes ('z' for four of 0), in lines of 64, ended by '~>'."""
+    text = base64.a85encode(data).decode()
+    return "\n".join(text[k : k + 64] for k in range(0, len(text), 64)) + "\n~>\n"
+
+
+READERS = {"gif": read_gif, "pnm": read_pnm, "bmp": read_bmp, "png": read_png, "spix": read_spix, "tiff": read_tiff, "jpeg": jpeg.read}
+WRITERS = {"gif": write_gif, "pnm": write_pnm, "bmp": write_bmp, "png": write_png, "spix": write_spix, "tiff": write_tiff, "jpeg": lambda a, depth: jpeg.write(a, depth, 100, False)}
 
 
 def read(data: bytes) -> Raster:

@@ -19,12 +19,12 @@ def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """path, width, height, depth and channels of each file."""
+    """path, width, height, depth and channels of each file, from its header alone."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [codecs.read(x) for x in b.content]
-            yield pd.DataFrame({"path": b.path, "width": [a.shape[1] for a, _ in found], "height": [a.shape[0] for a, _ in found], "depth": [d for _, d in found], "channels": [1 if a.ndim == 2 else a.shape[2] for a, _ in found]})
+            found = [codecs.header(x) for x in b.content]
+            yield pd.DataFrame(found, columns=["width", "height", "depth", "channels"]).assign(path=b.path.to_numpy())[["path", "width", "height", "depth", "channels"]]
 
     return files.select("path", "content").mapInPandas(rows, "path string, width int, height int, depth int, channels int")
 
@@ -44,6 +44,34 @@ def pixels(files: DataFrame, id_col: str = "image_id") -> DataFrame:
     return files.select(id_col, "content").mapInPandas(rows, "image_id long, y int, x int, v int")
 
 
+def pages(files: DataFrame, id_col: str = "image_id") -> DataFrame:
+    """A row of gray pixels (image_id, page, y, x, v) for every page of TIFF files (image_id, content)."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, content in zip(b[id_col], b.content):
+                for page in range(codecs.tiff_pages(content)):
+                    a, _ = codecs.read_tiff(content, page)
+                    y, x = np.divmod(np.arange(a.size), a.shape[1])
+                    yield pd.DataFrame({"image_id": i, "page": page, "y": y.astype(np.int32), "x": x.astype(np.int32), "v": a.ravel().astype(np.int32)})
+
+    return files.select(id_col, "content").mapInPandas(rows, "image_id long, page int, y int, x int, v int")
+
+
+def bound(px: DataFrame) -> DataFrame:
+    """One TIFF of all pages of an image: image_id, content, from (image_id, page, y, x, v). A file is one task's work."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for _, p in pdf.groupby("page"):
+            a = np.zeros((int(p.y.max()) + 1, int(p.x.max()) + 1), np.int64)
+            a[p.y, p.x] = p.v
+            made.append((a, 8))
+        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "content": [codecs.write_tiff_pages(made)]})
+
+    return px.select("image_id", "page", "y", "x", "v").groupBy("image_id").applyInPandas(one, "image_id long, content binary")
+
+
 def encode(px: DataFrame, kind: str, depth: int = 8) -> DataFrame:
     """One encoded file per raster: image_id, content. A raster is one task's work, as its file is one value."""
 
