@@ -1,4 +1,9 @@
-"""Numeric arrays (set_id, i, v): windows, ranks, histograms, runs, crossings, distances; run lengths of rasters."""
+"""Numeric arrays (set_id, i, v): windows, ranks, histograms, runs, crossings, distances; run lengths of rasters.
+
+Windows of bounded width run over chunks of CHUNK elements with the neighbours that they need; sums from the start add up
+chunks first; ranks count equal values and then BINS parts of an array's range. So an array may be larger than a task. The
+operators that look any distance back or ahead (runs, reversals, nearest, interpolation) take an array per task.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CHUNK, BINS = 1 << 16, 1024
+
+
 def _line():
     return Window.partitionBy("set_id").orderBy("i")
 
 
+def _cut(na: DataFrame, before: int, after: int) -> DataFrame:
+    """Each element in its chunk (_c), and in the next or last one where a window of theirs reaches it."""
+    c, at = F.floor(F.col("i") / CHUNK), F.pmod("i", F.lit(CHUNK))
+    return na.withColumn("_c", F.explode(F.array_compact(F.array(c, F.when(at >= CHUNK - before, c + 1), F.when(at < after, c - 1)))))
+
+
+def _chunk():
+    return Window.partitionBy("set_id", "_c").orderBy("i")
+
+
+def _own(df: DataFrame) -> DataFrame:
+    """The elements of _cut in their own chunks."""
+    return df.where(F.floor(F.col("i") / CHUNK) == F.col("_c")).drop("_c")
+
+
+def _ranked(na: DataFrame) -> DataFrame:
+    """Distinct values of each array with their number (k), the number of smaller ones (before) and of all (n)."""
+    ends = na.groupBy("set_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    k = na.groupBy("set_id", "v").agg(F.count(F.lit(1)).alias("k")).join(ends, "set_id")
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))).otherwise(0)
+    k = k.select("set_id", "v", "k", "n", bin_.alias("b"))
+    upto = Window.partitionBy("set_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    base = k.groupBy("set_id", "b").agg(F.sum("k").alias("s")).select("set_id", "b", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("set_id", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return k.join(base, ["set_id", "b"]).select("set_id", "v", "k", "n", (F.col("base") + F.coalesce(F.sum("k").over(inner), F.lit(0))).alias("before"))
+
+
 def _mirrored(na: DataFrame, half: int) -> DataFrame:
     """With half mirrored elements at either end (the end element first)."""
     n = na.groupBy("set_id").agg((F.max("i") + 1).alias("n"))
@@ -20,44 +55,49 @@ def _mirrored(na: DataFrame, half: int) -> DataFrame:
 
 def windowed_stats(na: DataFrame, half: int) -> DataFrame:
     """Mean, mean square and their difference over 2 half + 1 elements, with mirrored ends."""
-    w = _line().rowsBetween(-half, half)
+    w = _chunk().rowsBetween(-half, half)
     m, s = F.avg("v").over(w), F.avg(F.col("v") * F.col("v")).over(w)
-    return _mirrored(na, half).select("set_id", "i", "n", F.round(m, 6).alias("mean"), F.round(s, 4).alias("mean_square"), F.round(s - m * m, 4).alias("var")).where("i >= 0 AND i < n").drop("n")
+    got = _cut(_mirrored(na, half), half, half).select("set_id", "i", "n", "_c", F.round(m, 6).alias("mean"), F.round(s, 4).alias("mean_square"), F.round(s - m * m, 4).alias("var"))
+    return _own(got).where("i >= 0 AND i < n").drop("n")
 
 
 def windowed_median(na: DataFrame, half: int) -> DataFrame:
     """The middle of the sorted window, with mirrored ends."""
-    w = _line().rowsBetween(-half, half)
-    return _mirrored(na, half).select("set_id", "i", "n", F.element_at(F.array_sort(F.collect_list("v").over(w)), half + 1).alias("median")).where("i >= 0 AND i < n").drop("n")
+    w = _chunk().rowsBetween(-half, half)
+    got = _cut(_mirrored(na, half), half, half).select("set_id", "i", "n", "_c", F.collect_list("v").over(w).alias("l"))
+    return _own(got).where("i >= 0 AND i < n").select("set_id", "i", F.element_at(F.sort_array("l"), half + 1).alias("median"))
 
 
 def extreme_filter(na: DataFrame, size: int, largest: bool) -> DataFrame:
     """1-D dilation or erosion; an even size becomes odd; ends are cut."""
     half = (size | 1) // 2
-    return na.withColumn("v", (F.max if largest else F.min)("v").over(_line().rowsBetween(-half, half)))
+    return _own(_cut(na, half, half).withColumn("v", (F.max if largest else F.min)("v").over(_chunk().rowsBetween(-half, half))))
 
 
 def partial_sums(na: DataFrame) -> DataFrame:
-    return na.withColumn("v", F.round(F.sum("v").over(_line().rowsBetween(Window.unboundedPreceding, 0)), 4))
+    c = na.withColumn("_c", F.floor(F.col("i") / CHUNK))
+    upto = Window.partitionBy("set_id").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    base = c.groupBy("set_id", "_c").agg(F.sum("v").alias("s")).select("set_id", "_c", F.coalesce(F.sum("s").over(upto), F.lit(0.0)).alias("base"))
+    inner = F.sum("v").over(_chunk().rowsBetween(Window.unboundedPreceding, 0))
+    return c.withColumn("v", inner).join(base, ["set_id", "_c"]).select("set_id", "i", F.round(F.col("base") + F.col("v"), 4).alias("v"))
 
 
 def deltas(na: DataFrame) -> DataFrame:
     """v[i] - v[i - 1]: one element less."""
-    return na.withColumn("v", F.round(F.col("v") - F.lag("v").over(_line()), 6)).where(F.col("v").isNotNull())
+    return _own(_cut(na, 1, 0).withColumn("v", F.round(F.col("v") - F.lag("v").over(_chunk()), 6))).where(F.col("v").isNotNull())
 
 
 def crossings(na: DataFrame, t: float) -> DataFrame:
     """Interpolated places where the array passes strictly from one side of t to the other."""
-    a, b = F.lag("v").over(_line()) - t, F.col("v") - t
-    d = na.select("set_id", "i", a.alias("a"), b.alias("b")).where((F.col("a") * F.col("b")) < 0)
+    a, b = F.lag("v").over(_chunk()) - t, F.col("v") - t
+    d = _own(_cut(na, 1, 0).select("set_id", "i", "_c", a.alias("a"), b.alias("b"))).where((F.col("a") * F.col("b")) < 0)
     return d.select("set_id", F.round(F.col("i") - 1 + F.abs(F.col("a")) / (F.abs(F.col("a")) + F.abs(F.col("b"))), 6).alias("at"))
 
 
 def rank_value(na: DataFrame, fract: float) -> DataFrame:
     """The value at index floor(fract (n - 1) + 0.5) of the ascending order."""
-    w = Window.partitionBy("set_id")
-    r = na.select("set_id", "v", (F.row_number().over(w.orderBy("v", "i")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.where(F.col("r") == F.floor(F.lit(fract) * (F.col("n") - 1) + 0.5)).select("set_id", F.col("v").alias("rank_value"))
+    at = F.floor(F.lit(fract) * (F.col("n") - 1) + 0.5)
+    return _ranked(na).where((F.col("before") <= at) & (at < F.col("before") + F.col("k"))).select("set_id", F.col("v").alias("rank_value"))
 
 
 def mode(na: DataFrame) -> DataFrame:
@@ -76,12 +116,19 @@ def histogram_auto(na: DataFrame, bins: int) -> DataFrame:
 
 def equal_population(na: DataFrame, k: int) -> DataFrame:
     """Means of k bins of the ascending order that hold floor(n (b + 1) / k) - floor(n b / k) elements."""
-    w = Window.partitionBy("set_id")
-    r = na.select("set_id", "v", (F.row_number().over(w.orderBy("v", "i")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    # the bin b of rank r: the largest with floor(n b / k) <= r
-    b = F.floor((F.col("r") * k + k - 1) / F.col("n"))
-    b = F.when(F.floor(F.col("n") * b / k) <= F.col("r"), b).otherwise(b - 1)
-    return r.select("set_id", F.least(b, F.lit(k - 1)).cast("int").alias("bin"), "v").groupBy("set_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    n = F.col("n")
+
+    def bin_of(r):
+        """The largest b with floor(n b / k) <= r."""
+        b = F.floor((r * k + k - 1) / n)
+        return F.least(F.when(F.floor(n * b / k) <= r, b).otherwise(b - 1), F.lit(k - 1))
+
+    # equal values may lie in several bins: of each, as many as its ranks say
+    r = _ranked(na).select("set_id", "v", "n", "before", (F.col("before") + F.col("k")).alias("end"))
+    r = r.select("*", F.explode(F.sequence(bin_of(F.col("before")), bin_of(F.col("end") - 1))).alias("b"))
+    many = F.least(F.col("end"), F.floor(n * (F.col("b") + 1) / k)) - F.greatest(F.col("before"), F.floor(n * F.col("b") / k))
+    r = r.select("set_id", F.col("b").cast("int").alias("bin"), "v", many.alias("many")).where("many > 0")
+    return r.groupBy("set_id", "bin").agg(F.sum("many").alias("n"), F.round(F.sum(F.col("v") * F.col("many")) / F.sum("many"), 6).alias("mean"))
 
 
 def simple_stats(na: DataFrame) -> DataFrame:
@@ -165,9 +212,9 @@ def nearest_model(na: DataFrame, has: float, most: int) -> DataFrame:
 
 def peaks(na: DataFrame, half: int, least: float) -> DataFrame:
     """Elements at or above `least` that no element within half places exceeds; of equal ones the first."""
-    w = _line()
+    w = _chunk()
     before, after = F.max("v").over(w.rowsBetween(-half, -1)), F.max("v").over(w.rowsBetween(1, half))
-    p = na.select("set_id", "i", "v", before.alias("b"), after.alias("a"))
+    p = _own(_cut(na, half, half).select("set_id", "i", "v", "_c", before.alias("b"), after.alias("a")))
     return p.where((F.col("v") >= least) & (F.col("b").isNull() | (F.col("v") > F.col("b"))) & (F.col("a").isNull() | (F.col("v") >= F.col("a")))).select("set_id", "i", "v")
 
 

@@ -36,6 +36,16 @@ def test_matches_sql(spark, duck, name):
     assert got == sorted(repr([plain(r[names.index(c)]) for c in cols]) for r in found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["numa_windowed_stats", "numa_windowed_median", "numa_dilate", "numa_deltas", "numa_partial_sums", "numa_crossings", "numa_rank_value", "numa_equal_population_bins", "numa_peaks", "numa_open"])
+def test_small_chunks(spark, duck, name, monkeypatch):
+    """Arrays cut into many chunks, and ranks into few bins, give the same."""
+    from pixelloom.operators import sequences
+
+    monkeypatch.setattr(sequences, "CHUNK", 16)
+    monkeypatch.setattr(sequences, "BINS", 3)
+    test_matches_sql(spark, duck, name)
+
+
 def test_entry(spark):
     import __spark_entry__
 
