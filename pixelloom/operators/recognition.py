@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.sources.scratch import scratch
+
+#: Pixels of templates that are broadcast: some 16 bytes each.
+SMALL = 1 << 18
+
 
 def skew_scores(px: DataFrame, degrees: list[int]) -> DataFrame:
     """For each angle: the foreground sheared down by x tan(angle), and the sum of squared differences of row counts.
@@ -33,9 +38,11 @@ def templates(small: DataFrame) -> DataFrame:
 def best_template(small: DataFrame) -> DataFrame:
     """Each raster's class of least total absolute difference to the class means; ties: the lowest label.
 
-    Classes are few; each pixel meets the templates' pixels of its place, and sums are partial before the shuffle.
+    Sums are partial before the shuffle. Templates of up to SMALL pixels in all are sent to every task, so that rasters stay
+    where they are; beyond that pixels and templates meet by place.
     """
-    t = templates(small).withColumnRenamed("label", "cls")
+    t = scratch(templates(small).withColumnRenamed("label", "cls"), "templates")
+    t = F.broadcast(t) if t.count() <= SMALL else t
     d = small.select("image_id", "y", "x", "v").join(t, ["y", "x"]).groupBy("image_id", "cls").agg(F.sum(F.abs(F.col("v") - F.col("t"))).alias("d"))
     return d.groupBy("image_id").agg(F.min(F.struct("d", "cls")).alias("m")).select("image_id", F.col("m.cls").alias("cls"), F.col("m.d").alias("distance"))
 
@@ -125,8 +132,6 @@ def find_skew(px: DataFrame, reach: int = 7, least_step: float = 0.01) -> DataFr
 
     A best angle at the end of the sweep gives 0 and 0. All rasters take each step together.
     """
-    from pixelloom.sources.scratch import scratch
-
     on = scratch(px.where("v = 1").select("image_id", "y", "x"), "foreground")
     sizes = scratch(px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")), "sizes")
     tries = lambda t, *degrees: t.select("image_id", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), d.alias("deg")) for k, d in enumerate(degrees)))).alias("e")).select("image_id", "e.k", "e.deg")
