@@ -1,7 +1,8 @@
 """Corpus pipeline over `documents`: toxicity, line dedup, near dedup, decontamination, mixing to target weights.
 
 Each stage works on all rows its predecessor kept and returns the columns of documents (the last one adds the copy's
-number and its place in the global order).
+number and its place in the global order). Whatever other columns documents have, they are carried along. In every stage
+an empty table gives an empty one, and a text is one row that fits a worker's memory, however long.
 """
 
 from __future__ import annotations
@@ -18,28 +19,37 @@ from pixelloom.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go. Null and empty texts are scored as texts without words, repeated rows alike."""
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text."""
+    """Repeated lines go, of each group all but the first by id and line; n_chars follows the text.
+
+    Null texts stay null, rows with a null id stay whole, rows of one id lose lines of the same numbers; a text may become empty.
+    """
     out = dedup_lines(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group stays, that of the least id: five-word shingles, similarity 0.8 or more.
+
+    Texts without words and rows with a null id all stay; of rows that repeat an id one stays.
+    """
     return keep_one(docs, n=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go. Null and empty texts stay, repeated rows go or stay together."""
     return drop_overlapping(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks, in a global random order."""
+    """Each document as often as its source's target weight asks, in a global random order.
+
+    A null source is a source of its own, a null id is drawn as the text 'null'; rows that repeat an id are drawn alike.
+    """
     return mix_sources(docs)
 
 
