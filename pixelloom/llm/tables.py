@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -46,3 +48,15 @@ def size_of(df: DataFrame) -> int:
     jvm = df.sparkSession._jvm
     at = jvm.org.apache.hadoop.fs.Path(df._kept_at)
     return at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def release() -> None:
+    """Give the driver's freed memory back to the system, as what follows may need it in the JVM."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.sums import summed
-from pixelloom.llm.tables import keep
+from pixelloom.llm.tables import keep, release
 from pixelloom.llm.words import Words, crc_mod, mix, slices
 
 #: At most so many labelled rows of each class (those of the smallest hashed ids) are examples.
@@ -351,6 +351,8 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     tasks = 2 * spark.sparkContext.defaultParallelism
     seen = [(r.raw, float(r.label), stands[r.label]) for r in rows.repartition(tasks).mapInArrow(alone, "raw double, label int").collect()]
     curve = index.calibrated(seen).curve
+    del index, table, parts, got, columns, term, start, toxic, n, df, weights
+    release()
     return lambda: Scorer(known.value[0], replace(known.value[1], curve=curve))
 
 
