@@ -22,8 +22,10 @@ COMMON = 0.03
 #: Least edit similarity of a link: 1 - Levenshtein distance / length of the longer line, over characters; over words
 #: where the longer line has more than LONG characters.
 SIMILARITY, LONG = 0.8, 256
-#: In buckets with more lines than this that are not all linked yet, lines meet if they share one of FINE blocks of two words as well.
-LARGE, FINE = 64, 16
+#: Lines in a part of a bucket: two parts meet in a tile, so that a large bucket is many tasks' work.
+LARGE = 1024
+#: Comparisons of a task, about.
+WORK = 1 << 21
 #: Tables of ids are broadcast up to this size on disk, else joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 _PUNCTUATION = ".,;:!?\"'()[]{}<>-_*#&%$|"
@@ -113,23 +115,84 @@ def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     return lines.select("h1", "norm").join(small, F.col("h1") == F.col("w"), "left_semi").dropDuplicates(["h1"])
 
 
+def _similar(one: tuple[str, ...], two: tuple[str, ...]) -> Column:
+    """Whether two lines, each as the columns (characters, words, by characters, by words), reach the edit similarity.
+
+    They are compared by characters if both have LONG at most, else by words.
+    """
+    by_chars = (F.col(one[0]) <= LONG) & (F.col(two[0]) <= LONG)
+    answers = []
+    for size, text in ((0, 2), (1, 3)):
+        n1, n2 = F.col(one[size]), F.col(two[size])
+        most = F.floor(F.greatest(n1, n2) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
+        answers.append((F.abs(n1 - n2) <= most) & _within(one[text], two[text], most))
+    return F.when(by_chars, answers[0]).otherwise(answers[1])
+
+
+def _forms(wordy: Column) -> list[Column]:
+    """Of `norm`: its characters (n) and words (m), itself (c) if it has LONG characters at most, its words spelled (u) where wordy."""
+    return [F.length("norm").alias("n"), F.size(F.split("norm", " ")).alias("m"), F.when(F.length("norm") <= LONG, F.col("norm")).alias("c"), F.when(wordy, _spelled()).alias("u")]
+
+
+def _named(df: DataFrame, k: int) -> tuple[DataFrame, tuple[str, ...]]:
+    """df with k behind every name, and the names of a line's forms."""
+    return df.toDF(*(f"{x}{k}" for x in df.columns)), tuple(f"{x}{k}" for x in ("n", "m", "c", "u"))
+
+
 def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Of pairs (a, b) of distinct lines (by h1), those that reach the edit similarity."""
     pairs = keep(pairs, "line-pairs")
     wanted = keep(pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct(), "wanted")
-    size = F.length("norm")
-    # a line is compared by characters or by words, as its partner's length asks
-    text = _texts(wanted, lines).select("h1", size.alias("n"), F.when(size <= LONG, F.col("norm")).alias("c"), F.when(size >= SIMILARITY * LONG, _spelled()).alias("u"))
-    text = keep(text, "line-texts")
-    one, two = (text.toDF(*(f"{x}{k}" for x in ("h", "n", "c", "u"))) for k in (1, 2))
+    text = keep(_texts(wanted, lines), "line-texts")
+    # lines of up to LONG characters are spelled by words as well if any partner is longer
+    size = text.select(F.col("h1").alias("x"), F.length("norm").alias("size"))
+    long = keep(size.where(F.col("size") > LONG), "long-lines")
+    small = F.broadcast(long) if size_of(long) <= BROADCAST_BYTES else long
+    sides = pairs.join(small, F.col("a") == F.col("x"), "left_semi").select(F.col("b").alias("l")).unionByName(pairs.join(small, F.col("b") == F.col("x"), "left_semi").select(F.col("a").alias("l")))
+    wordy = keep(sides.unionByName(long.select(F.col("x").alias("l"))).distinct(), "wordy")
+    marked = F.broadcast(wordy) if size_of(wordy) <= BROADCAST_BYTES else wordy
+    form = keep(text.join(marked, F.col("h1") == F.col("l"), "left").select("h1", *_forms(F.col("l").isNotNull())), "line-forms")
+    (one, first), (two, second) = (_named(form, k) for k in (1, 2))
     # a fixed number of tasks: few bytes make much work here
     tasks = max(2 * pairs.sparkSession.sparkContext.defaultParallelism, pairs.count() // 8192)
-    joined = pairs.join(one, F.col("a") == F.col("h1")).repartition(tasks, "b").join(two, F.col("b") == F.col("h2"))
-    by_chars = F.greatest("n1", "n2") <= LONG
-    joined = joined.select("a", "b", F.when(by_chars, F.col("c1")).otherwise(F.col("u1")).alias("t1"), F.when(by_chars, F.col("c2")).otherwise(F.col("u2")).alias("t2"))
-    most = F.floor(F.greatest(F.length("t1"), F.length("t2")) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
-    links = keep(joined.where(F.abs(F.length("t1") - F.length("t2")) <= most).where(_within("t1", "t2", most)).select("a", "b"), "line-links")
-    for t in (pairs, wanted, text):
+    joined = pairs.join(one, F.col("a") == F.col("h11")).repartition(tasks, "b").join(two, F.col("b") == F.col("h12"))
+    links = keep(joined.where(_similar(first, second)).select("a", "b"), "line-links")
+    for t in (pairs, wanted, text, long, wordy, form):
+        drop(t)
+    return links
+
+
+def _across(loose: DataFrame, lines: DataFrame) -> DataFrame:
+    """Links (a, b) between the components in a bucket, from all pairs of its lines that lie in two of them.
+
+    loose: key, node, comp. The lines outside a bucket's largest component meet all of its lines. Both are cut into parts
+    of about LARGE, every two of which meet in a tile; pairs that don't link never leave the join that compares them.
+    """
+    wanted = keep(loose.select(F.col("node").alias("w")).distinct(), "wanted")
+    text = keep(_texts(wanted, lines).select("h1", "norm", F.length("norm").alias("size")), "line-texts")
+    rows = keep(loose.join(text, F.col("node") == F.col("h1")).select("key", "node", "comp", "norm", "size"), "loose-texts")
+    sized = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("some"), F.max("size").alias("size")).groupBy("key")
+    sized = sized.agg(F.sum("some").alias("all"), F.max(F.struct("some", "comp")).alias("main"), F.max("size").alias("longest"))
+    sized = sized.select(F.col("key").alias("k"), F.col("main.comp").alias("main"), F.col("all"), (F.col("all") - F.col("main.some")).alias("rest"), "longest")
+    sized = keep(sized, "bucket-sizes")
+    work = sized.agg(F.sum(F.col("all").cast("double") * F.col("rest"))).first()[0] or 0
+    tasks = max(2 * loose.sparkSession.sparkContext.defaultParallelism, int(work // WORK))
+    small = F.broadcast(sized) if size_of(sized) <= BROADCAST_BYTES else sized
+    parts = rows.join(small, F.col("key") == F.col("k")).select("key", "node", "comp", "main", *_forms(F.col("longest") > LONG), F.ceil(F.col("rest") / LARGE).alias("lefts"), F.ceil(F.col("all") / LARGE).alias("rights"))
+    sides = []
+    for k, (own, other) in enumerate((("lefts", "rights"), ("rights", "lefts")), 1):
+        part = F.pmod(F.xxhash64("node"), F.col(own))
+        met = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("met")
+        dealt = parts.where("comp <> main") if k == 1 else parts
+        dealt = dealt.select("*", part.alias("part"), met)
+        tile = F.xxhash64("key", "part", "met") if k == 1 else F.xxhash64("key", "met", "part")
+        sides.append(_named(dealt.select(tile.alias("tile"), "node", "comp", "main", "n", "m", "c", "u").repartition(tasks, "tile"), k))
+    (one, first), (two, second) = sides
+    # a pair of two lines outside the largest component has two rows: one of them counts
+    once = (F.col("comp1") != F.col("comp2")) & ((F.col("comp2") == F.col("main1")) | (F.col("node1") < F.col("node2")))
+    met = one.join(two, (F.col("tile1") == F.col("tile2")) & once & _similar(first, second))
+    links = keep(met.select(F.col("comp1").alias("a"), F.col("comp2").alias("b")).distinct(), "cross-links")
+    for t in (wanted, text, rows, sized):
         drop(t)
     return links
 
@@ -146,39 +209,22 @@ def _linked(lines: DataFrame) -> DataFrame:
     links = _near(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), lines)
     roots = keep(components(links), "line-roots")
     drop(links)
-    # buckets that are not all linked yet: only lines of different components are compared there
-    named = members.join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "leader", F.coalesce("root", "node").alias("comp"))
+    # buckets that are not all linked yet: lines of different components are compared there, all of them
+    named = members.join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     named = keep(named, "named-members")
     drop(members)
-    open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 <> c1 AND many > 2").select(F.col("key").alias("k"), "many")
-    loose = keep(named.join(open_, F.col("key") == F.col("k")).select("key", "node", "comp", "many"), "loose")
+    open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 <> c1 AND many > 2").select(F.col("key").alias("k"))
+    loose = keep(named.join(open_, F.col("key") == F.col("k"), "left_semi"), "loose")
     drop(named)
-    large = loose.where(F.col("many") > LARGE)
-    wanted = keep(large.select(F.col("node").alias("w")).distinct(), "wanted")
-    finer = _ring(_texts(wanted, lines), common, FINE).select(F.col("h1").alias("x"), F.explode(F.array_distinct(_votes(2))).alias("fine"))
-    finer = large.join(finer, F.col("node") == F.col("x")).select(F.xxhash64("key", "fine").alias("sub"), "node", "comp")
-    sub = keep(loose.where(F.col("many") <= LARGE).select(F.col("key").alias("sub"), "node", "comp").unionByName(finer).distinct(), "sub-buckets")
-    drop(loose), drop(wanted)
-    # in a sub-bucket that is large still, the least line of every component meets the least of all
-    parts = keep(sub.groupBy("sub", "comp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("many")), "sub-parts")
-    size = parts.groupBy("sub").agg(F.sum("many").alias("all"), F.min(F.struct("node", "comp")).alias("first"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select(F.col("sub").alias("s"), "all", "first")
-    size = keep(size, "sub-sizes")
-    small = sub.join(size.where(F.col("all") <= LARGE), F.col("sub") == F.col("s"), "left_semi")
-    two = small.select(F.col("sub").alias("s2"), F.col("node").alias("b"), F.col("comp").alias("comp2"))
-    cross = small.join(two, (F.col("sub") == F.col("s2")) & (F.col("comp") < F.col("comp2"))).select("comp", "comp2", F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    star = parts.join(size.where(F.col("all") > LARGE), F.col("sub") == F.col("s")).where(F.col("comp") != F.col("first.comp"))
-    star = star.select("comp", F.col("first.comp").alias("comp2"), F.col("first.node").alias("a"), F.col("node").alias("b"))
-    pairs = keep(cross.unionByName(star).distinct(), "cross-pairs")
-    more = _near(pairs.select("a", "b").distinct(), lines)
-    if not more.isEmpty():
+    between = _across(loose, lines)
+    drop(loose)
+    if not between.isEmpty():
         # links between components: their roots' components
-        between = more.select(F.col("a").alias("a0"), F.col("b").alias("b0")).join(pairs, F.expr("a0 = a AND b0 = b")).select(F.col("comp").alias("a"), F.col("comp2").alias("b"))
         joined = keep(components(between).select(F.col("node").alias("old"), F.col("root").alias("new")), "joined-roots")
         known = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
         fresh = joined.join(roots.select(F.col("node").alias("x")), F.col("old") == F.col("x"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
         roots = keep(known.unionByName(fresh), "line-roots")
-    for t in (sub, parts, size, pairs, more):
-        drop(t)
+    drop(between)
     return roots
 
 

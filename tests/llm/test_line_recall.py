@@ -61,3 +61,26 @@ def test_recall_of_one_changed_word(spark):
     assert found <= set(range(300, 600))
     by = [len(found & set(range(300 + 60 * k, 360 + 60 * k))) / 60 for k in range(len(sizes))]
     assert min(by) >= 0.93, by
+
+
+def test_every_pair_of_a_large_bucket(spark):
+    """Two hundred lines begin alike; two each are near, though all their other words differ by a letter."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    head, lines = [word() for _ in range(18)], []
+    for _ in range(100):
+        own = [word() for _ in range(12)]
+        lines += [" ".join([*head, *own]), " ".join([*head, *(w[:3] + "z" + w[4:] for w in own)])]
+    rows = spark.createDataFrame(list(enumerate(lines)), "h1 long, norm string")
+    blocks = {r.node: set(r.blocks) for r in linededup.simhashes(rows, linededup.common_words(rows)).collect()}
+    assert max(sum(b in x for x in blocks.values()) for b in set().union(*blocks.values())) > 64
+    want = {k for k in range(1, 200, 2) if blocks[k] & blocks[k - 1]}
+    assert len(want) > 20
+    assert gone(spark, lines) == want
+
+
+def test_a_short_line_beside_one_of_over_256_characters(spark):
+    """They are compared by words: four long words of twenty are others, and short."""
+    same = [f"word{a}{b}" for a in "abcd" for b in "efgh"]
+    lines = [" ".join([*same, *(x * 60 for x in "wxyz")]), " ".join([*same, "s", "t", "u", "v"])]
+    assert gone(spark, lines) == {1}
