@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.batches import answers_of, ask, by_bucket, pack, unpack
+from pixelloom.llm.batches import BATCH_BYTES, BATCHES_PER_BUCKET, answers_of, ask, by_bucket
 from pixelloom.llm.sums import summed
-from pixelloom.llm.tables import keep
-from pixelloom.llm.words import Words, crc_mod, mix
+from pixelloom.llm.tables import drop, keep
+from pixelloom.llm.words import Words, crc_mod, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Subwords in a window, those of them that it scores (the rest, before them, are context only), width, classes.
@@ -29,11 +29,11 @@ WINDOW, SCORED, WIDTH, CLASSES = 16, 12, 16, 128
 TOKENS = 4094
 #: Ids whose neighbourhood, in all training texts, makes the embeddings.
 TOP = 128
-#: Id counts, neighbours and class successions are those of all training texts. Gradient steps take one run of RUN words
-#: in RATE * STEEP of every training text, in so many rounds; so what they learn from grows with the corpus too.
-RUN, RATE, STEEP, ROUNDS = 24, 24, 4, 2
-#: The runs (one in RATE) of one batch in so many set the mixture.
-MIXTURE_RATE = 8
+#: Id counts, neighbours, class successions and the mixture are those of all training texts. Every window of theirs gives a
+#: gradient once, in one of so many rounds (those of a batch of texts in the same), so many windows to a step.
+ROUNDS, STEP = 2, 160
+#: Steps of the scale on which the mixture sees how likely tokens are by counts and by spelling.
+SCALE = 400
 FOLDS, HELD_OUT = 7, 2
 _U = np.uint64
 _END_HASH = _U(0x656E64)
@@ -159,30 +159,44 @@ def log_probs(m: Model, ctx: np.ndarray, target: np.ndarray, tables: tuple, bloc
     return out
 
 
-def gradient(m: Model, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Gradient of the mean negative log probability of the classes of targets (padding ones don't count)."""
+def gradient(m: Model, ctx: np.ndarray, target: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
+    """Gradient of the mean negative log probability of the classes of targets (padding ones don't count).
+
+    logs gets the log probability of each target.
+    """
     own = ctx[:, WINDOW - SCORED :]
     eq, ek = m.embed[own], m.embed[ctx]
-    q, k, v = eq @ m.wq / np.sqrt(WIDTH), ek @ m.wk, ek @ m.wv
-    s = np.matmul(q, k.transpose(0, 2, 1)) + m.mask() + np.where(ctx == PAD, -1e9, 0)[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    p = np.exp(s)
+    scale = np.float32(1 / np.sqrt(WIDTH))
+    q, k, v = eq @ (m.wq * scale), ek @ m.wk, ek @ m.wv
+    p = np.matmul(q, k.transpose(0, 2, 1))
+    p += m.mask()
+    p += np.where(ctx == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+    p -= p.max(axis=2, keepdims=True)
+    np.exp(p, out=p)
     p /= p.sum(axis=2, keepdims=True)
-    o = np.matmul(p, v)
-    z = o @ m.out + m.after[own]
-    z -= z.max(axis=2, keepdims=True)
-    y = np.exp(z)
-    y /= y.sum(axis=2, keepdims=True)
-    real = (target != PAD) & (own != PAD)
-    dz = y
-    np.put_along_axis(dz, m.cls[target][:, :, None], np.take_along_axis(dz, m.cls[target][:, :, None], axis=2) - 1, axis=2)
-    dz *= (real / max(1, real.sum()))[:, :, None]
-    d_out = o.reshape(-1, WIDTH).T @ dz.reshape(-1, CLASSES)
-    do = dz @ m.out.T
-    dp = np.matmul(do, v.transpose(0, 2, 1))
+    o = np.matmul(p, v).reshape(-1, WIDTH)
+    dz = o @ m.out
+    dz += m.after[own.ravel()]
+    # where this can't be reached, sums of exponentials can't overflow
+    if np.linalg.norm(o, axis=1).max() * np.linalg.norm(m.out, axis=0).max() + float(m.after.max()) > 60:
+        dz -= dz.max(axis=1, keepdims=True)
+    t = target.ravel()
+    picked = dz[np.arange(len(dz)), m.cls[t]]
+    np.exp(dz, out=dz)
+    total = np.maximum(dz.sum(axis=1), 1e-30)
+    if logs is not None:
+        logs[:] = (picked - np.log(total) + m.inside[t]).reshape(logs.shape)
+    real = ((target != PAD) & (own != PAD)).ravel()
+    share = (real / max(1, real.sum())).astype(np.float32)
+    dz *= (share / total)[:, None]
+    dz[np.arange(len(dz)), m.cls[t]] -= share
+    d_out = o.T @ dz
+    do = (dz @ m.out.T).reshape(len(ctx), SCORED, WIDTH)
+    ds = np.matmul(do, v.transpose(0, 2, 1))
     dv = np.matmul(p.transpose(0, 2, 1), do)
-    ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
-    dq, dk = np.matmul(ds, k) / np.sqrt(WIDTH), np.matmul(ds.transpose(0, 2, 1), q)
+    ds -= (ds * p).sum(axis=2, keepdims=True)
+    ds *= p
+    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q / scale) * scale
     flat = lambda x: x.reshape(-1, x.shape[-1])
     gap = np.clip(np.arange(SCORED)[:, None] + WINDOW - SCORED - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
     causal = np.arange(WINDOW)[None, :] <= np.arange(SCORED)[:, None] + WINDOW - SCORED
@@ -190,19 +204,38 @@ def gradient(m: Model, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.concatenate([(flat(eq).T @ flat(dq)).ravel(), (flat(ek).T @ flat(dk)).ravel(), (flat(ek).T @ flat(dv)).ravel(), d_out.ravel(), near])
 
 
-def descend(m: Model, ctx: np.ndarray, target: np.ndarray, rate: float, steps_at_least: int = 60, batch: int = 64) -> None:
-    """Adam over the windows in order, again and again until enough steps are made."""
+def descend(m: Model, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float, steps_at_least: int = 60) -> int:
+    """Adam over all windows (ctx, target, logs) of the parts, each once; few windows again until enough steps are made.
+
+    logs gets the targets' log probabilities before the step that learns from them. Returns how many windows there are.
+    """
     v = m.vector()
     a, b = np.zeros_like(v), np.zeros_like(v)
-    n = 0
-    while n < steps_at_least and len(ctx):
-        for at in range(0, len(ctx), batch):
-            g = gradient(m, ctx[at : at + batch], target[at : at + batch])
+    n, seen, held = 0, 0, []
+
+    def over(ctx: np.ndarray, target: np.ndarray, logs: np.ndarray) -> None:
+        nonlocal v, a, b, n
+        order = np.random.default_rng(n).permutation(len(ctx))  # a step's windows come from many texts
+        for at in range(0, len(ctx), STEP):
+            pick = order[at : at + STEP]
+            now = np.empty((len(pick), SCORED), np.float32)
+            g = gradient(m, ctx[pick], target[pick], now)
+            logs[pick] = now
             n += 1
             a, b = 0.9 * a + 0.1 * g, 0.99 * b + 0.01 * g * g
-            v = v - rate * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.99**n)) + 1e-8)
+            v = v - rate / np.sqrt(1 + n / 60) * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.99**n)) + 1e-8)
             m.set_vector(v)
 
+    for part in parts:
+        if n < steps_at_least:
+            held.append(part)
+        seen += len(part[0])
+        over(*part)
+    while seen and n < steps_at_least:
+        for part in held:
+            over(*part)
+    return seen
+
 
 def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids that have a place of their own, and the place of every id."""
@@ -269,23 +302,87 @@ def _shut(after: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """A batch's tokens (words, then one end per text) and their distinct words."""
+    """A batch's tokens (words, then one end per text), its distinct words and their spelling.
 
-    def __init__(self, b: pa.RecordBatch):
-        self.w = Words(b.column(1), lower=True)
-        self.held = crc_mod(b.column(0).to_pylist(), FOLDS) == HELD_OUT
-        self.key, self.one, self.which = np.unique(self.w.hashes(), return_index=True, return_inverse=True)
+    held, counts: of each text; which: each word's distinct word; key, flat, size: the hashes, ids (end to end) and
+    numbers of ids of the distinct words.
+    """
+
+    PARTS = ("held", "counts", "which", "key", "flat", "size")
+
+    def __init__(self, blob: bytes):
+        row = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+        self.ids = row.column(0).flatten()
+        for k, name in enumerate(self.PARTS, 1):
+            setattr(self, name, row.column(k).flatten().to_numpy(zero_copy_only=False))
+        self.at = np.concatenate([[0], np.cumsum(self.counts)])
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+
+    @classmethod
+    def blob(cls, b: pa.RecordBatch, sp: Speller) -> bytes:
+        """The batch of a slice of ids and texts."""
+        w = Words(b.column(1), lower=True)
+        key, one, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        flat, size = sp.spell(w.pick(one))
+        held = crc_mod(b.column(0).to_pylist(), FOLDS) == HELD_OUT
+        parts = (held, w.counts, which.astype(np.uint16 if len(key) <= 1 << 16 else np.uint32), key, flat.astype(np.int32), size.astype(np.int32))
+        lists = [pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x if isinstance(x, pa.Array) else pa.array(x)) for x in (b.column(0), *parts)]
+        row = pa.RecordBatch.from_arrays(lists, names=["ids", *cls.PARTS])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+            out.write_batch(row)
+        return sink.getvalue().to_pybytes()
+
+    def times(self) -> np.ndarray:
+        """Counts of the distinct words in training texts."""
+        return np.bincount(self.which, weights=~self.held[self.doc], minlength=len(self.key))
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct token hashes, the end's last, and their counts in training texts."""
-        taught = ~self.held[self.w.doc]
-        counts = np.bincount(self.which, weights=taught, minlength=len(self.key)).astype(np.int64)
-        return np.append(self.key, _END_HASH), np.append(counts, int((~self.held).sum()))
+        return np.append(self.key, _END_HASH), np.append(self.times().astype(np.int64), int((~self.held).sum()))
+
+    def sequences(self, place: np.ndarray, taught: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The places of all texts (of those that teach), each END, then its tokens' subwords.
+
+        Returns them end to end, the texts' ranges; each token's distinct word (the end's is the last), the first of its
+        subwords, counted without the leading ENDs, and the texts' ranges of tokens.
+        """
+        counts, words = (self.counts[~self.held], self.which[~self.held[self.doc]]) if taught else (self.counts, self.which)
+        n = len(counts)
+        at = np.concatenate([[0], np.cumsum(counts + 1)])
+        which = np.full(int(at[-1]), len(self.key), np.int64)
+        inner = np.ones(len(which), bool)
+        inner[at[1:] - 1] = False
+        which[inner] = words
+        first = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        flat, span = np.append(place[self.flat], END), np.append(self.size, 1)[which]
+        to = np.concatenate([[0], np.cumsum(span)]).astype(np.int64)
+        sub = flat[np.repeat(first[which] - to[:-1], span) + np.arange(int(to[-1]))]
+        edge = to[at] + np.arange(n + 1)
+        seq = np.full(len(sub) + n, END, np.int64)
+        lead = np.zeros(len(seq), bool)
+        lead[edge[:-1]] = True
+        seq[~lead] = sub
+        return seq, edge, which, to, at
+
+
+def _tokens(docs: DataFrame, id_col: str, text_col: str, speller) -> tuple[DataFrame, int]:
+    """A kept table (batch, blob) of all rows' ids and tokens, and a number of buckets that fits its size."""
+    from pyspark import TaskContext
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, sp = TaskContext.get().partitionId() << 32, Speller(speller.value)
+        for k, b in enumerate(slices(batches, "text", BATCH_BYTES)):
+            yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([Batch.blob(b, sp)], pa.binary())], names=["batch", "blob"])
+
+    # small row groups: a task reads few of these large rows at a time
+    packed = keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, "batch long, blob binary"), "tokens", block=8 << 20)
+    return packed, max(24, -(-packed.count() // BATCHES_PER_BUCKET))
 
 
 def _counts_sent(buckets: int):
     def send(row: dict) -> Iterator[tuple[int, bytes]]:
-        key, n = Batch(unpack(row["blob"].as_py())).keys()
+        key, n = Batch(row["blob"].as_py()).keys()
         for k, pick in by_bucket(key, buckets):
             yield k, key[pick].tobytes() + n[pick].astype(np.uint32).tobytes()
 
@@ -328,99 +425,43 @@ def _totals(answered: DataFrame) -> tuple[int, int]:
     return int(got[0] or 0), int(got[1] or 0)
 
 
-def _runs(packed: DataFrame, speller) -> DataFrame:
-    """The runs of words that teach: ids (END: -1) and whether the text starts here."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = Speller(speller.value)
-        for b in batches:
-            for blob in b.column(0):
-                part = unpack(blob.as_py())
-                ids, start = [], []
-                w = Words(part.column(1), lower=True)
-                for lo, hi, first, last in _chosen(part, w):
-                    flat, _ = sp.spell(w.pick(range(lo, hi)))
-                    ids.append((np.append(flat, -1) if last else flat).astype(np.int32)), start.append(first)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(start, pa.bool_())], names=["ids", "start"])
-
-    return keep(packed.select("blob").mapInArrow(rows, "ids array<int>, start boolean"), "runs")
-
-
-def _chosen(part: pa.RecordBatch, w: Words) -> Iterator[tuple[int, int, bool, bool]]:
-    """The runs of a batch's training texts that teach: first word, end, whether the text starts or ends here."""
-    ids = part.column(0).to_pylist()
-    seed = mix(np.array([hash_of(v) for v in ids], _U))
-    for d in np.flatnonzero(crc_mod(ids, FOLDS) != HELD_OUT):
-        a, e = int(w.at[d]), int(w.at[d + 1])
-        n = (e - a) // RUN + 1
-        for r in np.flatnonzero(mix(seed[d] + np.arange(n, dtype=_U)) % _U(RATE) == 0):
-            lo, hi = a + int(r) * RUN, min(e, a + (int(r) + 1) * RUN)
-            yield lo, hi, bool(r == 0), hi == e
-
-
-def hash_of(v) -> int:
-    import zlib
-
-    return zlib.crc32(b"" if v is None else str(v).encode())
-
-
-def _sequences(b: pa.RecordBatch, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of a batch's runs, each after END where its text starts and PAD elsewhere, and their ranges."""
-    ids = np.asarray(b.column(0).flatten()).astype(np.int64)
-    size = np.asarray(pa.compute.list_value_length(b.column(0))).astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(size + 1)])
-    out = np.empty(int(at[-1]), np.int64)
-    lead = np.where(np.asarray(b.column(1)), END, PAD)
-    is_lead = np.zeros(len(out), bool)
-    is_lead[at[:-1]] = True
-    out[is_lead], out[~is_lead] = lead, np.where(ids < 0, END, place[ids])
-    return out, at
-
-
-def _spelled(batches: Iterator[pa.RecordBatch], speller) -> Iterator[tuple[Batch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each batch: it, the ids of its distinct words end to end, how many each word has, its count in training texts."""
-    sp = Speller(speller.value)
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
     for b in batches:
         for blob in b.column(0):
-            x = Batch(unpack(blob.as_py()))
-            flat, size = sp.spell(x.w.pick(x.one))
-            yield x, flat, size, x.keys()[1][:-1].astype(np.float64)
-
+            yield Batch(blob.as_py())
 
-def _successions(x: Batch, place: np.ndarray, size: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All successions of places in a batch's training texts, as (from, to, times): within words, between them, at the ends.
 
-    place: of the distinct words' ids, end to end; size: ids of each word; n: its count.
-    """
+def _successions(x: Batch, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All successions of places in a batch's training texts, as (from, to, times): within words, between them, at the ends."""
+    place, size, n = place[x.flat], x.size, x.times()
     edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     inner = np.ones(len(place), bool)
     inner[edge[1:] - 1] = False
     at = np.flatnonzero(inner)
     yield place[at], place[at + 1], np.repeat(n, size)[at]
     first, last = place[edge[:-1]], place[edge[1:] - 1]
-    doc, which = x.w.doc, x.which
+    doc, which = x.doc, x.which
     taught = ~x.held[doc]
     same = np.flatnonzero((doc[1:] == doc[:-1]) & taught[1:])
     yield last[which[same]], first[which[same + 1]], np.ones(len(same))
-    full = np.flatnonzero((x.w.counts > 0) & ~x.held)
+    full = np.flatnonzero((x.counts > 0) & ~x.held)
     end = np.full(len(full), END)
-    yield end, first[which[x.w.at[full]]], np.ones(len(full))
-    yield last[which[x.w.at[full + 1] - 1]], end, np.ones(len(full))
-    none = int(((x.w.counts == 0) & ~x.held).sum())
+    yield end, first[which[x.at[full]]], np.ones(len(full))
+    yield last[which[x.at[full + 1] - 1]], end, np.ones(len(full))
+    none = int(((x.counts == 0) & ~x.held).sum())
     yield np.full(1, END), np.full(1, END), np.full(1, float(none))
 
 
-def train(packed: DataFrame, runs: DataFrame, speller, size: int) -> Model:
-    """The model: id counts, neighbours and class successions of all training texts in packed, then rounds of descent over
-    the runs of every partition, averaged.
+def train(counted: DataFrame, size: int, total: int) -> Model:
+    """The model: id counts, neighbours and class successions of all training texts in counted (batch, blob, counts), then
+    rounds of descent, averaged over the partitions, which together take every window of these texts once, and the mixture.
     """
-    spark, blobs = packed.sparkSession, packed.select("blob")
+    spark, blobs = counted.sparkSession, counted.select("blob")
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(size)
-        for _, flat, many, n in _spelled(batches, speller):
-            out += np.bincount(flat, weights=np.repeat(n, many), minlength=size)
+        for x in _batches(batches):
+            out += np.bincount(x.flat, weights=np.repeat(x.times(), x.size), minlength=size)
         return out
 
     counts = summed(blobs, count, size)
@@ -430,8 +471,8 @@ def train(packed: DataFrame, runs: DataFrame, speller, size: int) -> Model:
 
     def near(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(n * 2 * TOP)
-        for x, flat, many, times in _spelled(batches, speller):
-            for a, b, k in _successions(x, where.value[flat], many, times):
+        for x in _batches(batches):
+            for a, b, k in _successions(x, where.value):
                 out += neighbours(a, b, k, n)
         return out
 
@@ -440,80 +481,87 @@ def train(packed: DataFrame, runs: DataFrame, speller, size: int) -> Model:
 
     def follow(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(n * CLASSES)
-        for x, flat, many, times in _spelled(batches, speller):
-            for a, b, k in _successions(x, sent.value.place[flat], many, times):
+        for x in _batches(batches):
+            for a, b, k in _successions(x, sent.value.place):
                 out += np.bincount(a * CLASSES + sent.value.cls[b], weights=k, minlength=n * CLASSES)
         return out
 
     pair = summed(blobs, follow, n * CLASSES).reshape(n, CLASSES)
     prior = (pair.sum(axis=0) + 0.5) / (pair.sum() + 0.5 * CLASSES)
     m.after = _shut(np.log((pair + 5 * prior) / (pair.sum(axis=1, keepdims=True) + 5)), m.cls)
+    many, tally = len(m.vector()), np.zeros(SCALE + 1)
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast(m)
 
         def step(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> np.ndarray | None:
-            own, ctx, target = now.value, [], []
-            for b in batches:
-                c, t, _ = windows(*_sequences(b, own.place))
-                ctx.append(c), target.append(t)
-            if not ctx or not sum(map(len, ctx)):
-                return None
-            descend(own, np.concatenate(ctx), np.concatenate(target), 0.02 * 0.5**turn)
-            return np.append(own.vector(), 1.0) * sum(map(len, ctx))
-
-        got = summed(runs.where(F.pmod(F.xxhash64("ids"), F.lit(STEEP)) == 0), step, len(m.vector()) + 1)
-        if got[-1]:
-            m.set_vector(got[:-1] / got[-1])
+            own, seen_as = now.value, np.zeros(SCALE + 1)
+            seen = descend(own, _taught(batches, own.place, total, seen_as), 0.02 * 0.5**turn)
+            return np.concatenate([np.append(own.vector(), 1.0) * seen, seen_as]) if seen else None
+
+        got = summed(counted.where(F.pmod(F.xxhash64("batch"), F.lit(ROUNDS)) == turn).select("blob", "counts"), step, many + SCALE + 2)
+        if got[many]:
+            m.set_vector(got[:many] / got[many])
+        tally += got[many + 1 :]
+    m.mixture = _mixture(tally)
     return m
 
 
-def _mixture(joined: DataFrame, model, speller, buckets: int, total: int) -> float:
-    """The share of the word counts in the mixture, by expectation-maximisation over the runs of one batch in MIXTURE_RATE.
+def _taught(batches: Iterator[pa.RecordBatch], place: np.ndarray, total: int, tally: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All windows of each batch's training texts: contexts, targets and a place for the targets' log probabilities.
 
-    A word does not count itself. A task sends how often the ratio of both probabilities falls in each step of a fixed scale.
+    What has been put there by the time the next ones are asked for is tallied by token: how often the ratio of the counts'
+    probability to the spelling's falls in each step of a fixed scale. A word does not count itself.
     """
-    steps = 400
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(steps + 1)
-        for b in rows(batches):
-            a, u = np.asarray(b.column(0)), np.maximum(np.asarray(b.column(1)) - 1, 0) / max(1, total - 1)
+    for x, c in _read(batches):
+        seq, edge, which, to, _ = x.sequences(place, taught=True)
+        ctx, target, where = windows(seq, edge)
+        logs = np.zeros(target.shape, np.float32)
+        yield ctx, target, logs
+        lp = np.zeros(len(seq))
+        lp[where[where >= 0]] = logs[where >= 0]
+        if len(which):
+            spelled = np.add.reduceat(np.delete(lp, edge[:-1]), to[:-1])
+            u = np.maximum(c[which] - 1, 0) / max(1, total - 1)
             with np.errstate(divide="ignore"):
-                ratio = np.log(u) - a  # of the counts' probability to the spelling's
-            out += np.bincount(np.where(u > 0, 1 + np.clip((ratio + 20) * 10, 0, steps - 1), 0).astype(np.int64), minlength=steps + 1)
-        return out
+                at = np.where(u > 0, 1 + np.clip((np.log(u) - spelled + 20) * 10, 0, SCALE - 1), 0)
+            tally += np.bincount(at.astype(np.int64), minlength=SCALE + 1)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, m = Speller(speller.value), model.value
-        tables = m.tables()
-        for b in batches:
-            for i in range(b.num_rows):
-                part = unpack(b.column(0)[i].as_py())
-                x = Batch(part)
-                c = _counts(x, answers_of(b.column(1)[i]), buckets)
-                for lo, hi, first, last in _chosen(part, x.w):
-                    flat, size = sp.spell(x.w.pick(range(lo, hi)))
-                    got = c[x.which[lo:hi]]
-                    if last:
-                        flat, size, got = np.append(flat, -1), np.append(size, 1), np.append(got, c[-1])
-                    if len(size):
-                        seq = np.concatenate([[END if first else PAD], np.where(flat < 0, END, m.place[flat])])
-                        lp = _position_logs(m, seq, np.array([0, len(seq)]), tables)[1:]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.add.reduceat(lp, np.concatenate([[0], np.cumsum(size)[:-1]]))), pa.array(got)], names=["spelled", "n"])
-
-    got = summed(joined.where(F.pmod(F.xxhash64("batch"), F.lit(MIXTURE_RATE)) == 0).select("blob", "answers"), tally, steps + 1)
-    if not got.sum():
-        got = summed(joined.select("blob", "answers"), tally, steps + 1)  # few batches, and none of these
-    if not got.sum():
+
+def _mixture(tally: np.ndarray) -> float:
+    """The share of the word counts in the mixture, by expectation-maximisation over all tokens of all training texts.
+
+    The spelling's probability of a token is that of the model just before it learnt from it.
+    """
+    if not tally.sum():
         return 0.5
-    ratio = np.concatenate([[0.0], np.exp((np.arange(steps) + 0.5) / 10 - 20)])
+    ratio = np.concatenate([[0.0], np.exp((np.arange(SCALE) + 0.5) / 10 - 20)])
     lam = 0.5
     for _ in range(60):
         r = lam * ratio / (lam * ratio + (1 - lam))
-        lam = float(np.clip((r * got).sum() / got.sum(), 0.01, 0.99))
+        lam = float(np.clip((r * tally).sum() / tally.sum(), 0.01, 0.99))
     return lam
 
 
+def _counted(packed: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
+    """A kept table of the batches and the training counts of their distinct tokens."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                c = _counts(Batch(b.column(1)[i].as_py()), answers_of(b.column(2)[i]), buckets)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in (0, 1)), pa.array([c.tobytes()], pa.binary())], names=["batch", "blob", "counts"])
+
+    joined = packed.join(answered.select(F.col("batch").alias("b1"), "answers"), F.col("batch") == F.col("b1"))
+    return keep(joined.select("batch", "blob", "answers").mapInArrow(rows, "batch long, blob binary, counts binary"), "counted", block=8 << 20)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Batch, np.ndarray]]:
+    """Of each row (blob, counts): the batch and the counts."""
+    for b in batches:
+        for blob, c in zip(b.column(0), b.column(1), strict=True):
+            yield Batch(blob.as_py()), np.frombuffer(c.as_py(), np.int64)
+
+
 def _position_logs(m: Model, seq: np.ndarray, at: np.ndarray, tables: tuple) -> np.ndarray:
     """Natural log probability of every position but the sequences' first (these get 0)."""
     out = np.zeros(len(seq), np.float64)
@@ -537,60 +585,36 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "do
     ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    packed, buckets = pack(docs, id_col, text_col)
+    ranks = read_ranks(vocabulary)
+    packed, buckets = _tokens(docs, id_col, text_col, spark.sparkContext.broadcast(ranks))
     answered = ask(packed, _counts_sent(buckets), _counts_answered, ["batch", "blob"], "counts")
-    joined = packed.join(answered.select(F.col("batch").alias("b1"), "answers"), F.col("batch") == F.col("b1"))
     v, total = _totals(answered)
-    ranks = read_ranks(vocabulary)
-    speller = spark.sparkContext.broadcast(ranks)
-    m = train(packed, _runs(packed, speller), speller, 2 * (max(ranks.values()) + 1))
-    m.mixture = _mixture(joined, spark.sparkContext.broadcast(m), speller, buckets, total)
-    model = spark.sparkContext.broadcast(m)
+    counted = _counted(packed, answered, buckets)
+    drop(packed), drop(answered)
+    model = spark.sparkContext.broadcast(train(counted, 2 * (max(ranks.values()) + 1), total))
     shift = np.log10(total + v + 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, m = Speller(speller.value), model.value
+        m = model.value
         tables = m.tables()
-        for b in batches:
-            for i in range(b.num_rows):
-                part = unpack(b.column(0)[i].as_py())
-                x = Batch(part)
-                c = _counts(x, answers_of(b.column(1)[i]), buckets)
-                yield _scored(part, x, c, sp, m, tables, total, shift, id_col)
+        for x, c in _read(batches):
+            yield _scored(x, c, m, tables, total, shift, id_col)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.select("blob", "answers").mapInArrow(rows, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _scored(part: pa.RecordBatch, x: Batch, c: np.ndarray, sp: Speller, m: Model, tables: tuple, total: int, shift: float, id_col: str) -> pa.RecordBatch:
-    n, words = len(x.w), x.w.counts
-    flat, size = sp.spell(x.w.pick(x.one))
-    flat = m.place[flat]
-    first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64)
-    # tokens: each text's words, then its end; which: the distinct word, the end's being the last
-    at = x.w.at + np.arange(n + 1)
-    which = np.full(int(at[-1]), len(x.key), np.int64)
-    inner = np.ones(len(which), bool)
-    inner[at[1:] - 1] = False
-    which[inner] = x.which
-    flat, size, first = np.append(flat, END), np.append(size, 1), np.append(first, len(flat))
-    # subwords: for each text END as its start, then all its tokens' subwords
-    span = size[which]
-    to = np.concatenate([[0], np.cumsum(span)]).astype(np.int64)
-    sub = flat[np.repeat(first[which] - to[:-1], span) + np.arange(int(to[-1]))]
-    edge = to[at] + np.arange(n + 1)
-    seq = np.full(len(sub) + n, END, np.int64)
-    lead = np.zeros(len(seq), bool)
-    lead[edge[:-1]] = True
-    seq[~lead] = sub
-    lp = _position_logs(m, seq, edge, tables)[~lead]
+    return counted.select("blob", "counts").mapInArrow(rows, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _scored(x: Batch, c: np.ndarray, m: Model, tables: tuple, total: int, shift: float, id_col: str) -> pa.RecordBatch:
+    n, size = len(x.counts), x.counts + 1
+    seq, edge, which, to, at = x.sequences(m.place)
+    lp = np.delete(_position_logs(m, seq, edge, tables), edge[:-1])
     spelled = np.add.reduceat(lp, to[:-1]) if len(which) else np.zeros(0)
     count = c[which]
     with np.errstate(divide="ignore"):
         mixed = np.logaddexp(np.log(m.mixture) + np.log(count / max(1, total)), np.log1p(-m.mixture) + spelled) / np.log(10)
     per = lambda y: np.add.reduceat(y, at[:-1]) if n else np.zeros(0)
-    base = per(np.log10(count + 1.0)) - (words + 1) * shift
+    base = per(np.log10(count + 1.0)) - size * shift
     return pa.RecordBatch.from_arrays(
-        [part.column(0), pa.array(x.held), pa.array(words + 1), pa.array(per((count > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(per(mixed))],
+        [x.ids, pa.array(x.held), pa.array(size), pa.array(per((count > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(per(mixed))],
         names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     )
