@@ -84,3 +84,13 @@ def test_a_short_line_beside_one_of_over_256_characters(spark):
     same = [f"word{a}{b}" for a in "abcd" for b in "efgh"]
     lines = [" ".join([*same, *(x * 60 for x in "wxyz")]), " ".join([*same, "s", "t", "u", "v"])]
     assert gone(spark, lines) == {1}
+
+
+def test_pipeline_stage_loses_no_pair(spark):
+    """As above, in documents of the pipeline: the short line goes, as it comes after the long one that it links to."""
+    import corpus_pipeline
+
+    same = [f"word{a}{b}" for a in "abcd" for b in "efgh"]
+    texts = [" ".join([*same, *(x * 60 for x in "wxyz")]) + "\nfirst", "second\n" + " ".join([*same, "s", "t", "u", "v"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {0: texts[0], 1: "second"}
