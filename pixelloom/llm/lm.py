@@ -304,42 +304,47 @@ def _shut(after: np.ndarray, cls: np.ndarray) -> np.ndarray:
 class Batch:
     """A batch's tokens (words, then one end per text), its distinct words and their spelling.
 
-    held, counts: of each text; which: each word's distinct word; key, flat, size: the hashes, ids (end to end) and
-    numbers of ids of the distinct words.
+    held, counts: of each text; which: each word's distinct word (low, high: its parts of 16 bits); flat, size: the ids (end
+    to end) and numbers of ids of the distinct words, those that occur most first. Their hashes are kept apart.
     """
 
-    PARTS = ("held", "counts", "which", "key", "flat", "size")
+    PARTS = ("held", "counts", "low", "high", "flat", "size")
 
     def __init__(self, blob: bytes):
         row = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
         self.ids = row.column(0).flatten()
         for k, name in enumerate(self.PARTS, 1):
             setattr(self, name, row.column(k).flatten().to_numpy(zero_copy_only=False))
+        self.which = self.low.astype(np.int64) | self.high.astype(np.int64) << 16
         self.at = np.concatenate([[0], np.cumsum(self.counts)])
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
 
     @classmethod
-    def blob(cls, b: pa.RecordBatch, sp: Speller) -> bytes:
-        """The batch of a slice of ids and texts."""
+    def blob(cls, b: pa.RecordBatch, sp: Speller) -> tuple[bytes, bytes]:
+        """The batch of a slice of ids and texts, and the hashes of its distinct words."""
         w = Words(b.column(1), lower=True)
-        key, one, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        key, one, which, many = np.unique(w.hashes(), return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-many, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key, one, which = key[order], one[order], rank[which]
         flat, size = sp.spell(w.pick(one))
         held = crc_mod(b.column(0).to_pylist(), FOLDS) == HELD_OUT
-        parts = (held, w.counts, which.astype(np.uint16 if len(key) <= 1 << 16 else np.uint32), key, flat.astype(np.int32), size.astype(np.int32))
+        parts = (held, w.counts, which.astype(np.uint16), (which >> 16).astype(np.uint16), flat.astype(np.int32), size.astype(np.int32))
         lists = [pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x if isinstance(x, pa.Array) else pa.array(x)) for x in (b.column(0), *parts)]
         row = pa.RecordBatch.from_arrays(lists, names=["ids", *cls.PARTS])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
             out.write_batch(row)
-        return sink.getvalue().to_pybytes()
+        return sink.getvalue().to_pybytes(), key.tobytes()
 
     def times(self) -> np.ndarray:
         """Counts of the distinct words in training texts."""
-        return np.bincount(self.which, weights=~self.held[self.doc], minlength=len(self.key))
+        return np.bincount(self.which, weights=~self.held[self.doc], minlength=len(self.size))
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct token hashes, the end's last, and their counts in training texts."""
-        return np.append(self.key, _END_HASH), np.append(self.times().astype(np.int64), int((~self.held).sum()))
+    def token_times(self) -> np.ndarray:
+        """Counts of the distinct tokens, the end's last, in training texts."""
+        return np.append(self.times().astype(np.int64), int((~self.held).sum()))
 
     def sequences(self, place: np.ndarray, taught: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The places of all texts (of those that teach), each END, then its tokens' subwords.
@@ -350,7 +355,7 @@ class Batch:
         counts, words = (self.counts[~self.held], self.which[~self.held[self.doc]]) if taught else (self.counts, self.which)
         n = len(counts)
         at = np.concatenate([[0], np.cumsum(counts + 1)])
-        which = np.full(int(at[-1]), len(self.key), np.int64)
+        which = np.full(int(at[-1]), len(self.size), np.int64)
         inner = np.ones(len(which), bool)
         inner[at[1:] - 1] = False
         which[inner] = words
@@ -367,22 +372,23 @@ class Batch:
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str, speller) -> tuple[DataFrame, int]:
-    """A kept table (batch, blob) of all rows' ids and tokens, and a number of buckets that fits its size."""
+    """A kept table (batch, blob, key) of all rows' ids and tokens, and a number of buckets that fits its size."""
     from pyspark import TaskContext
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, sp = TaskContext.get().partitionId() << 32, Speller(speller.value)
         for k, b in enumerate(slices(batches, "text", BATCH_BYTES)):
-            yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([Batch.blob(b, sp)], pa.binary())], names=["batch", "blob"])
+            blob, key = Batch.blob(b, sp)
+            yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([blob], pa.binary()), pa.array([key], pa.binary())], names=["batch", "blob", "key"])
 
     # small row groups: a task reads few of these large rows at a time
-    packed = keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, "batch long, blob binary"), "tokens", block=8 << 20)
+    packed = keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, "batch long, blob binary, key binary"), "tokens", block=8 << 20)
     return packed, max(24, -(-packed.count() // BATCHES_PER_BUCKET))
 
 
 def _counts_sent(buckets: int):
     def send(row: dict) -> Iterator[tuple[int, bytes]]:
-        key, n = Batch(row["blob"].as_py()).keys()
+        key, n = _keys(row["key"].as_py()), Batch(row["blob"].as_py()).token_times()
         for k, pick in by_bucket(key, buckets):
             yield k, key[pick].tobytes() + n[pick].astype(np.uint32).tobytes()
 
@@ -401,8 +407,12 @@ def _counts_answered(payloads: list[bytes]) -> list[bytes]:
     return [head + each[e - k : e].tobytes() for k, e in zip(sizes, np.cumsum(sizes), strict=True)]
 
 
-def _counts(x: Batch, answers: dict[int, bytes], buckets: int) -> np.ndarray:
-    key, _ = x.keys()
+def _keys(key: bytes) -> np.ndarray:
+    """The hashes of a batch's distinct tokens, the end's last."""
+    return np.append(np.frombuffer(key, _U), _END_HASH)
+
+
+def _counts(key: np.ndarray, answers: dict[int, bytes], buckets: int) -> np.ndarray:
     out = np.zeros(len(key), np.int64)
     for k, pick in by_bucket(key, buckets):
         out[pick] = np.frombuffer(answers[k], np.int64)[2:]
@@ -548,11 +558,11 @@ def _counted(packed: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                c = _counts(Batch(b.column(1)[i].as_py()), answers_of(b.column(2)[i]), buckets)
+                c = _counts(_keys(b.column(2)[i].as_py()), answers_of(b.column(3)[i]), buckets)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in (0, 1)), pa.array([c.tobytes()], pa.binary())], names=["batch", "blob", "counts"])
 
     joined = packed.join(answered.select(F.col("batch").alias("b1"), "answers"), F.col("batch") == F.col("b1"))
-    return keep(joined.select("batch", "blob", "answers").mapInArrow(rows, "batch long, blob binary, counts binary"), "counted", block=8 << 20)
+    return keep(joined.select("batch", "blob", "key", "answers").mapInArrow(rows, "batch long, blob binary, counts binary"), "counted", block=8 << 20)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Batch, np.ndarray]]:
@@ -587,7 +597,7 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "do
     spark = docs.sparkSession
     ranks = read_ranks(vocabulary)
     packed, buckets = _tokens(docs, id_col, text_col, spark.sparkContext.broadcast(ranks))
-    answered = ask(packed, _counts_sent(buckets), _counts_answered, ["batch", "blob"], "counts")
+    answered = ask(packed, _counts_sent(buckets), _counts_answered, ["batch", "blob", "key"], "counts")
     v, total = _totals(answered)
     counted = _counted(packed, answered, buckets)
     drop(packed), drop(answered)
