@@ -28,6 +28,8 @@ LARGE = 1024
 WORK = 1 << 21
 #: Tables of ids are broadcast up to this size on disk, else joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: A line's characters, words, itself and its words spelled: what two lines are compared by.
+FORMS = ("n", "m", "c", "u")
 _PUNCTUATION = ".,;:!?\"'()[]{}<>-_*#&%$|"
 #: Votes with the two words of a short block, so that no bit is tied.
 _THIRD = 0x5DEECE66D1CE4E5B
@@ -49,7 +51,7 @@ def _kind(h: Column) -> Column:
 def common_words(lines: DataFrame) -> list[int]:
     """The kinds of words that occur more than COMMON times a line: at most words per line / COMMON of them."""
     n = lines.count()
-    kinds = lines.select(F.explode(F.transform(F.split("norm", " "), lambda w: _kind(F.xxhash64(w)))).alias("k")).groupBy("k").count()
+    kinds = lines.select(F.explode(F.split("norm", " ")).alias("w")).groupBy(_kind(F.xxhash64("w")).alias("k")).count()
     return sorted(r[0] for r in kinds.where(F.col("count") > max(COMMON * n, 20)).select("k").collect())
 
 
@@ -98,7 +100,7 @@ def _spelled() -> Column:
     return F.decode(F.unhex(F.array_join(four, "")), "UTF-16BE")
 
 
-def _within(a: str, b: str, most: Column) -> Column:
+def _within(a: Column, b: Column, most: Column) -> Column:
     """Whether the Levenshtein distance of two columns is at most `most`."""
     # the third argument of levenshtein has to be a constant: a step that is at least the bound, then the bound itself
     steps = [0, 4, 8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 2048, 4096, 8192, 16384]
@@ -115,15 +117,15 @@ def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     return lines.select("h1", "norm").join(small, F.col("h1") == F.col("w"), "left_semi").dropDuplicates(["h1"])
 
 
-def _similar(one: tuple[str, ...], two: tuple[str, ...]) -> Column:
+def _similar(one: tuple[Column, ...], two: tuple[Column, ...]) -> Column:
     """Whether two lines, each as the columns (characters, words, by characters, by words), reach the edit similarity.
 
     They are compared by characters if both have LONG at most, else by words.
     """
-    by_chars = (F.col(one[0]) <= LONG) & (F.col(two[0]) <= LONG)
+    by_chars = (one[0] <= LONG) & (two[0] <= LONG)
     answers = []
     for size, text in ((0, 2), (1, 3)):
-        n1, n2 = F.col(one[size]), F.col(two[size])
+        n1, n2 = one[size], two[size]
         most = F.floor(F.greatest(n1, n2) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
         answers.append((F.abs(n1 - n2) <= most) & _within(one[text], two[text], most))
     return F.when(by_chars, answers[0]).otherwise(answers[1])
@@ -134,9 +136,9 @@ def _forms(wordy: Column) -> list[Column]:
     return [F.length("norm").alias("n"), F.size(F.split("norm", " ")).alias("m"), F.when(F.length("norm") <= LONG, F.col("norm")).alias("c"), F.when(wordy, _spelled()).alias("u")]
 
 
-def _named(df: DataFrame, k: int) -> tuple[DataFrame, tuple[str, ...]]:
-    """df with k behind every name, and the names of a line's forms."""
-    return df.toDF(*(f"{x}{k}" for x in df.columns)), tuple(f"{x}{k}" for x in ("n", "m", "c", "u"))
+def _named(df: DataFrame, k: int) -> tuple[DataFrame, tuple[Column, ...]]:
+    """df with k behind every name, and a line's forms by these names."""
+    return df.toDF(*(f"{x}{k}" for x in df.columns)), tuple(F.col(f"{x}{k}") for x in FORMS)
 
 
 def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -166,7 +168,8 @@ def _across(loose: DataFrame, lines: DataFrame) -> DataFrame:
     """Links (a, b) between the components in a bucket, from all pairs of its lines that lie in two of them.
 
     loose: key, node, comp. The lines outside a bucket's largest component meet all of its lines. Both are cut into parts
-    of about LARGE, every two of which meet in a tile; pairs that don't link never leave the join that compares them.
+    of about LARGE, every two of which meet in a tile. What leaves a tile is lines that have a partner there, never pairs;
+    their components are then joined with the largest one, and with one another in rounds.
     """
     wanted = keep(loose.select(F.col("node").alias("w")).distinct(), "wanted")
     text = keep(_texts(wanted, lines).select("h1", "norm", F.length("norm").alias("size")), "line-texts")
@@ -179,22 +182,79 @@ def _across(loose: DataFrame, lines: DataFrame) -> DataFrame:
     tasks = max(2 * loose.sparkSession.sparkContext.defaultParallelism, int(work // WORK))
     small = F.broadcast(sized) if size_of(sized) <= BROADCAST_BYTES else sized
     parts = rows.join(small, F.col("key") == F.col("k")).select("key", "node", "comp", "main", *_forms(F.col("longest") > LONG), F.ceil(F.col("rest") / LARGE).alias("lefts"), F.ceil(F.col("all") / LARGE).alias("rights"))
+    once = (F.col("comp1") != F.col("comp2")) & ((F.col("comp2") == F.col("main1")) | (F.col("node1") < F.col("node2")))
+    rest = "comp <> main"
+    # a pair of two lines outside the largest component is compared once, by the lesser
+    found = keep(_met(parts.where(rest), parts, once, tasks).select("key", "node").distinct(), "met")
+    links = []
+    if not found.isEmpty():
+        keys, known = (F.broadcast(x) if size_of(found) <= BROADCAST_BYTES else x for x in (found.select(F.col("key").alias("k")).distinct(), found.select(F.col("key").alias("k"), F.col("node").alias("x"))))
+        hot = keep(parts.join(keys, F.col("key") == F.col("k"), "left_semi"), "met-buckets")
+        first = hot.join(known, (F.col("key") == F.col("k")) & (F.col("node") == F.col("x")), "left_semi")
+        links.append(keep(_met(first, hot.where("comp = main"), F.lit(True), tasks).select(F.col("comp").alias("a"), F.col("main").alias("b")).distinct(), "main-links"))
+        second = _met(hot.where(rest), first, (F.col("comp1") != F.col("comp2")) & (F.col("node2") < F.col("node1")), tasks)
+        shown = ("key", "node", "comp", *FORMS)
+        links += _joined(keep(first.select(*shown).unionByName(second.select(*shown)).dropDuplicates(["key", "node"]), "partners"), links[0])
+        drop(hot)
+    out = loose.where(F.lit(False)).select(F.col("comp").alias("a"), F.col("comp").alias("b"))
+    for x in links:
+        out = out.unionByName(x)
+    out = keep(out, "cross-links")
+    for t in (wanted, text, rows, sized, found, *links):
+        drop(t)
+    return out
+
+
+def _met(left: DataFrame, right: DataFrame, also: Column, tasks: int) -> DataFrame:
+    """The rows of left with a similar line in the same bucket of right for which `also` holds, once for each part of it.
+
+    Parts of a bucket meet in tiles. A row leaves its tile at the first such line, so no tile gives its pairs.
+    """
     sides = []
-    for k, (own, other) in enumerate((("lefts", "rights"), ("rights", "lefts")), 1):
+    for k, (side, own, other) in enumerate(((left, "lefts", "rights"), (right, "rights", "lefts")), 1):
         part = F.pmod(F.xxhash64("node"), F.col(own))
         met = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("met")
-        dealt = parts.where("comp <> main") if k == 1 else parts
-        dealt = dealt.select("*", part.alias("part"), met)
+        dealt = side.select("*", part.alias("part"), met)
         tile = F.xxhash64("key", "part", "met") if k == 1 else F.xxhash64("key", "met", "part")
-        sides.append(_named(dealt.select(tile.alias("tile"), "node", "comp", "main", "n", "m", "c", "u").repartition(tasks, "tile"), k))
+        dealt = dealt.select(tile.alias("tile"), *(left.columns if k == 1 else ("node", "comp", *FORMS)))
+        sides.append(_named(dealt.repartition(tasks, "tile"), k))
     (one, first), (two, second) = sides
-    # a pair of two lines outside the largest component has two rows: one of them counts
-    once = (F.col("comp1") != F.col("comp2")) & ((F.col("comp2") == F.col("main1")) | (F.col("node1") < F.col("node2")))
-    met = one.join(two, (F.col("tile1") == F.col("tile2")) & once & _similar(first, second))
-    links = keep(met.select(F.col("comp1").alias("a"), F.col("comp2").alias("b")).distinct(), "cross-links")
-    for t in (wanted, text, rows, sized):
-        drop(t)
-    return links
+    kept = one.join(two, (F.col("tile1") == F.col("tile2")) & also & _similar(first, second), "left_semi")
+    return kept.select(*(F.col(f"{x}1").alias(x) for x in left.columns))
+
+
+def _joined(rows: DataFrame, links: DataFrame) -> list[DataFrame]:
+    """What links (a, b) lack to join the components of similar lines in a bucket. rows: key, node, comp and forms, kept.
+
+    In a round each line names one other component that has a line similar to it, if there is one, and these join. So a
+    round gives a link a line at most, leaves half of the components at most, and lines that name none are done.
+    """
+    out = []
+    while True:
+        roots = keep(components(links).withColumnRenamed("node", "x"), "met-roots")
+        named = rows.join(roots, F.col("comp") == F.col("x"), "left").select("key", "node", F.coalesce("root", "comp").alias("comp"), *FORMS)
+        # with one line a bucket has one component
+        cut = F.ceil(F.count(F.lit(1)) / LARGE).alias("parts")
+        open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), cut).where("c0 <> c1").select(F.col("key").alias("k"), "parts")
+        now = keep(named.join(open_, F.col("key") == F.col("k")).drop("k"), "partners")
+        drop(rows), drop(roots)
+        rows = now
+        listed = now.groupBy("key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("comp", *FORMS)).alias("there"))
+        listed = listed.select(F.col("key").alias("k"), F.col("part"), "there")
+        asked = now.select("key", "node", "comp", *FORMS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("met"))
+        own = tuple(F.col(x) for x in FORMS)
+        near = F.filter("there", lambda y: F.when(y["comp"] != F.col("comp"), _similar(own, tuple(y[x] for x in FORMS))).otherwise(False))
+        to = F.array_min(F.transform(near, lambda y: y["comp"])).alias("to")
+        told = asked.join(listed, (F.col("key") == F.col("k")) & (F.col("met") == F.col("part"))).select("key", "node", "comp", to).where("to IS NOT NULL")
+        told = keep(told.groupBy("key", "node", "comp").agg(F.min("to").alias("to")), "told")
+        if told.isEmpty():
+            drop(rows), drop(told)
+            return out
+        links = keep(told.select(F.col("comp").alias("a"), F.col("to").alias("b")).distinct(), "told-links")
+        out.append(links)
+        left = told.select(F.col("key").alias("k"), F.col("node").alias("x"))
+        rows = keep(now.join(left, (F.col("key") == F.col("k")) & (F.col("node") == F.col("x")), "left_semi").select("key", "node", "comp", *FORMS), "partners")
+        drop(now), drop(told)
 
 
 def _linked(lines: DataFrame) -> DataFrame:

@@ -94,3 +94,27 @@ def test_pipeline_stage_loses_no_pair(spark):
     texts = [" ".join([*same, *(x * 60 for x in "wxyz")]) + "\nfirst", "second\n" + " ".join([*same, "s", "t", "u", "v"])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {0: texts[0], 1: "second"}
+
+
+def test_near_lines_of_a_bucket_make_no_pairs(spark, monkeypatch):
+    """Lines that are all near to one another, a chain of lines each near to the next alone, and lines near to none."""
+    monkeypatch.setattr(linededup, "LARGE", 64)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, chain = [word() for _ in range(20)], [word() for _ in range(20)]
+    lines = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(20) for _ in range(10)]
+    for k in range(40):
+        for j in range(3):  # three words differ from the line before, six from the one before that
+            chain[(3 * k + j) % 18] = word()
+        lines.append(" ".join(chain))
+    lines += [" ".join(word() for _ in range(20)) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "h1 long, norm string")
+    loose = rows.select(F.lit(0).cast("long").alias("key"), F.col("h1").alias("node"), F.col("h1").alias("comp"))
+    links = linededup._across(loose, rows).collect()
+    root = list(range(300))
+    for r in links:
+        a, b = root[r.a], root[r.b]
+        root = [a if x == b else x for x in root]
+    groups = [sum(x == r for x in root) for r in root]
+    assert groups == [200] * 200 + [40] * 40 + [1] * 60
+    assert len(links) < 600  # of 19,900 pairs and more
