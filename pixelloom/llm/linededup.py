@@ -194,7 +194,7 @@ def _across(loose: DataFrame, lines: DataFrame) -> DataFrame:
         links.append(keep(_met(first, hot.where("comp = main"), F.lit(True), tasks).select(F.col("comp").alias("a"), F.col("main").alias("b")).distinct(), "main-links"))
         second = _met(hot.where(rest), first, (F.col("comp1") != F.col("comp2")) & (F.col("node2") < F.col("node1")), tasks)
         shown = ("key", "node", "comp", *FORMS)
-        links += _joined(keep(first.select(*shown).unionByName(second.select(*shown)).dropDuplicates(["key", "node"]), "partners"), links[0])
+        links += _joined(keep(first.select(*shown).unionByName(second.select(*shown)).dropDuplicates(["key", "node"]), "partners"), links[0], tasks)
         drop(hot)
     out = loose.where(F.lit(False)).select(F.col("comp").alias("a"), F.col("comp").alias("b"))
     for x in links:
@@ -223,7 +223,7 @@ def _met(left: DataFrame, right: DataFrame, also: Column, tasks: int) -> DataFra
     return kept.select(*(F.col(f"{x}1").alias(x) for x in left.columns))
 
 
-def _joined(rows: DataFrame, links: DataFrame) -> list[DataFrame]:
+def _joined(rows: DataFrame, links: DataFrame, tasks: int) -> list[DataFrame]:
     """What links (a, b) lack to join the components of similar lines in a bucket. rows: key, node, comp and forms, kept.
 
     In a round each line names one other component that has a line similar to it, if there is one, and these join. So a
@@ -234,7 +234,7 @@ def _joined(rows: DataFrame, links: DataFrame) -> list[DataFrame]:
         roots = keep(components(links).withColumnRenamed("node", "x"), "met-roots")
         named = rows.join(roots, F.col("comp") == F.col("x"), "left").select("key", "node", F.coalesce("root", "comp").alias("comp"), *FORMS)
         # with one line a bucket has one component
-        cut = F.ceil(F.count(F.lit(1)) / LARGE).alias("parts")
+        cut = F.ceil(F.count(F.lit(1)) * 8 / LARGE).alias("parts")
         open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), cut).where("c0 <> c1").select(F.col("key").alias("k"), "parts")
         now = keep(named.join(open_, F.col("key") == F.col("k")).drop("k"), "partners")
         drop(rows), drop(roots)
@@ -243,9 +243,12 @@ def _joined(rows: DataFrame, links: DataFrame) -> list[DataFrame]:
         listed = listed.select(F.col("key").alias("k"), F.col("part"), "there")
         asked = now.select("key", "node", "comp", *FORMS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("met"))
         own = tuple(F.col(x) for x in FORMS)
-        near = F.filter("there", lambda y: F.when(y["comp"] != F.col("comp"), _similar(own, tuple(y[x] for x in FORMS))).otherwise(False))
-        to = F.array_min(F.transform(near, lambda y: y["comp"])).alias("to")
-        told = asked.join(listed, (F.col("key") == F.col("k")) & (F.col("met") == F.col("part"))).select("key", "node", "comp", to).where("to IS NOT NULL")
+        other = lambda y: (y["comp"] != F.col("comp")) & _similar(own, tuple(y[x] for x in FORMS))
+        # the first one found is as good as any: nothing is compared after it
+        to = F.aggregate("there", F.lit(None).cast("long"), lambda found, y: F.when(found.isNull(), F.when(other(y), y["comp"])).otherwise(found)).alias("to")
+        # so many tasks: few bytes make much work here
+        dealt = asked.repartition(tasks, "key", "met").join(listed.repartition(tasks, "k", "part"), (F.col("key") == F.col("k")) & (F.col("met") == F.col("part")))
+        told = dealt.select("key", "node", "comp", to).where("to IS NOT NULL")
         told = keep(told.groupBy("key", "node", "comp").agg(F.min("to").alias("to")), "told")
         if told.isEmpty():
             drop(rows), drop(told)
