@@ -35,6 +35,10 @@ ROUNDS, STEP = 2, 160
 #: Steps of the scale on which the mixture sees how likely tokens are by counts and by spelling.
 SCALE = 400
 FOLDS, HELD_OUT = 7, 2
+#: From a query to a key: whether the key is not after it, and how far it is before it.
+_CAUSAL = np.arange(WINDOW)[None, :] <= np.arange(SCORED)[:, None] + WINDOW - SCORED
+_GAP = np.clip(np.arange(SCORED)[:, None] + WINDOW - SCORED - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
+_ONES = np.ones(max(WINDOW, CLASSES), np.float32)
 _U = np.uint64
 _END_HASH = _U(0x656E64)
 PAD, END, OTHER = 0, 1, 2
@@ -47,25 +51,30 @@ class Speller:
         import tiktoken
 
         self.size = 2 * (max(ranks.values()) + 1)
-        # the pattern is never used: words are spelled one by one
-        self.encode = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.known: dict[bytes, list[int]] = {}
+        # words have no spaces, so that each is a match
+        core = tiktoken.Encoding("words", pat_str=r"[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.whole, self.one = core.encode_to_tiktoken_buffer, core.encode_single_piece
+        self.bytes = np.zeros(self.size // 2, np.int64)
+        for piece, k in ranks.items():
+            self.bytes[k] = len(piece)
 
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, end to end, and how many each has."""
-        known, encode = self.known, self.encode
-        if len(known) > 400_000:
-            known.clear()
-        out = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = encode(w)
-            out.append(got)
-        n = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter(chain.from_iterable(out), np.int64, int(n.sum())) * 2
-        flat[np.cumsum(n) - 1] += 1
-        return flat, n
+        return self.spell_joined(b" ".join(words), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def spell_joined(self, text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words joined by spaces, and how many bytes each has."""
+        if not len(sizes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        try:
+            flat = np.frombuffer(self.whole(text.decode(), set()), np.uint32).astype(np.int64)
+        except UnicodeDecodeError:  # texts that are no UTF-8
+            flat = np.fromiter(chain.from_iterable(map(self.one, text.split(b" "))), np.int64)
+        # a word's last id is that with which its bytes are complete
+        last = np.searchsorted(np.cumsum(self.bytes[flat]), np.cumsum(sizes))
+        flat *= 2
+        flat[last] += 1
+        return flat, np.diff(last, prepend=-1)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -101,17 +110,33 @@ class Model:
 
     def mask(self) -> np.ndarray:
         """[query, key] bias: by distance, and -1e9 for keys after the query."""
-        q = np.arange(SCORED)[:, None] + WINDOW - SCORED
-        k = np.arange(WINDOW)[None, :]
-        return np.where(k <= q, self.near[np.clip(q - k, 0, WINDOW - 1)], -1e9).astype(np.float32)
+        return np.where(_CAUSAL, self.near[_GAP], np.float32(-1e9))
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Queries, keys and values of each place; the last column of a key shuts out padding."""
-        q = np.concatenate([self.embed @ self.wq / np.sqrt(WIDTH), np.ones((len(self.embed), 1))], axis=1)
-        shut = np.zeros((len(self.embed), 1))
-        shut[PAD] = -1e9
-        k = np.concatenate([self.embed @ self.wk, shut], axis=1)
-        return tuple(np.ascontiguousarray(x, np.float32) for x in (q, k, self.embed @ self.wv))
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Queries of each place, its keys and values side by side."""
+        return tuple(np.ascontiguousarray(x, np.float32) for x in (self.embed @ self.wq / np.sqrt(WIDTH), np.concatenate([self.embed @ self.wk, self.embed @ self.wv], axis=1)))
+
+
+class Room:
+    """Space that steps use again, of so many windows: new space for every result would take longer than many a result."""
+
+    def __init__(self, m: Model, many: int):
+        self.z, self.after = np.empty((2, many * SCORED, CLASSES), np.float32)
+        self.most = float(m.after.max())
+
+    def classes(self, m: Model, o: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The classes' logits where attention gives o and the last place is own."""
+        z, after = self.z[: len(o)], self.after[: len(o)]
+        np.matmul(o, m.out, out=z)
+        np.take(m.after, own, axis=0, out=after, mode="clip")
+        z += after
+        return z
+
+
+def _shut_out(s: np.ndarray, ctx: np.ndarray) -> None:
+    """Padding is no key."""
+    at = np.flatnonzero(ctx == PAD)
+    s[at // WINDOW, :, at % WINDOW] = -1e9
 
 
 def windows(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,84 +149,92 @@ def windows(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     count = np.maximum(0, -(-(size - 1) // SCORED))
     seq = np.repeat(np.arange(len(size)), count)
     first = (np.arange(len(seq)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)) * SCORED
-    where = first[:, None] + np.arange(-(WINDOW - SCORED), SCORED + 1)[None, :]
-    good = (where >= 0) & (where < size[seq][:, None])
-    index = np.where(good, where + at[:-1][seq][:, None], -1)
-    got = np.where(good, ids[np.maximum(index, 0)], PAD)
+    index = (first + at[seq])[:, None] + np.arange(-(WINDOW - SCORED), SCORED + 1)[None, :]
+    none = index < at[seq][:, None]
+    none |= index >= at[seq + 1][:, None]
+    got = ids.take(index, mode="clip") if len(ids) else index
+    got[none] = PAD
+    index[none] = -1
     return got[:, :-1], got[:, WINDOW - SCORED + 1 :], index[:, WINDOW - SCORED + 1 :]
 
 
 def log_probs(m: Model, ctx: np.ndarray, target: np.ndarray, tables: tuple, block: int = 160) -> np.ndarray:
     """Natural log of each target's probability, by masked attention over batches of windows."""
-    q, k, v = tables
-    mask, out = m.mask(), np.empty(target.shape, np.float32)
+    q, kv = tables
+    mask, out, room = m.mask(), np.empty(target.shape, np.float32), Room(m, min(block, len(ctx)))
     # where these can't be reached, sums of exponentials can't overflow
-    top_s = np.linalg.norm(q[:, :-1], axis=1).max() * np.linalg.norm(k[:, :-1], axis=1).max() + max(0.0, float(m.near.max()))
-    top_z = np.linalg.norm(v, axis=1).max() * np.linalg.norm(m.out, axis=0).max() + float(m.after.max())
+    top_s = np.linalg.norm(q, axis=1).max() * np.linalg.norm(kv[:, :WIDTH], axis=1).max() + max(0.0, float(m.near.max()))
+    top_z = np.linalg.norm(kv[:, WIDTH:], axis=1).max() * np.linalg.norm(m.out, axis=0).max() + room.most
     for a in range(0, len(ctx), block):
-        c, t = ctx[a : a + block], target[a : a + block]
+        c, t = ctx[a : a + block], target[a : a + block].ravel()
         own = c[:, WINDOW - SCORED :].ravel()
-        s = np.matmul(q[own].reshape(len(c), SCORED, WIDTH + 1), k[c].transpose(0, 2, 1))
+        both = kv.take(c, axis=0)
+        s = np.matmul(q.take(own, axis=0).reshape(len(c), SCORED, WIDTH), both[:, :, :WIDTH].transpose(0, 2, 1))
         s += mask
+        _shut_out(s, c)
         if top_s > 60:
             np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        o = np.matmul(s, v[c])
-        o /= np.maximum(s.sum(axis=2, keepdims=True), 1e-30)
-        z = o.reshape(-1, WIDTH) @ m.out
-        z += m.after[own]
-        t = t.ravel()
+        o = np.matmul(s, both[:, :, WIDTH:]).reshape(-1, WIDTH)
+        o /= np.maximum(s.reshape(-1, WINDOW) @ _ONES[:WINDOW], 1e-30)[:, None]
+        z = room.classes(m, o, own)
         picked = z[np.arange(len(z)), m.cls[t]]
         if top_z > 60:
             np.minimum(z, 60, out=z)
         np.exp(z, out=z)
-        out[a : a + block] = (picked - np.log(z.sum(axis=1)) + m.inside[t]).reshape(len(c), SCORED)
+        out[a : a + block] = (picked - np.log(z @ _ONES[:CLASSES]) + m.inside[t]).reshape(len(c), SCORED)
     return out
 
 
-def gradient(m: Model, ctx: np.ndarray, target: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
+def gradient(m: Model, ctx: np.ndarray, target: np.ndarray, logs: np.ndarray | None = None, room: Room | None = None) -> np.ndarray:
     """Gradient of the mean negative log probability of the classes of targets (padding ones don't count).
 
-    logs gets the log probability of each target.
+    logs gets the log probability of each target. Steps may share a room.
     """
-    own = ctx[:, WINDOW - SCORED :]
-    eq, ek = m.embed[own], m.embed[ctx]
+    n, room = len(ctx), room or Room(m, len(ctx))
+    own = ctx[:, WINDOW - SCORED :].ravel()
+    eq, ek = m.embed.take(own, axis=0), m.embed.take(ctx.ravel(), axis=0)
     scale = np.float32(1 / np.sqrt(WIDTH))
-    q, k, v = eq @ (m.wq * scale), ek @ m.wk, ek @ m.wv
+    q = (eq @ (m.wq * scale)).reshape(n, SCORED, WIDTH)
+    kv = (ek @ np.concatenate([m.wk, m.wv], axis=1)).reshape(n, WINDOW, 2 * WIDTH)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
     p = np.matmul(q, k.transpose(0, 2, 1))
     p += m.mask()
-    p += np.where(ctx == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    p -= p.max(axis=2, keepdims=True)
+    _shut_out(p, ctx)
+    # where these can't be reached, sums of exponentials can't overflow (nor become 0)
+    if WIDTH * float(np.abs(q).max()) * float(np.abs(k).max()) + float(np.abs(m.near).max()) > 60:
+        p -= p.max(axis=2, keepdims=True)
     np.exp(p, out=p)
-    p /= p.sum(axis=2, keepdims=True)
+    p /= np.maximum(p.reshape(-1, WINDOW) @ _ONES[:WINDOW], 1e-30).reshape(n, SCORED, 1)
     o = np.matmul(p, v).reshape(-1, WIDTH)
-    dz = o @ m.out
-    dz += m.after[own.ravel()]
-    # where this can't be reached, sums of exponentials can't overflow
-    if np.linalg.norm(o, axis=1).max() * np.linalg.norm(m.out, axis=0).max() + float(m.after.max()) > 60:
-        dz -= dz.max(axis=1, keepdims=True)
+    z = room.classes(m, o, own)
+    if np.sqrt(WIDTH) * float(np.abs(o).max()) * np.linalg.norm(m.out, axis=0).max() + room.most > 60:
+        z -= z.max(axis=1, keepdims=True)
     t = target.ravel()
-    picked = dz[np.arange(len(dz)), m.cls[t]]
-    np.exp(dz, out=dz)
-    total = np.maximum(dz.sum(axis=1), 1e-30)
+    row, cls = np.arange(len(z)), m.cls[t]
+    picked = z[row, cls]
+    np.exp(z, out=z)
+    total = np.maximum(z @ _ONES[:CLASSES], 1e-30)
     if logs is not None:
         logs[:] = (picked - np.log(total) + m.inside[t]).reshape(logs.shape)
-    real = ((target != PAD) & (own != PAD)).ravel()
-    share = (real / max(1, real.sum())).astype(np.float32)
-    dz *= (share / total)[:, None]
-    dz[np.arange(len(dz)), m.cls[t]] -= share
-    d_out = o.T @ dz
-    do = (dz @ m.out.T).reshape(len(ctx), SCORED, WIDTH)
+    real = (t != PAD) & (own != PAD)
+    # z - total * (the target's class), times share, is the logits' gradient
+    share = (real / (max(1, real.sum()) * total)).astype(np.float32)[:, None]
+    z[row, cls] -= total
+    d_out = (z.T @ (o * share)).T
+    do = z @ m.out.T
+    do *= share
+    inner, do = np.einsum("ij,ij->i", do, o).reshape(n, SCORED, 1), do.reshape(n, SCORED, WIDTH)
     ds = np.matmul(do, v.transpose(0, 2, 1))
-    dv = np.matmul(p.transpose(0, 2, 1), do)
-    ds -= (ds * p).sum(axis=2, keepdims=True)
+    ds -= inner
     ds *= p
-    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q / scale) * scale
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    gap = np.clip(np.arange(SCORED)[:, None] + WINDOW - SCORED - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
-    causal = np.arange(WINDOW)[None, :] <= np.arange(SCORED)[:, None] + WINDOW - SCORED
-    near = np.bincount(gap[causal], weights=ds.sum(axis=0)[causal], minlength=WINDOW)
-    return np.concatenate([(flat(eq).T @ flat(dq)).ravel(), (flat(ek).T @ flat(dk)).ravel(), (flat(ek).T @ flat(dv)).ravel(), d_out.ravel(), near])
+    dkv = np.empty_like(kv)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+    np.matmul(p.transpose(0, 2, 1), do, out=dkv[:, :, WIDTH:])
+    d_q = eq.T @ np.matmul(ds, k).reshape(-1, WIDTH) * scale
+    d_kv = ek.T @ dkv.reshape(-1, 2 * WIDTH)
+    near = np.bincount(_GAP[_CAUSAL], weights=(_ONES[:1].repeat(n) @ ds.reshape(n, -1)).reshape(SCORED, WINDOW)[_CAUSAL], minlength=WINDOW)
+    return np.concatenate([d_q.ravel(), d_kv[:, :WIDTH].ravel(), d_kv[:, WIDTH:].ravel(), d_out.ravel(), near])
 
 
 def descend(m: Model, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float, steps_at_least: int = 60) -> int:
@@ -211,7 +244,7 @@ def descend(m: Model, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
     """
     v = m.vector()
     a, b = np.zeros_like(v), np.zeros_like(v)
-    n, seen, held = 0, 0, []
+    n, seen, held, room = 0, 0, [], Room(m, STEP)
 
     def over(ctx: np.ndarray, target: np.ndarray, logs: np.ndarray) -> None:
         nonlocal v, a, b, n
@@ -219,7 +252,7 @@ def descend(m: Model, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
         for at in range(0, len(ctx), STEP):
             pick = order[at : at + STEP]
             now = np.empty((len(pick), SCORED), np.float32)
-            g = gradient(m, ctx[pick], target[pick], now)
+            g = gradient(m, ctx[pick], target[pick], now, room)
             logs[pick] = now
             n += 1
             a, b = 0.9 * a + 0.1 * g, 0.99 * b + 0.01 * g * g
@@ -328,7 +361,7 @@ class Batch:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         key, one, which = key[order], one[order], rank[which]
-        flat, size = sp.spell(w.pick(one))
+        flat, size = sp.spell_joined(*w.joined(one))
         held = crc_mod(b.column(0).to_pylist(), FOLDS) == HELD_OUT
         parts = (held, w.counts, which.astype(np.uint16), (which >> 16).astype(np.uint16), flat.astype(np.int32), size.astype(np.int32))
         lists = [pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x if isinstance(x, pa.Array) else pa.array(x)) for x in (b.column(0), *parts)]
