@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.components import components
-from pixelloom.llm.tables import drop, keep, size_of
+from pixelloom.llm.tables import drop, free_shuffles, keep, size_of
 
 #: Blocks of a SimHash and the words that vote on one; lines of up to SHORT distinct words have blocks of two words (those
 #: of SHORT - 1 and more have blocks of three as well).
@@ -154,12 +154,14 @@ def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     wordy = keep(sides.unionByName(long.select(F.col("x").alias("l"))).distinct(), "wordy")
     marked = F.broadcast(wordy) if size_of(wordy) <= BROADCAST_BYTES else wordy
     form = keep(text.join(marked, F.col("h1") == F.col("l"), "left").select("h1", *_forms(F.col("l").isNotNull())), "line-forms")
+    drop(wanted), drop(text)
+    free_shuffles(pairs.sparkSession)
     (one, first), (two, second) = (_named(form, k) for k in (1, 2))
     # a fixed number of tasks: few bytes make much work here
     tasks = max(2 * pairs.sparkSession.sparkContext.defaultParallelism, pairs.count() // 8192)
     joined = pairs.join(one, F.col("a") == F.col("h11")).repartition(tasks, "b").join(two, F.col("b") == F.col("h12"))
     links = keep(joined.where(_similar(first, second)).select("a", "b"), "line-links")
-    for t in (pairs, wanted, text, long, wordy, form):
+    for t in (pairs, long, wordy, form):
         drop(t)
     return links
 
@@ -174,6 +176,8 @@ def _across(loose: DataFrame, lines: DataFrame) -> DataFrame:
     wanted = keep(loose.select(F.col("node").alias("w")).distinct(), "wanted")
     text = keep(_texts(wanted, lines).select("h1", "norm", F.length("norm").alias("size")), "line-texts")
     rows = keep(loose.join(text, F.col("node") == F.col("h1")).select("key", "node", "comp", "norm", "size"), "loose-texts")
+    drop(wanted), drop(text)
+    free_shuffles(loose.sparkSession)
     sized = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("some"), F.max("size").alias("size")).groupBy("key")
     sized = sized.agg(F.sum("some").alias("all"), F.max(F.struct("some", "comp")).alias("main"), F.max("size").alias("longest"))
     sized = sized.select(F.col("key").alias("k"), F.col("main.comp").alias("main"), F.col("all"), (F.col("all") - F.col("main.some")).alias("rest"), "longest")
@@ -200,7 +204,7 @@ def _across(loose: DataFrame, lines: DataFrame) -> DataFrame:
     for x in links:
         out = out.unionByName(x)
     out = keep(out, "cross-links")
-    for t in (wanted, text, rows, sized, found, *links):
+    for t in (rows, sized, found, *links):
         drop(t)
     return out
 
@@ -269,6 +273,7 @@ def _linked(lines: DataFrame) -> DataFrame:
     shared = F.broadcast(buckets) if size_of(buckets) <= BROADCAST_BYTES else buckets
     members = keep(flat.join(shared, F.col("key") == F.col("k")).select("key", "node", "leader").distinct(), "members")
     drop(drawn), drop(buckets)
+    free_shuffles(lines.sparkSession)
     links = _near(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), lines)
     roots = keep(components(links), "line-roots")
     drop(links)
@@ -301,6 +306,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     made = keep(made.select("id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm"), "lines", dictionary=False)
     lines = made.where("norm <> ''")  # here, as a filter before it would normalise every line twice
     roots = _linked(lines)
+    free_shuffles(docs.sparkSession)
     # of every line that occurs again or is linked: the occurrence that stays
     distinct = lines.groupBy("h1", "h2").agg(F.min(_occurrence()).alias("occ"), F.count(F.lit(1)).alias("times"))
     named = keep(distinct.join(roots, F.col("h1") == F.col("node"), "left").where("times > 1 OR root IS NOT NULL").select("h1", "h2", "occ", F.coalesce("root", "h1").alias("root")), "named-lines")
@@ -309,6 +315,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = lines.select("id", "pos", "h1", "h2").join(fate, F.expr("h1 = g1 AND h2 = g2")).where(_occurrence() != F.col("stays")).groupBy("id").agg(F.collect_set("pos").alias("gone"))
     gone = keep(gone.withColumn("gone", F.array_sort("gone")), "gone-lines")
     drop(made), drop(named)
+    free_shuffles(docs.sparkSession)
     return gone, roots
 
 

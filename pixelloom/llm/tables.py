@@ -43,6 +43,12 @@ def drop(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles removed that nothing reads any more: Spark does so when its driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes of a kept table's files."""
     jvm = df.sparkSession._jvm

@@ -1,6 +1,8 @@
 """Line dedup: what equals after normalisation, and how many near lines are found."""
 
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -118,3 +120,21 @@ def test_near_lines_of_a_bucket_make_no_pairs(spark, monkeypatch):
     groups = [sum(x == r for x in root) for r in root]
     assert groups == [200] * 200 + [40] * 40 + [1] * 60
     assert len(links) < 600  # of 19,900 pairs and more
+
+
+def test_no_shuffle_stays_on_disk(spark):
+    """What line dedup has shuffled goes with it, not when the driver's heap is full."""
+
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {x for d in dirs for _, _, names in os.walk(d) for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    lines = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(100)]
+    before = files()
+    gone(spark, lines + [x.replace("a", "b", 1) for x in lines])
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
