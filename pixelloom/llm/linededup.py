@@ -236,6 +236,7 @@ def _joined(rows: DataFrame, links: DataFrame, tasks: int) -> list[DataFrame]:
     out = []
     while True:
         roots = keep(components(links).withColumnRenamed("node", "x"), "met-roots")
+        free_shuffles(rows.sparkSession)
         named = rows.join(roots, F.col("comp") == F.col("x"), "left").select("key", "node", F.coalesce("root", "comp").alias("comp"), *FORMS)
         # with one line a bucket has one component
         cut = F.ceil(F.count(F.lit(1)) * 8 / LARGE).alias("parts")
@@ -277,6 +278,7 @@ def _linked(lines: DataFrame) -> DataFrame:
     links = _near(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), lines)
     roots = keep(components(links), "line-roots")
     drop(links)
+    free_shuffles(lines.sparkSession)
     # buckets that are not all linked yet: lines of different components are compared there, all of them
     named = members.join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     named = keep(named, "named-members")

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,9 +45,34 @@ def drop(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Have the files of shuffles removed that nothing reads any more: Spark does so when its driver collects its garbage."""
-    gc.collect()
+    """Have the files of shuffles removed that nothing reads any more: Spark does so when its driver collects its garbage.
+
+    The driver's freed memory goes back to the system, too.
+    """
+    release()
     spark._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """Give back what the driver's JVM has freed outside its heap (compiled plans, buffers of codecs): its C library keeps that."""
+    gateway, named = spark.sparkContext._gateway, spark._jvm.java.lang.Class.forName
+
+    def array(kind: str, *of):
+        out = gateway.new_array(getattr(spark._jvm.java.lang, kind), len(of))
+        for k, x in enumerate(of):
+            out[k] = x
+        return out
+
+    try:
+        bean = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = spark._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        kinds = array("Class", *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        # by reflection: the server's own class is not open to callers
+        invoke = named("javax.management.MBeanServerConnection").getMethod("invoke", kinds)
+        invoke.invoke(server, array("Object", bean, "systemTrimNativeHeap", array("Object"), array("String")))
+    except Py4JError:  # another C library, or a JVM without that command
+        pass
 
 
 def size_of(df: DataFrame) -> int:
@@ -57,7 +83,7 @@ def size_of(df: DataFrame) -> int:
 
 
 def release() -> None:
-    """Give the driver's freed memory back to the system, as what follows may need it in the JVM."""
+    """Give the freed memory of the driver's Python back to the system, as what follows may need it in the JVM."""
     import pyarrow as pa
 
     gc.collect()

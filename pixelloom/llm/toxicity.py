@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.sums import summed
-from pixelloom.llm.tables import keep, release
+from pixelloom.llm.tables import free_shuffles, keep
 from pixelloom.llm.words import Words, crc_mod, mix, slices
 
 #: At most so many labelled rows of each class (those of the smallest hashed ids) are examples.
@@ -155,6 +155,7 @@ class Index:
             t, w, const[i] = cls.vector(terms, counts, weights)
             rows.append(t), cols.append(np.full(len(t), i)), vals.append(w)
         term, entry, weight = (np.concatenate([np.zeros(0, d), *x]) for x, d in ((rows, np.int64), (cols, np.int64), (vals, np.float64)))
+        del rows, cols, vals
         often = np.bincount(term, minlength=len(weights)) > max(DENSE * n, BLOCK)
         column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         dense = np.zeros((int(often.sum()), n))
@@ -332,6 +333,8 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
 
     kind = sample.schema["_px_id"].dataType.simpleString()
     rows = keep(sample.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>"), "vectors")
+    del got, columns, term, start, toxic, n, df
+    free_shuffles(spark)  # building the index takes the driver's Python most of what it ever has
     table = rows.orderBy("id", "label").toArrow()
     parts = [[np.asarray(x.values) for x in table[c]] for c in ("terms", "counts")]
     stands = all0 / max(1, n0), all1 / max(1, n1)
@@ -351,8 +354,8 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     tasks = 2 * spark.sparkContext.defaultParallelism
     seen = [(r.raw, float(r.label), stands[r.label]) for r in rows.repartition(tasks).mapInArrow(alone, "raw double, label int").collect()]
     curve = index.calibrated(seen).curve
-    del index, table, parts, got, columns, term, start, toxic, n, df, weights
-    release()
+    del index, table, parts, weights
+    free_shuffles(spark)
     return lambda: Scorer(known.value[0], replace(known.value[1], curve=curve))
 
 
