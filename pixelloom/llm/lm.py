@@ -32,6 +32,8 @@ TOP = 128
 #: Id counts, neighbours, class successions and the mixture are those of all training texts. Every window of theirs gives a
 #: gradient once, in one of so many rounds (those of a batch of texts in the same), so many windows to a step.
 ROUNDS, STEP = 2, 160
+#: Windows whose classes are worked out together: so few that their logits stay in a core's cache.
+FEW = 32
 #: Steps of the scale on which the mixture sees how likely tokens are by counts and by spelling.
 SCALE = 400
 FOLDS, HELD_OUT = 7, 2
@@ -118,10 +120,10 @@ class Model:
 
 
 class Room:
-    """Space that steps use again, of so many windows: new space for every result would take longer than many a result."""
+    """Space that a few windows after another use: new space for every result would take longer than many a result."""
 
-    def __init__(self, m: Model, many: int):
-        self.z, self.after = np.empty((2, many * SCORED, CLASSES), np.float32)
+    def __init__(self, m: Model):
+        self.z, self.after = np.empty((2, FEW * SCORED, CLASSES), np.float32)
         self.most = float(m.after.max())
 
     def classes(self, m: Model, o: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -158,10 +160,10 @@ def windows(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return got[:, :-1], got[:, WINDOW - SCORED + 1 :], index[:, WINDOW - SCORED + 1 :]
 
 
-def log_probs(m: Model, ctx: np.ndarray, target: np.ndarray, tables: tuple, block: int = 160) -> np.ndarray:
+def log_probs(m: Model, ctx: np.ndarray, target: np.ndarray, tables: tuple, block: int = FEW) -> np.ndarray:
     """Natural log of each target's probability, by masked attention over batches of windows."""
     q, kv = tables
-    mask, out, room = m.mask(), np.empty(target.shape, np.float32), Room(m, min(block, len(ctx)))
+    mask, out, room = m.mask(), np.empty(target.shape, np.float32), Room(m)
     # where these can't be reached, sums of exponentials can't overflow
     top_s = np.linalg.norm(q, axis=1).max() * np.linalg.norm(kv[:, :WIDTH], axis=1).max() + max(0.0, float(m.near.max()))
     top_z = np.linalg.norm(kv[:, WIDTH:], axis=1).max() * np.linalg.norm(m.out, axis=0).max() + room.most
@@ -191,7 +193,7 @@ def gradient(m: Model, ctx: np.ndarray, target: np.ndarray, logs: np.ndarray | N
 
     logs gets the log probability of each target. Steps may share a room.
     """
-    n, room = len(ctx), room or Room(m, len(ctx))
+    n, room = len(ctx), room or Room(m)
     own = ctx[:, WINDOW - SCORED :].ravel()
     eq, ek = m.embed.take(own, axis=0), m.embed.take(ctx.ravel(), axis=0)
     scale = np.float32(1 / np.sqrt(WIDTH))
@@ -207,23 +209,29 @@ def gradient(m: Model, ctx: np.ndarray, target: np.ndarray, logs: np.ndarray | N
     np.exp(p, out=p)
     p /= np.maximum(p.reshape(-1, WINDOW) @ _ONES[:WINDOW], 1e-30).reshape(n, SCORED, 1)
     o = np.matmul(p, v).reshape(-1, WIDTH)
-    z = room.classes(m, o, own)
-    if np.sqrt(WIDTH) * float(np.abs(o).max()) * np.linalg.norm(m.out, axis=0).max() + room.most > 60:
-        z -= z.max(axis=1, keepdims=True)
+    high = np.sqrt(WIDTH) * float(np.abs(o).max()) * np.linalg.norm(m.out, axis=0).max() + room.most > 60
     t = target.ravel()
-    row, cls = np.arange(len(z)), m.cls[t]
-    picked = z[row, cls]
-    np.exp(z, out=z)
-    total = np.maximum(z @ _ONES[:CLASSES], 1e-30)
-    if logs is not None:
-        logs[:] = (picked - np.log(total) + m.inside[t]).reshape(logs.shape)
     real = (t != PAD) & (own != PAD)
-    # z - total * (the target's class), times share, is the logits' gradient
-    share = (real / (max(1, real.sum()) * total)).astype(np.float32)[:, None]
-    z[row, cls] -= total
-    d_out = (z.T @ (o * share)).T
-    do = z @ m.out.T
-    do *= share
+    weight, cls, inside = (real / max(1, real.sum())).astype(np.float32), m.cls[t], m.inside[t]
+    d_out, do, seen, row = np.zeros((CLASSES, WIDTH), np.float32), np.empty_like(o), np.empty(len(t), np.float32), np.arange(FEW * SCORED)
+    for a in range(0, len(t), FEW * SCORED):
+        to = slice(a, a + FEW * SCORED)
+        z, c = room.classes(m, o[to], own[to]), cls[to]
+        if high:
+            z -= z.max(axis=1, keepdims=True)
+        at = row[: len(z)], c
+        picked = z[at]
+        np.exp(z, out=z)
+        total = np.maximum(z @ _ONES[:CLASSES], 1e-30)
+        seen[to] = picked - np.log(total)
+        # z - total * (the target's class), times share, is the logits' gradient
+        share = (weight[to] / total)[:, None]
+        z[at] -= total
+        d_out += z.T @ (o[to] * share)
+        np.matmul(z, m.out.T, out=do[to])
+        do[to] *= share
+    if logs is not None:
+        logs[:] = (seen + inside).reshape(logs.shape)
     inner, do = np.einsum("ij,ij->i", do, o).reshape(n, SCORED, 1), do.reshape(n, SCORED, WIDTH)
     ds = np.matmul(do, v.transpose(0, 2, 1))
     ds -= inner
@@ -234,7 +242,7 @@ def gradient(m: Model, ctx: np.ndarray, target: np.ndarray, logs: np.ndarray | N
     d_q = eq.T @ np.matmul(ds, k).reshape(-1, WIDTH) * scale
     d_kv = ek.T @ dkv.reshape(-1, 2 * WIDTH)
     near = np.bincount(_GAP[_CAUSAL], weights=(_ONES[:1].repeat(n) @ ds.reshape(n, -1)).reshape(SCORED, WINDOW)[_CAUSAL], minlength=WINDOW)
-    return np.concatenate([d_q.ravel(), d_kv[:, :WIDTH].ravel(), d_kv[:, WIDTH:].ravel(), d_out.ravel(), near])
+    return np.concatenate([d_q.ravel(), d_kv[:, :WIDTH].ravel(), d_kv[:, WIDTH:].ravel(), d_out.T.ravel(), near])
 
 
 def descend(m: Model, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float, steps_at_least: int = 60) -> int:
@@ -244,7 +252,7 @@ def descend(m: Model, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
     """
     v = m.vector()
     a, b = np.zeros_like(v), np.zeros_like(v)
-    n, seen, held, room = 0, 0, [], Room(m, STEP)
+    n, seen, held, room = 0, 0, [], Room(m)
 
     def over(ctx: np.ndarray, target: np.ndarray, logs: np.ndarray) -> None:
         nonlocal v, a, b, n
@@ -495,6 +503,11 @@ def _successions(x: Batch, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     yield np.full(1, END), np.full(1, END), np.full(1, float(none))
 
 
+def _together(x: Batch, place: np.ndarray) -> list[np.ndarray]:
+    """The successions of a batch in one: each sum of them takes an array as long as all that can follow one another."""
+    return [np.concatenate(part) for part in zip(*_successions(x, place), strict=True)]
+
+
 def train(counted: DataFrame, size: int, total: int) -> Model:
     """The model: id counts, neighbours and class successions of all training texts in counted (batch, blob, counts), then
     rounds of descent, averaged over the partitions, which together take every window of these texts once, and the mixture.
@@ -515,8 +528,7 @@ def train(counted: DataFrame, size: int, total: int) -> Model:
     def near(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(n * 2 * TOP)
         for x in _batches(batches):
-            for a, b, k in _successions(x, where.value):
-                out += neighbours(a, b, k, n)
+            out += neighbours(*_together(x, where.value), n)
         return out
 
     m = shaped(frequent, place, summed(blobs, near, n * 2 * TOP), counts)
@@ -525,8 +537,8 @@ def train(counted: DataFrame, size: int, total: int) -> Model:
     def follow(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(n * CLASSES)
         for x in _batches(batches):
-            for a, b, k in _successions(x, sent.value.place):
-                out += np.bincount(a * CLASSES + sent.value.cls[b], weights=k, minlength=n * CLASSES)
+            a, b, k = _together(x, sent.value.place)
+            out += np.bincount(a * CLASSES + sent.value.cls[b], weights=k, minlength=n * CLASSES)
         return out
 
     pair = summed(blobs, follow, n * CLASSES).reshape(n, CLASSES)

@@ -81,3 +81,22 @@ def test_padding_is_no_key_and_steps_are_those_of_plain_code():
     d_out = np.einsum("nik,nic->kc", o, (share - hit) * real[:, :, None]) / real.sum()
     at = 3 * lm.WIDTH**2
     assert np.allclose(g[at : at + d_out.size], d_out.ravel(), atol=1e-5)
+
+
+def test_a_step_works_its_classes_out_in_parts_that_fit_a_cache(monkeypatch):
+    rng = np.random.default_rng(8)
+    counts = np.bincount(rng.integers(0, 300, 5000), minlength=300).astype(float)
+    m = lm.shape([rng.integers(0, 300, 80) for _ in range(20)], counts, 300)
+    m.set_vector(m.vector() + rng.normal(0, 0.3, len(m.vector())))
+    seq = rng.integers(1, len(m.embed), 3 * lm.STEP * lm.SCORED // 2)
+    ctx, target, _ = lm.windows(seq, np.array([0, 700, 705, len(seq)]))
+    assert len(ctx) > lm.STEP  # and not a whole number of parts
+    room = lm.Room(m)
+    assert room.z.nbytes + room.after.nbytes <= 512 << 10
+    got = []
+    for few in (lm.FEW, len(ctx)):
+        monkeypatch.setattr(lm, "FEW", few)
+        logs = np.empty(target.shape, np.float32)
+        got.append((lm.gradient(m, ctx, target, logs), logs, lm.log_probs(m, ctx, target, m.tables(), few)))
+    for one, two in zip(*got, strict=True):
+        assert np.allclose(one, two, rtol=1e-4, atol=1e-5)
